@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1,
     "op6_substring_dedup": substring_dedup.op6,
 }
 
 ORACLE = {
+    "op1_ngram_join": ngram_join.OP1_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
 }

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C55
 _SHIFT = 0xD1342543DE82EF95
@@ -139,3 +139,14 @@ def pieces(column: pa.Array, table: np.ndarray, fold: np.ndarray | None = None,
         part = offsets[first : last + 1]
         yield Piece(first, data[part[0] : part[-1]], part - part[0], table, fold)
         first = last
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 2 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut, without a copy, to at most ``most`` bytes of text or one row each."""
+    for batch in batches:
+        _, offsets = raw(batch.column(text_at))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
