@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import ngram_join, substring_dedup
+from . import decontamination, embedding_dedup, ngram_join, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
+    "op2_embedding_dedup": embedding_dedup.op2,
+    "op4_decontamination": decontamination.op4,
     "op6_substring_dedup": substring_dedup.op6,
+    "op10_warc": warc.op10,
 }
 
 ORACLE = {
     "op1_ngram_join": ngram_join.OP1_SQL,
+    "op2_embedding_dedup": embedding_dedup.OP2_SQL,
+    "op4_decontamination": decontamination.OP4_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
