@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, ngram_join, substring_dedup, warc
+from . import decontamination, embedding_dedup, language_id, ngram_join, quality, segmentation, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
     "op2_embedding_dedup": embedding_dedup.op2,
+    "op3_language_id": language_id.op3,
     "op4_decontamination": decontamination.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_substring_dedup": substring_dedup.op6,
+    "op7_quality": quality.op7,
+    "op8_segmentation": segmentation.op8,
     "op10_warc": warc.op10,
 }
 
