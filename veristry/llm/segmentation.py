@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .words import _BASE, mix, powers, raw, slices
 
 OFFSET = 10.0
-_SLICE = 1 << 20
+_SLICE = 2 << 20
 _SPACE = 0x20
 
 
@@ -152,7 +152,8 @@ class Lattice:
         fallback = float(v.log_weight[v.byte_ids[0]])
         score = np.where(piece >= 0, v.log_weight[np.maximum(piece, 0)], fallback * step)
         # from the ends of the units backwards, all positions equally far from their end at once
-        order = np.argsort(left[start], kind="stable")
+        far = left[start]
+        order = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")
         start, step, piece, score = start[order], step[order], piece[order], score[order]
         total = np.zeros(n + 1)
         is_end = np.zeros(n + 1, bool)
@@ -168,7 +169,9 @@ class Lattice:
             top = np.maximum.reduceat(edge, new)
             total[o[new]] = top + np.log(np.add.reduceat(np.exp(edge - np.repeat(top, np.diff(np.append(new, len(o))))), new))
         value = score + np.where(far == step, 0.0, total[np.minimum(start + step, n)]) - total[start]
-        order = np.lexsort((-value, start))  # the likeliest first, so that few are looked at
+        # the likeliest first, so that few are looked at; the bits of positive floats order like the floats
+        worth = np.maximum(-value, 0).astype(np.float32).view(np.uint32)
+        order = np.argsort((start.astype(np.uint64) << np.uint64(32)) | worth)
         self.piece, self.step, self.log_p, self.score = piece[order], step[order], value[order], score[order]
         self.edges = np.searchsorted(start[order], np.arange(n + 1))
         self.left = left
