@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, language_id, ngram_join, quality, segmentation, substring_dedup, toxicity, warc
+from . import chat_format, decontamination, embedding_dedup, language_id, ngram_join, quality, segmentation, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6,
     "op7_quality": quality.op7,
     "op8_segmentation": segmentation.op8,
+    "op9_chat_format": chat_format.op9,
     "op10_warc": warc.op10,
 }
 
@@ -21,5 +22,6 @@ ORACLE = {
     "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op9_chat_format": chat_format.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
