@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +76,15 @@ def components(edges: DataFrame, what: str = "components", most_rounds: int = 40
         e = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")), what)
     roots = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are stored.
+
+    Spark does so once a step's plan is garbage in Python and in the JVM; a
+    plan that has just ended is let go one collection later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

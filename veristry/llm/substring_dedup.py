@@ -18,7 +18,6 @@ to one entry per piece of text before it is shuffled.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, parts, stored
-from .words import WHITE, mix, pieces
+from .shared import new_folder, parts, release
+from .words import WHITE, mix, pieces, slices
 
 _CHECK = 0xA24BAED4963EE407
 _LOW = np.uint64((1 << 48) - 1)
@@ -69,7 +68,7 @@ def _cut(size: int, n_parts: int):
     """(doc_id, text) -> packed windows: 'new' for the first of each in a piece, 'hit' for the others there."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out = []
             for piece in pieces(batch.column(1), WHITE):
@@ -146,7 +145,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, size: int = 13, fan_in: int = 2, n_parts: int | None = None):
         if size < 1 or fan_in < 2:
             raise ValueError("size is at least 1 and fan_in at least 2")
-        self.spark, self.size, self.fan_in, self.n_parts = spark, size, fan_in, n_parts or parts(spark)
+        self.spark, self.size, self.fan_in, self.n_parts = spark, size, fan_in, n_parts or 2 * parts(spark)
         #: (level, folder) of each run, oldest first.
         self.runs: list[tuple[int, str]] = []
 
@@ -169,6 +168,7 @@ class FingerprintIndex:
         folder = new_folder(self.spark, "fingerprints")
         merged.write.partitionBy("kind").parquet(folder)
         self.runs.append((0, folder))
+        del rows, grouped, merged
         hits = self.spark.read.schema(_PACKED_SQL).parquet(folder).where("kind = 'hit'")
         self._compact()
         return hits
@@ -216,7 +216,7 @@ def _strip(size: int, n_parts: int, n_columns: int, text_at: int, names: list[st
     """Columns, then _hits -> columns, then n_words, n_removed, kept_text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text_at):
             hits = batch.column(n_columns)
             texts = batch.column(text_at)
             total, removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -288,9 +288,7 @@ def remove_repeated_windows(docs: DataFrame, *, size: int = 13, batches: int = 3
         found = index.add(batch)
         hits = found if hits is None else hits.unionByName(found)
         del batch, found
-        # Spark deletes the shuffle files of a finished batch once its plan is garbage.
-        gc.collect()
-        spark._jvm.System.gc()
+        release(spark)
     n = index.n_parts
     per_doc = hits.mapInArrow(_by_document(n), _PACKED_SQL).repartition(n, "part").groupBy("part").applyInArrow(_gather, "_hit_doc long, _hits binary")
     joined = docs.join(per_doc, docs["doc_id"].cast("long") == per_doc["_hit_doc"], "left").select(*[docs[f"`{c}`"] for c in columns], "_hits")
