@@ -111,7 +111,7 @@ def split_recursive(text: str, most: int = 6000, overlap: int = 800, least: int
 
     pieces = [p.strip() for p in cut(text, 0)]
     pieces = [p for p in pieces if len(p) >= least]
-    return [p if i == 0 else f"{pieces[i - 1][-overlap:]} {p}" for i, p in enumerate(pieces)]
+    return [p if i == 0 or not overlap else f"{pieces[i - 1][-overlap:]} {p}" for i, p in enumerate(pieces)]
 
 
 def chunk_recursive(docs: DataFrame, most: int = 6000, overlap: int = 800, least: int = 100, cap: int = 50_000) -> DataFrame:
