@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from veristry.plans import content, lists, registry, statistics  # noqa: F401
+from veristry.plans import content, lists, more, registry, statistics  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -121,3 +121,19 @@ def search_clusters(clustered: DataFrame, centres: DataFrame, query: DataFrame,
     """The k nearest vectors within the clusters whose centres are nearest to the query."""
     near = centres.crossJoin(F.broadcast(query)).withColumn("d", -dot(F.col("centre"), F.col("q"))).orderBy("d", "cluster").limit(probes).select("cluster")
     return vector_search(clustered.join(F.broadcast(near), "cluster", "left_semi"), query, None, k)
+
+
+def why(candidates: DataFrame, evidence: DataFrame, entity: str = "nces_id") -> DataFrame:
+    """Summary sentence of each ranked entity: strong categories (3 and more), similarity in words, first three keywords.
+
+    ``candidates`` has top and the four category scores; ``evidence`` has
+    category and keyword_list for each entity.
+    """
+    names = ("readiness", "alignment", "activation", "branding")
+    strong = F.array_compact(F.array(*[F.when(F.col(c) >= 3.0, F.lit(c)) for c in names]))
+    words = evidence.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("category", "keyword_list"))).alias("_e"))
+    split = F.flatten(F.transform("_e", lambda x: F.split(x["keyword_list"], ",")))
+    j = candidates.join(words, entity, "left").withColumn("_k", F.slice(F.array_distinct(F.coalesce(split, F.array().cast("array<string>"))), 1, 3))
+    near = F.when(F.col("top") >= 0.7, "strong semantic match").when(F.col("top") >= 0.5, "moderate semantic match").otherwise("weak semantic match")
+    parts = F.array_compact(F.array(F.when(F.size(strong) > 0, F.concat(F.lit("strong in "), F.array_join(strong, ", "))), near, F.when(F.size("_k") > 0, F.concat(F.lit("keywords: "), F.array_join("_k", ", ")))))
+    return j.select(entity, F.array_join(parts, "; ").alias("summary"))

@@ -16,9 +16,9 @@ def read_registry(spark: SparkSession, path: str, columns: list[str], mapping: d
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _bad string"
     raw = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("columnNameOfCorruptRecord", "_bad").csv(path)
     clean = [F.when(F.upper(F.trim(f"`{c}`")).isin("", "N/A"), None).otherwise(F.trim(f"`{c}`")).alias(c) for c in columns]
-    good = raw.where("_bad is null").select(clean)
     # Spark reads the column of bad lines only beside others
-    broken = F.col("_bad").isNotNull() & (F.concat_ws("", *[F.col(f"`{c}`") for c in columns]) >= "")
+    others = F.concat_ws("", *[F.col(f"`{c}`") for c in columns]) >= ""
+    good, broken = raw.where(F.col("_bad").isNull() & others).select(clean), F.col("_bad").isNotNull() & others
     good = good.where(admit) if admit is not None else good
     return good.select([(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in mapping.items()]), raw.where(broken).select(F.col("_bad").alias("line"))
 

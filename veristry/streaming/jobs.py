@@ -23,3 +23,22 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def latest_table(spark: SparkSession, stream: DataFrame, keys: list[str], order: str, folder: str) -> DataFrame:
+    """Keeps the row of largest ``order`` for each key, batch by batch; each batch writes a new version of the table.
+
+    A version is a folder of its own, so a batch never overwrites what it
+    reads, and a batch that runs again after a failure gives the same version.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        rows = batch if number == 0 else batch.unionByName(session.read.schema(batch.schema).parquet(f"{folder}/v{number - 1}"))
+        first = F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")
+        rows.groupBy(*keys).agg(first).select("r.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
+
+    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    return spark.read.schema(stream.schema).parquet(f"{folder}/v{last['batchId']}")
