@@ -74,6 +74,8 @@ def components(edges: DataFrame, what: str = "components", most_rounds: int = 40
         small = large.join(least, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y"))
         small = small.union(least.select("a", "m")).where("x <> y").distinct()
         e = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")), what)
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     roots = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
 
