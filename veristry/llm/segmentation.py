@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .words import _BASE, mix, powers, raw, slices
 
 OFFSET = 10.0
-_SLICE = 2 << 20
+_SLICE = 3 << 18
 _SPACE = 0x20
+#: Brings what differs in a hash into its first bits.
+_SPREAD = 0x9E3779B97F4A7C15
 
 
 @dataclass
@@ -44,9 +46,11 @@ class Vocabulary:
     byte_ids: np.ndarray
 
     def __post_init__(self):
-        #: A quick test of a hash's first 20 bits.
-        self.maybe = np.zeros(1 << 20, bool)
+        #: Quick tests of a hash's first 20 bits: may it be a piece, may a piece begin with it.
+        self.maybe, self.begins = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
         self.maybe[self.hashes >> np.uint64(44)] = True
+        heads = {self.pieces[i][:n] for i in self.ids for n in range(1, len(self.pieces[i]))}
+        self.begins[np.array([_hash(x) for x in heads] or [0], np.uint64) >> np.uint64(44)] = True
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` that are pieces, and their ids."""
@@ -61,7 +65,7 @@ def _hash(data: bytes) -> int:
     for b in data:
         total = (total + (b + 1) * power) % (1 << 64)
         power = power * _BASE % (1 << 64)
-    return int(mix(np.array([total], np.uint64))[0])
+    return total * _SPREAD % (1 << 64)
 
 
 def load(path: str, temperature: float = 1.0) -> Vocabulary:
@@ -122,68 +126,67 @@ class Lattice:
         at = np.repeat(begin - self.first, size) + np.arange(int(size.sum()))
         x = data[at]
         n = len(x)
-        left = np.repeat(self.first + size, size) - np.arange(n)  # bytes to the unit's end
+        left = (np.repeat(self.first + size, size) - np.arange(n))  # bytes to the unit's end
         up, down = powers(_BASE, n + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n])])
         head = (x & 0xC0) != 0x80
+        spread = down[:n] * np.uint64(_SPREAD)
         starts, sizes, ids = [], [], []
         place = np.flatnonzero(head)
         for length in range(1, v.longest + 1):
             place = place[left[place] >= length]
             if not len(place):
                 break
-            some, own = v.look_up(mix((sums[place + length] - sums[place]) * down[place]))
+            h = (sums[place + length] - sums[place]) * spread[place]
+            some, own = v.look_up(h)
             starts.append(place[some])
-            sizes.append(np.full(len(some), length))
-            ids.append(own)
+            sizes.append(np.full(len(some), length, np.uint8))
+            ids.append(own.astype(np.int32))
+            place = place[v.begins[h >> np.uint64(44)]]
         # a character that is no piece falls back to its bytes
         heads = np.flatnonzero(head)
         width = np.diff(np.append(heads, n))
-        one = np.zeros(n, bool)
-        w = np.zeros(n, np.int64)
+        one, w = np.zeros(n, bool), np.zeros(n, np.int64)
         w[heads] = width
         for s, length in zip(starts[:4], sizes, strict=False):
             one[s[w[s] == length]] = True
         lone = heads[~one[heads]]
         starts.append(lone)
-        sizes.append(w[lone])
-        ids.append(np.full(len(lone), -1))
+        sizes.append(w[lone].astype(np.uint8))
+        ids.append(np.full(len(lone), -1, np.int32))
         start, step, piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
+        del starts, sizes, ids, sums, spread, one, w
         fallback = float(v.log_weight[v.byte_ids[0]])
-        score = np.where(piece >= 0, v.log_weight[np.maximum(piece, 0)], fallback * step)
+        score = np.where(piece >= 0, v.log_weight[np.maximum(piece, 0)], fallback * step.astype(np.float64))
         # from the ends of the units backwards, all positions equally far from their end at once
         far = left[start]
-        order = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")
-        start, step, piece, score = start[order], step[order], piece[order], score[order]
+        # of one position the longest pieces first; they are the likeliest as a rule, so that few edges are looked at
+        order = np.argsort((far.astype(np.uint64) << np.uint64(40)) | (start.astype(np.uint64) << np.uint64(8)) | (np.uint64(255) - step.astype(np.uint64)))
+        start, step, piece, score, far = start[order], step[order], piece[order], score[order], far[order]
         total = np.zeros(n + 1)
-        is_end = np.zeros(n + 1, bool)
-        is_end[self.first + size] = True
-        far = left[start]
-        cuts = [0, *(np.flatnonzero(np.diff(far)) + 1), len(far)]
+        new = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
+        width = np.diff(np.append(new, len(start)))
+        inner = far != step  # the edge doesn't end its unit
+        to = np.minimum(start + step, n)
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(far[new]) != 0, [True]])) if len(new) else np.zeros(1, np.int64)
         for a, b in zip(cuts, cuts[1:], strict=False):
-            own, to = start[a:b], start[a:b] + step[a:b]
-            by = np.argsort(own, kind="stable")
-            o = own[by]
-            edge = score[a:b][by] + np.where(far[a:b][by] == step[a:b][by], 0.0, total[np.minimum(to[by], n)])
-            new = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            top = np.maximum.reduceat(edge, new)
-            total[o[new]] = top + np.log(np.add.reduceat(np.exp(edge - np.repeat(top, np.diff(np.append(new, len(o))))), new))
-        value = score + np.where(far == step, 0.0, total[np.minimum(start + step, n)]) - total[start]
-        # the likeliest first, so that few are looked at; the bits of positive floats order like the floats
-        worth = np.maximum(-value, 0).astype(np.float32).view(np.uint32)
-        order = np.argsort((start.astype(np.uint64) << np.uint64(32)) | worth)
-        self.piece, self.step, self.log_p, self.score = piece[order], step[order], value[order], score[order]
-        self.edges = np.searchsorted(start[order], np.arange(n + 1))
-        self.left = left
-        p = np.exp(self.log_p)
+            own = new[a:b]
+            x, y = own[0], own[-1] + width[b - 1]
+            edge = score[x:y] + np.where(inner[x:y], total[to[x:y]], 0.0)
+            top = np.maximum.reduceat(edge, own - x)
+            total[start[own]] = top + np.log(np.add.reduceat(np.exp(edge - np.repeat(top, width[a:b])), own - x))
+        value = score + np.where(inner, total[to], 0.0) - total[start]
+        self.start, self.step, self.piece, self.score, self.log_p, self.left = start, step, piece, score, value, left
+        #: First and last edge of each position.
+        self.first_edge, self.last_edge = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.first_edge[start[new]], self.last_edge[start[new]] = new, new + width - 1
+        p = np.exp(value)
         run = np.cumsum(p)
-        before = np.repeat((run - p)[np.minimum(self.edges[:-1], len(run) - 1)], np.diff(self.edges)) if len(p) else p
-        self.upto = run - before
+        self.upto = run - np.repeat((run - p)[new], width)
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge at each place by its probability."""
-        edge = self.edges[place]
-        last = self.edges[place + 1] - 1
+        edge, last = self.first_edge[place], self.last_edge[place]
         todo = np.flatnonzero((u >= self.upto[edge]) & (edge < last))
         while len(todo):
             edge[todo] += 1
@@ -193,7 +196,7 @@ class Lattice:
 
     def draw_other(self, place: int, gone: list[int], u: float) -> int:
         """An edge at one place by its probability, but none of ``gone``."""
-        own = [e for e in range(self.edges[place], self.edges[place + 1]) if e not in gone]
+        own = [e for e in range(self.first_edge[place], self.last_edge[place] + 1) if e not in gone]
         p = [math.exp(self.log_p[e]) for e in own]
         u *= sum(p)
         for e, x in zip(own, p, strict=True):
@@ -211,16 +214,16 @@ def uniform(*parts: np.ndarray | int) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def _below(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """A Gumbel variable at phi, given that it is below ``top``."""
-    return phi - np.logaddexp(phi - top, np.log(-np.log(u)))
+def _below(chance: float, top: float) -> float:
+    """The perturbed value that a chance (see ``_chances``) stands for, given that it is below ``top``."""
+    return -float(np.logaddexp(-top, -chance)) if chance > -np.inf else -np.inf
 
 
 def _walk(lat: Lattice, unit: np.ndarray, place: np.ndarray, key: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from ``place`` to the end of each unit, as (index of the unit, edge), in order."""
     who, edges, alive, now, step = [], [], np.arange(len(unit)), place.copy(), 0
     while len(alive):
-        e = lat.draw(now, uniform(key[alive], sample, step))
+        e = lat.draw(now, uniform(sample, step, key[alive]))
         who.append(alive)
         edges.append(e)
         going = lat.step[e] < lat.left[now]
@@ -247,7 +250,10 @@ def sample_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.
     up, down = powers(_BASE, len(put) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((put.astype(np.uint64) + np.uint64(1)) * up[: len(put)])])
     h = mix((sums[end] - sums[begin]) * down[begin])
-    _, which, unit = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    new = np.concatenate([[True], np.diff(h[order]) != 0])
+    which, unit = order[new], np.empty(len(h), np.int64)
+    unit[order] = np.cumsum(new) - 1
     lat = Lattice(v, put, begin[which], end[which])
     row_first = np.cumsum(count) - count
     row_of = np.repeat(np.arange(rows), count)
@@ -256,19 +262,21 @@ def sample_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.
     return _search(v, lat, put, begin, unit, key, keys, row_first, count, who, edge, k, results)
 
 
-def _leaving(logp: np.ndarray, first: np.ndarray, base: np.ndarray, most: np.ndarray, keys: np.ndarray, path: int) -> np.ndarray:
-    """Perturbed values of the subtrees that leave paths at each of their places.
+def _chances(logp: np.ndarray, first: np.ndarray, base: np.ndarray, keys: np.ndarray, path: int) -> np.ndarray:
+    """Gumbel variables at the log probabilities of the subtrees that leave paths at each of their places.
 
     The paths lie one after the other in ``logp`` from ``first`` on; ``base`` is
-    the log probability before each, ``most`` the bound on its values.
+    the log probability before each.  The largest chance below a bound is also
+    the largest perturbed value below it, so the bound is applied to that one only.
     """
     n = np.diff(np.append(first, len(logp)))
     run = np.cumsum(logp) - logp
     before = run + np.repeat(base - run[np.minimum(first, max(0, len(run) - 1))], n) if len(logp) else run
     with np.errstate(divide="ignore"):
         phi = before + np.log(np.where(logp > -1e-12, 0.0, -np.expm1(logp)))
-    u = uniform(np.repeat(keys, n), 7 + path, np.arange(len(logp)) - np.repeat(first, n))
-    return np.where(phi > -np.inf, _below(phi, np.repeat(most, n), u), -np.inf)
+    row = mix(keys ^ mix(np.full(len(keys), 7 + path, np.uint64)))
+    u = uniform(np.repeat(row, n) + (np.arange(len(logp)) - np.repeat(first, n)).astype(np.uint64))
+    return phi - np.log(-np.log(u))
 
 
 def _search(v, lat, put, begin, unit, key, keys, row_first, count, who, edge, k, results):
@@ -278,31 +286,33 @@ def _search(v, lat, put, begin, unit, key, keys, row_first, count, who, edge, k,
     logp = lat.log_p[edge]
     cuts = np.searchsorted(who, np.append(row_first[rows], len(unit)))
     top = -np.log(-np.log(uniform(keys[rows], 1 << 20)))
-    values = _leaving(logp, cuts[:-1], np.zeros(len(rows)), top, keys[rows], 0)
-    #: Of each row its paths (unit, edge, log probability of each place) and its unopened subtrees (values, path, first place).
+    chances = _chances(logp, cuts[:-1], np.zeros(len(rows)), keys[rows], 0)
+    #: Of each row its paths (unit, edge, log probability of each place) and its unopened subtrees (chances, path, first place, bound).
     paths = [[(who[a:b], edge[a:b], logp[a:b])] for a, b in zip(cuts, cuts[1:], strict=False)]
-    unopened = [[(values[a:b], 0, 0)] for a, b in zip(cuts, cuts[1:], strict=False)]
+    unopened = [[(chances[a:b], 0, 0, float(most))] for a, b, most in zip(cuts, cuts[1:], top, strict=False)]
     gone: list[dict[tuple[int, int], list[int]]] = [{} for _ in rows]
     active = list(range(len(rows)))
     for number in range(1, k):
         draws = uniform(keys[rows], 1 << 21, number), uniform(keys[rows], 1 << 22, number)
         jobs = []
         for i in active:
-            tops = [(float(x.max()) if len(x) else -np.inf) for x, _, _ in unopened[i]]
+            tops = [_below(float(x.max()), most) if len(x) else -np.inf for x, _, _, most in unopened[i]]
             best = tops.index(max(tops))
             if tops[best] == -np.inf:
                 continue
-            value, (own, path, since) = tops[best], unopened[i][best]
+            value, (own, path, since, most) = tops[best], unopened[i][best]
             j = int(own.argmax())
             at = since + j
             w, e, lp = paths[i][path]
-            place = int(np.searchsorted(lat.edges, e[at], side="right") - 1)
+            place = int(lat.start[e[at]])
             without = gone[i].setdefault((path, at), [int(e[at])])
             other = lat.draw_other(place, without, float(draws[0][i]))
             without.append(other)  # the subtree lives on without the edge that is now followed
             before, mass = float(lp[:at].sum()), 1 - sum(math.exp(lat.log_p[x]) for x in without)
-            some_left = len(without) < lat.edges[place + 1] - lat.edges[place] and mass > 1e-12
-            own[j] = _below(np.array(before + math.log(mass)), np.array(value), draws[1][i]) if some_left else -np.inf
+            some_left = len(without) <= lat.last_edge[place] - lat.first_edge[place] and mass > 1e-12
+            own[j] = -np.inf
+            if some_left:
+                unopened[i].append((np.array([before + math.log(mass) - math.log(-math.log(draws[1][i]))]), path, at, value))
             inside = bool(lat.step[other] < lat.left[place])
             jobs.append((i, path, at, other, value, before + float(lat.log_p[other]), int(w[at]) + (not inside), place + int(lat.step[other]) if inside else -1))
         active = [j[0] for j in jobs]
@@ -318,17 +328,17 @@ def _search(v, lat, put, begin, unit, key, keys, row_first, count, who, edge, k,
         walked, more = _walk(lat, unit[units], starts, key[units], number)
         new_who, new_logp = units[walked], lat.log_p[more]
         cuts = np.searchsorted(walked, np.append(first, len(units)))
-        values = _leaving(new_logp, cuts[:-1], np.array([j[5] for j in jobs]), np.array([j[4] for j in jobs]), keys[rows[active]], number)
-        for (i, path, at, other, *_), a, b in zip(jobs, cuts, cuts[1:], strict=False):
+        chances = _chances(new_logp, cuts[:-1], np.array([j[5] for j in jobs]), keys[rows[active]], number)
+        for (i, path, at, other, value, *_), a, b in zip(jobs, cuts, cuts[1:], strict=False):
             w, e, lp = paths[i][path]
             paths[i].append((np.concatenate([w[: at + 1], new_who[a:b]]), np.concatenate([e[:at], [other], more[a:b]]), np.concatenate([lp[:at], lat.log_p[other : other + 1], new_logp[a:b]])))
-            unopened[i].append((values[a:b], len(paths[i]) - 1, at + 1))
+            unopened[i].append((chances[a:b], len(paths[i]) - 1, at + 1, value))
     flat = [p for own in paths for p in own]
     size = np.array([len(p[1]) for p in flat])
     ids, bounds = _ids(lat, v, np.concatenate([p[1] for p in flat]), np.cumsum(size) - size, begin[row_first[np.repeat(rows, [len(p) for p in paths])]], put)
     place = 0
     for i, row in enumerate(rows):
-        rest = max(float(x.max()) if len(x) else -np.inf for x, _, _ in unopened[i])
+        rest = max(_below(float(x.max()), most) if len(x) else -np.inf for x, _, _, most in unopened[i])
         for _, _, lp in paths[i]:
             total = float(lp.sum())
             inclusion = 1.0 if rest == -np.inf else -math.expm1(-math.exp(min(total - rest, 50.0)))
@@ -342,7 +352,7 @@ def _ids(lat: Lattice, v: Vocabulary, edge: np.ndarray, first: np.ndarray, start
     ids = lat.piece[edge]
     if (ids >= 0).all():
         return ids.astype(np.int32), np.append(first, len(ids))
-    size = lat.step[edge]
+    size = lat.step[edge].astype(np.int64)
     run = np.cumsum(size) - size
     at = run + np.repeat(start - run[first], np.diff(np.append(first, len(edge))))
     times = np.where(ids >= 0, 1, size)
