@@ -173,3 +173,83 @@ def agg_24b(t):
 @query("doc_05_frontier_size")
 def doc_05b(t):
     return D.frontier(D.page_links(t.pages), 3).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("src_01_scan", "SELECT count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'O'")
+def src_01(t):
+    return t.orders.where("o_orderstatus = 'O'").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def _raw_csv(t):
+    """A source file in its own form: other names, padded and 'N/A' values, every field quoted."""
+    path = _folder(t, "source-csv")
+    rows = t.registry.select(F.concat(F.lit("  "), "district_name").alias("Institution Name"), F.col("state_district_id").alias("AUN"), F.coalesce("first_name", F.lit("N/A")).alias("Administrator"), F.when(F.col("id") % 5 == 0, "Closed").otherwise("Open").alias("Status"))
+    files.export_csv(rows, path, quote_all=True)
+    return path, ["Institution Name", "AUN", "Administrator", "Status"]
+
+
+@query("src_04_mapping", "SELECT state_district_id, lower(district_name) AS name, first_name AS administrator, 'PA' AS state FROM registry", "registry")
+def src_04(t):
+    path, columns = _raw_csv(t)
+    return files.read_registry(t.spark, path, columns, {"state_district_id": "AUN", "name": "lower(`Institution Name`)", "administrator": "Administrator", "state": "'PA'"})[0]
+
+
+@query("src_05_admission", "SELECT state_district_id FROM registry WHERE id % 5 <> 0 AND first_name IS NOT NULL", "registry")
+def src_05(t):
+    path, columns = _raw_csv(t)
+    return files.read_registry(t.spark, path, columns, {"state_district_id": "AUN"}, (F.col("Status") == "Open") & F.col("Administrator").isNotNull())[0]
+
+
+@query("src_12_all_quoted", "SELECT count(*) AS n, count(first_name) AS named FROM registry", "registry")
+def src_12(t):
+    path, columns = _raw_csv(t)
+    return files.read_registry(t.spark, path, columns, {"name": "Administrator", "id": "AUN"})[0].agg(F.count("id").alias("n"), F.count("name").alias("named"))
+
+
+# No SQL: the other engine rounds the number of transpositions down.
+@query("match_03_similarity")
+def match_03(t):
+    from ..functions.names import similarity
+
+    r = t.registry.select("id", "state", "city", F.lower("district_name").alias("a"))
+    return r.join(t.districts.select("nces_id", "state", "city", F.col("district_name").alias("b")), ["state", "city"]).select("id", "nces_id", F.round(similarity("a", "b"), 6).alias("s"))
+
+
+@query("match_06_exact_id", "SELECT r.id, d.nces_id FROM registry r JOIN districts d ON r.state_district_id = d.nces_id WHERE r.state = d.state", "registry districts")
+def match_06(t):
+    d = t.districts.select("nces_id", F.col("state").alias("s"))
+    return M.match_ids(t.registry, t.districts).join(t.registry.select("id", "state"), "id").join(d, "nces_id").where("state = s").select("id", "nces_id")
+
+
+@query("topk_01_nearest", f"WITH {NEAR} SELECT vec_id FROM d WHERE vec_id <> 0 ORDER BY d.distance, vec_id LIMIT 20", "vectors")
+def topk_01(t):
+    return S.vector_search(t.vectors.where("vec_id <> 0"), S.query_vector(t.vectors, 0), None, 20).select("vec_id")
+
+
+@query("score_01_standard_terms", "SELECT nces_id, 0.0e0 AS total, 'tier3' AS outreach_tier FROM docs WHERE extracted_text IS NOT NULL GROUP BY nces_id", "docs")
+def score_01(t):
+    from ..operators.terms import TERMS
+
+    return T.score_entities(T.match_taxonomy(t.docs, TERMS, AS_OF), t.docs).select("nces_id", "total", "outreach_tier")
+
+
+@query("score_06_category", f"WITH {MATCH_SQL}, o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY nces_id, category, keyword ORDER BY discovered_at, doc_id) = 1) SELECT nces_id, category, round(least(10, 2 * sum(adjusted + CASE WHEN exact THEN 0.2e0 ELSE 0 END)), 6) AS score FROM o GROUP BY ALL", "docs")
+def score_06(t):
+    once = B.latest_per_key(_matches(t), ["nces_id", "category", "keyword"], [F.col("discovered_at"), F.col("doc_id")])
+    worth = F.col("adjusted") + F.when(F.col("exact"), 0.2).otherwise(0.0)
+    return once.groupBy("nces_id", "category").agg(F.round(F.least(F.lit(10.0), 2 * F.sum(worth)), 6).alias("score"))
+
+
+@query("rank_07_cut", "SELECT nces_id, row_number() OVER (ORDER BY c DESC, nces_id)::INTEGER AS place FROM (SELECT nces_id, greatest(0.2e0, least(0.98e0, total / 5)) AS c FROM scores) WHERE c >= 0.35 ORDER BY c DESC, nces_id LIMIT 25", "scores")
+def rank_07(t):
+    from pyspark.sql import Window
+
+    c = t.scores.select("nces_id", F.greatest(F.lit(0.2), F.least(F.lit(0.98), F.col("total") / 5)).alias("c")).where("c >= 0.35")
+    top = c.orderBy(F.desc("c"), "nces_id").limit(25)  # so few that one window may number them
+    return top.select("nces_id", F.row_number().over(Window.orderBy(F.desc("c"), "nces_id")).alias("place"))
+
+
+@query("rank_09_signals", "SELECT nces_id, array_to_string(list_filter([CASE WHEN readiness >= 3 THEN 'readiness' END, CASE WHEN alignment >= 3 THEN 'alignment' END, CASE WHEN activation >= 2 THEN 'activation' END, CASE WHEN documents_analyzed < 2 THEN 'few documents' END], lambda x: x IS NOT NULL), '|') AS signals FROM scores", "scores")
+def rank_09(t):
+    tests = [(F.col("readiness") >= 3, "readiness"), (F.col("alignment") >= 3, "alignment"), (F.col("activation") >= 2, "activation"), (F.col("documents_analyzed") < 2, "few documents")]
+    return t.scores.select("nces_id", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in tests])), "|").alias("signals"))
