@@ -37,12 +37,12 @@ def state_stats(districts: DataFrame, scores: DataFrame, docs: DataFrame, mode:
         per = docs.groupBy("nces_id").agg(F.count("*").alias("_docs"))
         j = districts.join(scores, "nces_id", "left").join(per, "nces_id", "left")
         n = F.coalesce(F.sum("_docs"), F.lit(0))
-    return j.groupBy("state").agg(F.count_distinct("nces_id").alias("n_districts"), n.alias("n_documents"), F.round(F.avg("total"), 4).alias("mean_total"), F.count(F.when(F.col("outreach_tier") == "tier1", 1)).alias("tier1"))
+    return j.groupBy("state").agg(F.count_distinct("nces_id").alias("n_districts"), n.alias("n_documents"), F.round(F.avg("total"), 6).alias("mean_total"), F.count(F.when(F.col("outreach_tier") == "tier1", 1)).alias("tier1"))
 
 
 def score_stats(scores: DataFrame) -> DataFrame:
     kinds = [f(c).alias(f"{name}_{c}") for c in SCORES for name, f in (("min", F.min), ("max", F.max))]
-    return scores.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in SCORES], *kinds)
+    return scores.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in SCORES], *kinds)
 
 
 def coverage(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
@@ -52,7 +52,7 @@ def coverage(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
 
 def crawl_totals(log: DataFrame) -> DataFrame:
     status = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("success", "failure", "skipped")]
-    return log.agg(F.count("*").alias("requests"), F.count_distinct("nces_id").alias("districts"), *status, F.count(F.when(F.col("extraction_success"), 1)).alias("extracted"), F.round(F.avg("response_ms"), 2).alias("mean_ms"))
+    return log.agg(F.count("*").alias("requests"), F.count_distinct("nces_id").alias("districts"), *status, F.count(F.when(F.col("extraction_success"), 1)).alias("extracted"), F.round(F.avg("response_ms"), 6).alias("mean_ms"))
 
 
 def success_rates(log: DataFrame, by: str = "url_type") -> DataFrame:
@@ -72,7 +72,7 @@ def exploded_counts(df: DataFrame, column: str) -> DataFrame:
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     kinds = [F.count(F.when(F.col("document_type") == t, 1)).alias(t) for t in ("pdf", "html")]
-    return docs.agg(F.count("*").alias("n"), F.count_distinct("nces_id").alias("districts"), *kinds, F.sum("text_length").cast("long").alias("characters"), F.round(F.avg("text_length"), 2).alias("mean_length"))
+    return docs.agg(F.count("*").alias("n"), F.count_distinct("nces_id").alias("districts"), *kinds, F.sum("text_length").cast("long").alias("characters"), F.round(F.avg("text_length"), 6).alias("mean_length"))
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
@@ -121,7 +121,7 @@ def telemetry(searches: DataFrame, as_of: str, days: int = 30, k: int = 15) -> D
     end = F.lit(as_of).cast("timestamp")
     near = searches.where(F.col("generated_at") >= end - F.make_interval(days=F.lit(min(60, max(1, days)))))
     plain = F.regexp_replace(F.lower(F.trim("prompt")), r"\s+", " ")
-    return near.agg(F.count("*").alias("n"), F.round(F.avg("result_count"), 2).alias("mean_results"), F.count_distinct(plain).alias("prompts"), F.count_distinct("user_id").alias("users"))
+    return near.agg(F.count("*").alias("n"), F.round(F.avg("result_count"), 6).alias("mean_results"), F.count_distinct(plain).alias("prompts"), F.count_distinct("user_id").alias("users"))
 
 
 def repeated_entities(searches: DataFrame, k: int = 20) -> DataFrame:

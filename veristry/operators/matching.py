@@ -91,7 +91,7 @@ def accept(matches: DataFrame, registry: DataFrame, districts: DataFrame, cut: f
 def match_report(matches: DataFrame) -> DataFrame:
     """Count, share of all, and mean confidence of each method."""
     total = Window.partitionBy()
-    return matches.groupBy("match_method").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence")).withColumn("share", F.round(100 * F.col("n") / F.sum("n").over(total), 1))
+    return matches.groupBy("match_method").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).withColumn("share", F.round(100 * F.col("n") / F.sum("n").over(total), 1))
 
 
 def registry_view(districts: DataFrame, matches: DataFrame, registry: DataFrame) -> DataFrame:

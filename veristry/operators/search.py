@@ -34,8 +34,8 @@ def similar_documents(vectors: DataFrame, doc_id: int, threshold: float = 0.7, k
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest vectors of each query; queries (query_id, q) are few enough to broadcast."""
-    j = vectors.crossJoin(F.broadcast(queries)).withColumn("distance", cosine_distance(F.col("embedding"), F.col("q")))
+    """The k nearest other vectors of each query; queries (query_id, q) are few enough to broadcast."""
+    j = vectors.crossJoin(F.broadcast(queries)).where("vec_id <> query_id").withColumn("distance", cosine_distance(F.col("embedding"), F.col("q")))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return j.where("distance is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "vec_id", "distance")
 

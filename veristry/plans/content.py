@@ -231,14 +231,14 @@ COS = "1 - list_dot_product(list_transform({a}, lambda x: x::DOUBLE), list_trans
 NEAR = "d AS (SELECT v.*, " + COS.format(a="v.embedding", b="q.embedding") + " AS distance FROM vectors v, (SELECT embedding FROM vectors WHERE vec_id = 0) q)"
 
 
-@query("vec_01_search", f"WITH {NEAR} SELECT vec_id, round(distance, 6) AS distance, round(1 - distance / 2, 6) AS relevance FROM d WHERE distance < 0.8 ORDER BY d.distance, vec_id LIMIT 20", "vectors")
+@query("vec_01_search", f"WITH {NEAR} SELECT vec_id, round(distance, 6) AS distance, round(1 - distance / 2, 6) AS relevance FROM d WHERE distance < 0.8 AND vec_id <> 0 ORDER BY d.distance, vec_id LIMIT 20", "vectors")
 def vec_01(t):
-    return S.vector_search(t.vectors, S.query_vector(t.vectors, 0), 0.8).select("vec_id", F.round("distance", 6).alias("distance"), F.round("relevance", 6).alias("relevance"))
+    return S.vector_search(t.vectors.where("vec_id <> 0"), S.query_vector(t.vectors, 0), 0.8).select("vec_id", F.round("distance", 6).alias("distance"), F.round("relevance", 6).alias("relevance"))
 
 
-@query("vec_02_search_baseline", f"WITH {NEAR} SELECT vec_id, x.nces_id, round(distance, 6) AS distance FROM d JOIN districts x ON x.nces_id = d.nces_id WHERE distance < 0.9 ORDER BY d.distance, vec_id LIMIT 20", "vectors districts")
+@query("vec_02_search_baseline", f"WITH {NEAR} SELECT vec_id, x.nces_id, round(distance, 6) AS distance FROM d JOIN districts x ON x.nces_id = d.nces_id WHERE distance < 0.9 AND vec_id <> 0 ORDER BY d.distance, vec_id LIMIT 20", "vectors districts")
 def vec_02(t):
-    v = t.vectors.join(t.districts.select("nces_id"), "nces_id", "left_semi")
+    v = t.vectors.where("vec_id <> 0").join(t.districts.select("nces_id"), "nces_id", "left_semi")
     return S.vector_search(v, S.query_vector(t.vectors, 0), 0.9).select("vec_id", "nces_id", F.round("distance", 6).alias("distance"))
 
 
@@ -277,7 +277,7 @@ def vec_07(t):
     return S.search_clusters(clustered, centres, S.query_vector(t.vectors, 0)).select("vec_id", "cluster", "distance")
 
 
-@query("vec_08_many", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM vectors WHERE vec_id < 5), d AS (SELECT query_id, vec_id, " + COS.format(a="v.embedding", b="q.q") + " AS distance FROM vectors v, q) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS place, vec_id, round(distance, 6) AS distance FROM d QUALIFY place <= 10", "vectors")
+@query("vec_08_many", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM vectors WHERE vec_id < 5), d AS (SELECT query_id, vec_id, " + COS.format(a="v.embedding", b="q.q") + " AS distance FROM vectors v, q WHERE vec_id <> query_id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS place, vec_id, round(distance, 6) AS distance FROM d QUALIFY place <= 10", "vectors")
 def vec_08(t):
     queries = t.vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return S.search_many(t.vectors, queries).withColumn("distance", F.round("distance", 6))

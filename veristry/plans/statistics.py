@@ -21,7 +21,7 @@ def agg_01(t):
     return I.overview(t.districts, t.scores, t.docs)
 
 
-STATE_SQL = "SELECT state, count(DISTINCT d.nces_id) AS n_districts, {docs} AS n_documents, round(avg(total), 4) AS mean_total, count(*) FILTER (outreach_tier = 'tier1') AS tier1 FROM districts d LEFT JOIN scores s ON s.nces_id = d.nces_id LEFT JOIN {join} x ON x.nces_id = d.nces_id GROUP BY state"
+STATE_SQL = "SELECT state, count(DISTINCT d.nces_id) AS n_districts, {docs} AS n_documents, round(avg(total), 6) AS mean_total, count(*) FILTER (outreach_tier = 'tier1') AS tier1 FROM districts d LEFT JOIN scores s ON s.nces_id = d.nces_id LEFT JOIN {join} x ON x.nces_id = d.nces_id GROUP BY state"
 
 
 @query("agg_02_state_stats", STATE_SQL.format(docs="coalesce(sum(c), 0)::BIGINT", join="(SELECT nces_id, count(*) AS c FROM docs GROUP BY nces_id)"), "districts scores docs")
@@ -40,7 +40,7 @@ def agg_03(t):
     return s.agg(*[F.round(F.avg(c), 2).alias(f"mean_{c}") for c in I.SCORES], *[F.count(F.when(F.col("outreach_tier") == x, 1)).alias(x) for x in I.TIERS], F.count("*").alias("n"))
 
 
-@query("agg_04_score_stats", "SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS mean_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in I.SCORES) + " FROM scores", "scores")
+@query("agg_04_score_stats", "SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in I.SCORES) + " FROM scores", "scores")
 def agg_04(t):
     return I.score_stats(t.scores)
 
@@ -60,12 +60,12 @@ def agg_07(t):
     return t.registry.groupBy("state", "import_batch_id").agg(F.count("*").alias("n"), F.max("imported_at").alias("newest"))
 
 
-@query("agg_08_match_stats", "SELECT match_method, count(*) AS n, round(avg(confidence), 4) AS mean_confidence, round(100.0e0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM matches GROUP BY match_method", "matches")
+@query("agg_08_match_stats", "SELECT match_method, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(100.0e0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM matches GROUP BY match_method", "matches")
 def agg_08(t):
     return M.match_report(t.matches)
 
 
-@query("agg_10_crawl_totals", "SELECT count(*) AS requests, count(DISTINCT nces_id) AS districts, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("success", "failure", "skipped")) + ", count(*) FILTER (extraction_success) AS extracted, round(avg(response_ms), 2) AS mean_ms FROM crawl", "crawl")
+@query("agg_10_crawl_totals", "SELECT count(*) AS requests, count(DISTINCT nces_id) AS districts, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("success", "failure", "skipped")) + ", count(*) FILTER (extraction_success) AS extracted, round(avg(response_ms), 6) AS mean_ms FROM crawl", "crawl")
 def agg_10(t):
     return I.crawl_totals(t.crawl)
 
@@ -90,7 +90,7 @@ def agg_13(t):
     return I.exploded_counts(t.crawl, "keywords_found")
 
 
-@query("agg_14_corpus", "SELECT count(*) AS n, count(DISTINCT nces_id) AS districts, count(*) FILTER (document_type = 'pdf') AS pdf, count(*) FILTER (document_type = 'html') AS html, sum(text_length)::BIGINT AS characters, round(avg(text_length), 2) AS mean_length FROM docs WHERE nces_id IN (SELECT nces_id FROM crawl WHERE batch_id = 'b1')", "docs crawl")
+@query("agg_14_corpus", "SELECT count(*) AS n, count(DISTINCT nces_id) AS districts, count(*) FILTER (document_type = 'pdf') AS pdf, count(*) FILTER (document_type = 'html') AS html, sum(text_length)::BIGINT AS characters, round(avg(text_length), 6) AS mean_length FROM docs WHERE nces_id IN (SELECT nces_id FROM crawl WHERE batch_id = 'b1')", "docs crawl")
 def agg_14(t):
     return I.corpus_stats(t.docs.join(t.crawl.where("batch_id = 'b1'").select("nces_id"), "nces_id", "left_semi"))
 
@@ -129,7 +129,7 @@ def agg_20(t):
     return t.districts.select("nces_id").join(t.searches.select("id", F.col("user_id").alias("nces_id")), "nces_id", "left").groupBy("nces_id").agg(F.count("id").alias("items"))
 
 
-@query("agg_21_telemetry", "SELECT count(*) AS n, round(avg(result_count), 2) AS mean_results, count(DISTINCT regexp_replace(lower(trim(prompt)), '\\s+', ' ', 'g')) AS prompts, count(DISTINCT user_id) AS users FROM searches WHERE generated_at >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 20 DAY", "searches")
+@query("agg_21_telemetry", "SELECT count(*) AS n, round(avg(result_count), 6) AS mean_results, count(DISTINCT regexp_replace(lower(trim(prompt)), '\\s+', ' ', 'g')) AS prompts, count(DISTINCT user_id) AS users FROM searches WHERE generated_at >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 20 DAY", "searches")
 def agg_21(t):
     return I.telemetry(t.searches, AS_OF, 20)
 
