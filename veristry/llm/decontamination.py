@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import ALNUM, LOWER, Piece, pieces, slices
 
 #: Bytes of item text in one automaton; a byte makes about 13 nodes of 50 bytes.
@@ -142,6 +143,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, size: int = 13) ->
     without items nothing is contaminated.
     """
     columns = [c for c in docs.columns if c not in (*_RESULT, "_hit", "_items")]
+    small_batches(docs.sparkSession)
     out = docs.select([F.col(f"`{c}`") for c in columns])
     items = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import fold, held_out, per_class
+from .shared import small_batches
 from .words import raw, slices
 
 #: Buckets for each n-gram length, and segments' bytes in training.
@@ -194,6 +195,7 @@ def identify(docs: DataFrame, model: Model | None, *, doubt: float = 0.5) -> Dat
     are read, of any length.
     """
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    small_batches(docs.sparkSession)
     out = docs.select([F.col(f"`{c}`") for c in columns])
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     return out.mapInArrow(_predictor(model, doubt, len(columns), columns.index("text"), columns), f"{own}, lang_pred string, score double, ambiguous boolean")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, parts, stored
+from .shared import components, parts, small_batches, stored
 from .words import _SHIFT, LOWER, WHITE, _spans, mix, pieces, slices
 
 #: A block of more keys or more shingles than this is split.
@@ -309,6 +309,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     n = parts(spark)
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = stored(docs.mapInArrow(_info(size), _INFO), "sets")
     shared = docs.select("text").where("text is not null").mapInArrow(_tokens(size, n), _PACKED_SQL).groupBy("part").applyInArrow(_shared(n), _PACKED_SQL)

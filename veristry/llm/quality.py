@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import fold, held_out, per_class
+from .shared import small_batches
 from .words import WHITE, Piece, pieces, slices
 
 #: Buckets for each kind of feature.
@@ -160,6 +161,7 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     bias's score; without a model every score is 0.5.  Whole texts count.
     """
     columns = [c for c in docs.columns if c != "score"]
+    small_batches(docs.sparkSession)
     out = docs.select([F.col(f"`{c}`") for c in columns])
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     return out.mapInArrow(_scorer(model, len(columns), columns.index("text"), columns), f"{own}, score double")

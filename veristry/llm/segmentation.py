@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import _BASE, mix, powers, raw, slices
 
 OFFSET = 10.0
@@ -404,6 +405,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, seed: int = 0) -> Data
     """
     if k < 1:
         raise ValueError("k is at least 1")
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(v, k, seed), "doc_id long, sample int, ids array<int>, log_prob double, inclusion double")
 
 

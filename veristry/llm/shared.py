@@ -40,8 +40,15 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds the bytes of a batch of rows that goes to Python, unless the session sets its own bound.
+
+    Texts are long: Spark's 64 MB a batch cost an executor that much several
+    times for each task, in the JVM and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(name, size)
 
 
 def components(edges: DataFrame, what: str = "components", most_rounds: int = 40) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, parts, release
+from .shared import new_folder, parts, release, small_batches
 from .words import WHITE, mix, pieces, slices
 
 _CHECK = 0xA24BAED4963EE407
@@ -269,6 +269,7 @@ def remove_repeated_windows(docs: DataFrame, *, size: int = 13, batches: int = 3
     one after the other; the result does not depend on it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_hits", "_hit_doc")]
     docs = docs.select([F.col(f"`{c}`") for c in columns])
     index = FingerprintIndex(spark, size, fan_in)
