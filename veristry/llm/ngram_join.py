@@ -22,7 +22,6 @@ collisions of hashes.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, parts, small_batches, stored
+from .shared import components, drop_folder, parts, release, small_batches, stored
 from .words import _SHIFT, LOWER, WHITE, _spans, mix, pieces, slices
 
 #: A block of more keys or more shingles than this is split.
@@ -313,15 +312,16 @@ def jaccard_components(docs: DataFrame, *, size: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = stored(docs.mapInArrow(_info(size), _INFO), "sets")
     shared = docs.select("text").where("text is not null").mapInArrow(_tokens(size, n), _PACKED_SQL).groupBy("part").applyInArrow(_shared(n), _PACKED_SQL)
-    found = stored(shared.groupBy("part").applyInArrow(_candidates, _CANDIDATE), "candidates")
+    made: list[str] = []
+    found = stored(shared.groupBy("part").applyInArrow(_candidates, _CANDIDATE), "candidates", made)
     del shared
-    gc.collect()
-    spark._jvm.System.gc()  # Spark then deletes the shuffle files of the finished steps
+    release(spark)
     place = found.select("key", F.explode("prefix").alias("token"))
     least = place.groupBy(F.col("token").alias("t")).agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "b")
     blocks = components(place.join(least, place["token"] == least["t"]).select(F.col("key").alias("a"), "b"), "blocks")
     rows = found.select("key", "n", "tokens").join(blocks, found["key"] == blocks["id"]).select(F.col("root").alias("block"), "key", "n", "tokens")
-    rows = stored(rows, "block-rows")
+    rows = stored(rows, "block-rows", made)
+    drop_folder(spark, made.pop(0))
     count = rows.groupBy(F.col("block").alias("_b")).agg(F.count("*").alias("_n"), F.sum(F.length("tokens") / 8).alias("_t"))
     large = count.where((F.col("_n") > BLOCK_KEYS) | (F.col("_t") > BLOCK_SHINGLES)).where("_n > 1")
     large = stored(large.select("_b", F.ceil(F.greatest(F.col("_n") / BLOCK_KEYS, F.col("_t") / BLOCK_SHINGLES)).alias("pieces")), "large-blocks")
@@ -330,6 +330,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5) -> DataFrame:
     if large.take(1):
         links = links.union(_link_large(rows.join(large, rows["block"] == large["_b"]).drop("_b")))
     roots = components(links, "links")
+    drop_folder(spark, made.pop(0))
     keyed = info.join(roots, info["key"] == roots["id"], "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("group"))
     least = keyed.where("group is not null").groupBy(F.col("group").alias("_g")).agg(F.min("doc_id").alias("_least"))
     return keyed.join(least, keyed["group"] == least["_g"], "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))

@@ -27,11 +27,23 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage; survives lost executors."""
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a run has made and needs no more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, what: str, made: list[str] | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage; survives lost executors.
+
+    The folder's path is added to ``made``, for a caller who drops it once
+    nothing reads it.
+    """
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,7 +78,8 @@ def components(edges: DataFrame, what: str = "components", most_rounds: int = 40
     """
     spark = edges.sparkSession
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    e = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
+    made: list[str] = []
+    e = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what, made)
     last = None
     for _ in range(most_rounds):
         seen = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -80,7 +93,8 @@ def components(edges: DataFrame, what: str = "components", most_rounds: int = 40
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y"))
         small = small.union(least.select("a", "m")).where("x <> y").distinct()
-        e = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")), what)
+        e = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")), what, made)
+        drop_folder(spark, made.pop(0))  # the round before is written, so nothing reads this one
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     roots = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))

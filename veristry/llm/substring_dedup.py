@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, parts, release, small_batches
+from .shared import drop_folder, new_folder, parts, release, small_batches
 from .words import WHITE, mix, pieces, slices
 
 _CHECK = 0xA24BAED4963EE407
@@ -186,11 +186,13 @@ class FingerprintIndex:
             self._read([f for _, f in newest]).groupBy("part").applyInArrow(one_run, _PACKED_SQL).write.partitionBy("kind").parquet(folder)
             self.runs[-self.fan_in :] = [(newest[0][0] + 1, folder)]
             for _, f in newest:
-                self._drop(f"{f}/kind=run")
+                drop_folder(self.spark, f"{f}/kind=run")
 
-    def _drop(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def close(self) -> None:
+        """Deletes the runs; hits that were returned stay."""
+        for _, f in self.runs:
+            drop_folder(self.spark, f"{f}/kind=run")
+        self.runs = []
 
 
 def _by_document(n_parts: int):
@@ -290,6 +292,7 @@ def remove_repeated_windows(docs: DataFrame, *, size: int = 13, batches: int = 3
         hits = found if hits is None else hits.unionByName(found)
         del batch, found
         release(spark)
+    index.close()
     n = index.n_parts
     per_doc = hits.mapInArrow(_by_document(n), _PACKED_SQL).repartition(n, "part").groupBy("part").applyInArrow(_gather, "_hit_doc long, _hits binary")
     joined = docs.join(per_doc, docs["doc_id"].cast("long") == per_doc["_hit_doc"], "left").select(*[docs[f"`{c}`"] for c in columns], "_hits")
