@@ -33,7 +33,7 @@ from .shared import components, drop_folder, parts, release, small_batches, stor
 from .words import _SHIFT, LOWER, WHITE, _spans, mix, pieces, slices
 
 #: A block of more keys or more shingles than this is split.
-BLOCK_KEYS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_KEYS, BLOCK_SHINGLES = 2048, 2_000_000
 _LEAF = 8
 
 _INFO = "doc_id long, n_shingles long, key long"
@@ -248,15 +248,30 @@ def _link(t: pa.Table) -> list[dict]:
     return [{"a": int(key[p]), "b": int(key[q])} for p, q in link_block(t.column("n").to_numpy().astype(np.int64), sets, label)]
 
 
+def _stars(links: list[dict]) -> list[dict]:
+    """The same components as a link from each member to the smallest."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for link in links:
+        a, b = find(link["a"]), find(link["b"])
+        root[max(a, b)] = min(a, b)
+    return [{"a": x, "b": find(x)} for x in root if find(x) != x]
+
+
 def _link_groups(key, t):
-    """Each block of a group of blocks."""
+    """Each block of a group of blocks, each member linked with the smallest of its component."""
     out = []
     t = t.combine_chunks()
     block = t.column("block").to_numpy()
     order = np.argsort(block, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
         if len(rows) > 1:
-            out += _link(t.take(pa.array(rows)))
+            out += _stars(_link(t.take(pa.array(rows))))
     return pa.Table.from_pylist(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -327,9 +342,11 @@ def jaccard_components(docs: DataFrame, *, size: int = 5) -> DataFrame:
     large = stored(large.select("_b", F.ceil(F.greatest(F.col("_n") / BLOCK_KEYS, F.col("_t") / BLOCK_SHINGLES)).alias("pieces")), "large-blocks")
     small = rows.join(large, rows["block"] == large["_b"], "left_anti")
     links = small.groupBy(F.pmod(F.xxhash64("block"), F.lit(4 * n)).alias("g")).applyInArrow(_link_groups, "a long, b long")
+    links = stored(links, "links")
+    # a block is done in one task, so what it found are whole components
+    roots = links.select(F.col("a").alias("id"), F.col("b").alias("root"))
     if large.take(1):
-        links = links.union(_link_large(rows.join(large, rows["block"] == large["_b"]).drop("_b")))
-    roots = components(links, "links")
+        roots = roots.union(components(_link_large(rows.join(large, rows["block"] == large["_b"]).drop("_b")), "links"))
     drop_folder(spark, made.pop(0))
     keyed = info.join(roots, info["key"] == roots["id"], "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("group"))
     least = keyed.where("group is not null").groupBy(F.col("group").alias("_g")).agg(F.min("doc_id").alias("_least"))
