@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C55
 _SHIFT = 0xD1342543DE82EF95
