@@ -197,6 +197,26 @@ def test_embeddings_against_brute_force(frame, monkeypatch, least_rows):
     assert embedding_dedup.near_duplicates(frame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_of_a_dense_group_over_many_partitions(spark, frame, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAST_ROWS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        rng = np.random.default_rng(7)
+        centre = rng.normal(size=64)
+        x = np.float32(np.concatenate([centre + rng.normal(size=(900, 64)) * 0.22, rng.normal(size=(300, 64))]))
+        e = np.float64(x)
+        e /= np.linalg.norm(e, axis=1, keepdims=True)
+        near = (e @ e.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+        got = embedding_dedup.near_duplicates(frame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute_components(zip(*np.nonzero(np.triu(near)), strict=True), range(len(x)))
+    assert sum(r.n_links for r in got) == near.sum()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(near.sum(1).tolist()))
+    assert {r.vec_id: r.component_id for r in got} == {i: want[i] for i in range(len(x))}
+
+
 def test_same_as_sql_at_the_smallest_size(same_as_sql):
     for m, f, sql in ((ngram_join, "op1", "OP1_SQL"), (embedding_dedup, "op2", "OP2_SQL"), (decontamination, "op4", "OP4_SQL"), (substring_dedup, "op6", "OP6_SQL")):
         same_as_sql(getattr(m, f), getattr(m, sql))

@@ -1,151 +1,108 @@
-"""Near-duplicate embeddings by sorted projection passes.
-
-Equal vectors are folded to one.  In each pass a vector gets a key: the signs
-of its products with fixed random directions, as bits one after the other.
-Vectors are ordered by (label, key) across all partitions; each is compared
-with its neighbours in a bounded window.  Where a vector still links at the
-window's end, as in a dense group, its window goes on until it no longer does.
-The last vectors of a partition meet the first of the next one.  The verified
-pairs of all passes are united.
+"""Near-duplicate embeddings by comparing every pair of a label, in tiles.
+
+Equal vectors are folded to one.  The vectors of a label are dealt into blocks
+by a hash of their id, and each pair of blocks is one tile, which any task can
+take: it compares all rows of the one with all rows of the other.  A tile does
+not return its pairs, whose number grows with the square of a dense group, but
+each row's number of links in it and edges that connect what it links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, parts, stored
+from .shared import components, parts, small_batches, stored
 
-#: Bits of a key, and rows that a partition of the sorted passes should have at least.
-KEY_BITS, LEAST_ROWS = 128, 4096
+#: Rows that a block of a large label has at least, components that it has at most, and blocks of a label before they grow.
+LEAST_ROWS, MOST_NUMBERS, BLOCKS = 4096, 1 << 21, 8
 _SEED = 20_24
-_WIDE = "pass int, label long, dim int, sort_key binary, vec_id long, vec binary"
-_WIDE_PA = pa.schema([("pass", pa.int32()), ("label", pa.int64()), ("dim", pa.int32()), ("sort_key", pa.binary()), ("vec_id", pa.int64()), ("vec", pa.binary())])
-_OUT = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int64()), ("pass", pa.int32()), ("label", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary())])
-_OUT_SQL = "kind string, a long, b long, edge long, pass int, label long, dim int, vec binary"
-
-
-def directions(number: int, dim: int, bits: int = KEY_BITS) -> np.ndarray:
-    """The fixed random directions of a pass for vectors of ``dim`` components."""
-    return np.random.default_rng([_SEED, number, dim]).standard_normal((dim, bits))
-
-
-def _project(passes: int):
-    """(vec_id, label, embedding) -> one row per pass with the key and the unit vector."""
-
-    def run(batches):
-        for batch in batches:
-            ids, labels, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            dims = np.asarray(pa.compute.list_value_length(column))
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                for at in range(0, len(rows), 2048):
-                    own = rows[at : at + 2048]
-                    x = np.asarray(column.take(pa.array(own)).flatten(), np.float64).reshape(len(own), dim)
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    vec = [v.tobytes() for v in x]
-                    for number in range(passes):
-                        keys = np.packbits(x @ directions(number, int(dim)) > 0, axis=1)
-                        n = len(own)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(labels[own]), pa.array(np.full(n, dim, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(ids[own]), pa.array(vec, pa.binary())], schema=_WIDE_PA)
-
-    return run
-
-
-def neighbours(x: np.ndarray, window: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of sorted unit vectors with a cosine of ``least`` or more; and who still links at the end.
-
-    Everyone meets the next ``window`` rows.  From there on, those go on that
-    linked within the last ``window`` // 2 steps.
+_TILE = ["label", "dim", "i", "j"]
+_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def _hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unites the sets of a[k] and b[k] in ``root`` (each row's least row); returns edges that do the same, one for each set that ended."""
+    edges = []
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            return edges
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        high, new = np.maximum(p, q), np.arange(len(root))
+        np.minimum.at(new, high, np.minimum(p, q))
+        high = np.unique(high)
+        edges.append((high, new[high]))
+        while (new[new] != new).any():
+            new = new[new]
+        root[:] = new[root]
+
+
+def links(x: np.ndarray, size: np.ndarray, least: float, first: int = 0) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """How many vectors each row of a tile links with, and edges that connect them.
+
+    Rows before ``first`` are compared with the others, or all with each other
+    where it is 0.  A row stands for ``size`` equal vectors.
     """
-    n, first, second = len(x), [], []
-    recent = np.zeros(n, np.int64)  # the largest step at which the row linked
-    active = np.arange(n)
-    for step in range(1, n):
-        if step > window:
-            active = active[recent[active] > step - window // 2]
-        active = active[active + step < n]
-        if not len(active):
-            break
-        for at in range(0, len(active), 4096):
-            own = active[at : at + 4096]
-            close = own[np.einsum("ij,ij->i", x[own], x[own + step]) >= least]
-            recent[close] = step
-            first.append(close)
-            second.append(close + step)
-    empty = np.empty(0, np.int64)
-    open_end = np.flatnonzero((recent > 0) & (np.arange(n) + recent > n - 1 - max(1, window // 2)))
-    return np.concatenate([empty, *first]), np.concatenate([empty, *second]), open_end
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(a), 100_000):
-        x, y = a[at : at + 100_000], b[at : at + 100_000]
-        n = len(x)
-        nulls = [pa.nulls(n, f.type) for f in list(_OUT)[3:]]
-        yield pa.RecordBatch.from_arrays([pa.array(["pair"] * n), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *nulls], schema=_OUT)
-
-
-def _sweep(window: int, least: float):
-    """A partition of the sorted passes -> verified pairs, and the rows that meet the partitions beside it."""
+    n = len(x)
+    end = first or n
+    number, root, edges = np.zeros(n), np.arange(n), []
+    step = max(1, min(512, MOST_NUMBERS // max(1, n)))
+    for at in range(0, end, step):
+        to = min(at + step, end)
+        since = first or at
+        close = x[at:to] @ x[since:].T >= least
+        if not first:
+            close &= np.arange(since, n) > np.arange(at, to)[:, None]
+        a, b = np.nonzero(close)
+        a, b = a + at, b + since
+        number += np.bincount(a, size[b], n) + np.bincount(b, size[a], n)
+        edges += _hook(root, a, b)
+    return number.astype(np.int64), edges
+
+
+def _tiles(least: float):
+    """Rows sorted by tile and side -> (a, null, links of a in a tile) and (a, b, null)."""
+
+    def tile(kept):
+        t = pa.Table.from_batches(kept).combine_chunks()
+        ids, size = t.column("rep").to_numpy(), t.column("size").to_numpy()
+        x = t.column("e").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        first = int((t.column("side").to_numpy() == 0).sum())
+        if t.column("i")[0] != t.column("j")[0] and first in (0, t.num_rows):
+            return  # the other block is empty
+        number, edges = links(x, size, least, first if first < t.num_rows else 0)
+        own = np.flatnonzero(number)
+        a, b = (np.concatenate([np.empty(0, np.int64), *[e[k] for e in edges]]) for k in (0, 1))
+        none = lambda k: pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), none(len(own)), pa.array(number[own])], schema=_OUT)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), none(len(a))], schema=_OUT)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        t = pa.Table.from_batches(list(batches), _WIDE_PA).combine_chunks()
-        if not t.num_rows:
-            return
-        group = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("pass", "label", "dim")], 1)
-        cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1), len(group)]
-        ids, vecs = t.column("vec_id").to_numpy(), t.column("vec")
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in vecs[a:b]])
-            i, j, open_end = neighbours(x, window, least)
-            yield from _pairs(ids[a:b][i], ids[a:b][j])
-            ends = []
-            if a == 0:  # meets the partition before: the window, and on to where the dense group at the start ends
-                linked = np.flatnonzero(x @ x[: min(len(x), 16)].mean(0) >= least * np.linalg.norm(x[: min(len(x), 16)].mean(0)))
-                start = np.unique(np.concatenate([np.arange(min(len(x), window)), linked]))
-                ends += [("head", part - 1, k) for k in start]
-            if b == len(group):
-                stop = np.unique(np.concatenate([np.arange(max(0, len(x) - window), len(x)), open_end]))
-                ends += [("tail", part, k) for k in stop]
-            if ends:
-                p, lab, dim = (int(v) for v in group[a])
-                yield pa.RecordBatch.from_pylist([{"kind": kind, "a": int(ids[a + k]), "b": None, "edge": edge, "pass": p, "label": lab, "dim": dim, "vec": vecs[a + int(k)].as_py()} for kind, edge, k in ends], _OUT)
-
-    return run
-
-
-def _border(least: float):
-    """The last rows of a partition against the first of the next."""
-
-    def run(key, t):
-        kind = np.array(t.column("kind").to_pylist())
-        ids = t.column("a").to_numpy()
-        vecs = t.column("vec").to_pylist()
-        tail, head = np.flatnonzero(kind == "tail"), np.flatnonzero(kind == "head")
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(tail) and len(head):
-            y = np.stack([np.frombuffer(vecs[k], np.float64) for k in head])
-            for at in range(0, len(tail), 512):
-                x = np.stack([np.frombuffer(vecs[k], np.float64) for k in tail[at : at + 512]])
-                i, j = np.nonzero(x @ y.T >= least)
-                a.append(ids[tail[at : at + 512][i]])
-                b.append(ids[head[j]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        kept, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _TILE], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if kept and tuple(key[a]) != last:
+                    yield from tile(kept)
+                    kept = []
+                last = tuple(key[a])
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from tile(kept)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.93, passes: int = 8, window: int = 64) -> DataFrame:
-    """Links vectors of equal label whose cosine is ``least`` or more, by ``passes`` sorted passes.
+def near_duplicates(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
+    """Links vectors of equal label whose cosine is ``least`` or more.
 
     ``vectors`` has vec_id (integer), embedding (array of numbers) and label
     (integer); other columns are not used.  Returns vec_id long, n_links long
@@ -156,8 +113,8 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, passes: int = 8,
     holds a null, NaN or infinity, and vectors of different lengths.  Equal
     vectors of a label link with each other and share all other links; rows
     that repeat a vec_id count as one.  An empty table gives an empty result.
-    No pair below ``least`` is ever linked; a pair above it is missed only if
-    no pass brings it into a window.
+    Every pair of a label is compared, so the time grows with the square of a
+    label's distinct vectors.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
@@ -168,17 +125,16 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, passes: int = 8,
     good = v.where("usable")
     classes = good.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "e")).alias("m"), F.count_distinct("vec_id").alias("size"))
     classes = stored(classes.select("h1", "h2", F.col("m.vec_id").alias("rep"), F.col("m.label").alias("label"), F.col("m.e").alias("e"), "size"), "vector-classes")
-    rows = classes.count() * passes
-    wide = classes.select("rep", "label", "e").mapInArrow(_project(passes), _WIDE)
-    n = max(1, min(parts(spark), rows // LEAST_ROWS))
-    order = ["pass", "label", "dim", "sort_key", "vec_id"]
-    ranged = wide.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    swept = stored(ranged.mapInArrow(_sweep(window, least), _OUT_SQL), "vector-sweeps")
-    ends = swept.where("kind <> 'pair'").groupBy("edge", "pass", "label", "dim").applyInArrow(_border(least), "a long, b long")
-    pairs = stored(swept.where("kind = 'pair'").select("a", "b").union(ends).where("a <> b").distinct(), "vector-pairs")
-    size = classes.select("rep", "size")
-    near = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = near.join(size, near["b"] == size["rep"]).groupBy("a").agg(F.sum("size").alias("near"))
+    small_batches(spark)
+    block = F.least(F.floor(F.lit(MOST_NUMBERS) / F.col("dim")), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("n") / BLOCKS)))
+    counts = classes.groupBy("label", F.size("e").alias("dim")).agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / F.greatest(F.lit(1), block)).cast("int").alias("blocks"))
+    placed = classes.select("rep", "label", "e", "size", F.size("e").alias("dim")).join(counts, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = placed.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "size", "e")
+    tiles = tiles.repartition(parts(spark), *_TILE).sortWithinPartitions(*_TILE, "side")
+    found = stored(tiles.mapInArrow(_tiles(least), "a long, b long, n long"), "vector-tiles")
+    near = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("near"))
+    pairs = found.where("b IS NOT NULL").select("a", "b")
     roots = components(pairs, "vectors")
     known = classes.select("h1", "h2", "rep", "size").join(near, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("id"), "left")
     known = known.select("h1", "h2", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root"))
