@@ -217,6 +217,18 @@ def test_embeddings_of_a_dense_group_over_many_partitions(spark, frame, monkeypa
     assert {r.vec_id: r.component_id for r in got} == {i: want[i] for i in range(len(x))}
 
 
+def test_embeddings_near_the_threshold_of_a_large_label(frame):
+    rng = np.random.default_rng(11)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(6000, 64)))
+    z = rng.normal(size=x.shape)
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    x = np.float32(np.concatenate([x, 0.931 * x + np.sqrt(1 - 0.931**2) * z]))
+    got = embedding_dedup.near_duplicates(frame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()
+    e = unit(np.float64(x))
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((e @ e.T >= 0.93).sum(1) - 1))
+
+
 def test_same_as_sql_at_the_smallest_size(same_as_sql):
     for m, f, sql in ((ngram_join, "op1", "OP1_SQL"), (embedding_dedup, "op2", "OP2_SQL"), (decontamination, "op4", "OP4_SQL"), (substring_dedup, "op6", "OP6_SQL")):
         same_as_sql(getattr(m, f), getattr(m, sql))
