@@ -122,6 +122,15 @@ def test_clusters_find_the_nearest(spark):
     assert len(set(exact) & {r.vec_id for r in search.search_clusters(clustered, centres, q, 4, 10).collect()}) == 10
 
 
+def test_recursive_chunks_cover_whole_texts(spark):
+    text = " ".join(f"word{i}" for i in range(12_000)) + " last"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    whole = [r.chunk for r in documents.chunk_recursive(df).orderBy("chunk_index").collect()]
+    assert whole[-1].endswith(" last") and set(text.split()) == {w for c in whole for w in c.split() if w in set(text.split())}
+    short = [r.chunk for r in documents.chunk_recursive(df, cap=50_000).orderBy("chunk_index").collect()]
+    assert not short[-1].endswith(" last") and all(w in text[:50_000] for w in short[-1].split())
+
+
 def test_plans_push_filters_and_avoid_sorting_all(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = df.where("l_quantity > 10").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()

@@ -114,15 +114,16 @@ def split_recursive(text: str, most: int = 6000, overlap: int = 800, least: int
     return [p if i == 0 or not overlap else f"{pieces[i - 1][-overlap:]} {p}" for i, p in enumerate(pieces)]
 
 
-def chunk_recursive(docs: DataFrame, most: int = 6000, overlap: int = 800, least: int = 100, cap: int = 50_000) -> DataFrame:
-    """(doc_id, chunk_index, chunk) of texts cut to ``cap`` characters, in Arrow batches."""
+def chunk_recursive(docs: DataFrame, most: int = 6000, overlap: int = 800, least: int = 100, cap: int | None = None) -> DataFrame:
+    """(doc_id, chunk_index, chunk) of whole texts, or of their first ``cap`` characters, in Arrow batches."""
 
     def run(batches):
         for batch in batches:
             rows = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, c in enumerate(split_recursive(t, most, overlap, least))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "chunk_index", "chunk"])
 
-    return docs.where("text is not null").select("doc_id", F.substring("text", 1, cap).alias("text")).mapInArrow(run, "doc_id long, chunk_index int, chunk string")
+    text = F.col("text") if cap is None else F.substring("text", 1, cap).alias("text")
+    return docs.where("text is not null").select("doc_id", text).mapInArrow(run, "doc_id long, chunk_index int, chunk string")
 
 
 def pending(docs: DataFrame, vectors: DataFrame, kind: str | None = None, least: int = 100) -> DataFrame:
