@@ -122,6 +122,33 @@ def test_clusters_find_the_nearest(spark):
     assert len(set(exact) & {r.vec_id for r in search.search_clusters(clustered, centres, q, 4, 10).collect()}) == 10
 
 
+def test_search_of_every_hundredth_vector(spark):
+    from veristry.plans import content  # noqa: F401
+    from veristry.plans.registry import QUERIES
+
+    got = QUERIES["vec_08_hundredth"](spark, "/root/testdata/sf0.1").collect()
+    assert sorted((r.query_id, r.vec_id, r.place) for r in got) == sorted(brute_nearest(spark, "sf0.1", 10))
+
+
+def test_search_many_takes_ties_by_id(spark):
+    v = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(9)] + [(9, [0.0, 0.0, 0.0]), (10, None), (11, [1.0])], "vec_id long, embedding array<float>")
+    got = search.search_many(v, v.select(v.vec_id.alias("query_id"), v.embedding.alias("q")).where("query_id > 7"), 3).collect()
+    assert sorted((r.query_id, r.place, r.vec_id) for r in got) == [(8, 1, 0), (8, 2, 1), (8, 3, 2)]
+
+
+def brute_nearest(spark, at, k):
+    import numpy as np
+
+    t = spark.read.parquet(f"/root/testdata/{at}/embeddings.parquet").toPandas()
+    ids, x = t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        order = [j for j in np.lexsort((ids, np.round(1 - x @ x[q], 12))) if j != q][:k]
+        out += [(int(ids[q]), int(ids[j]), n + 1) for n, j in enumerate(order)]
+    return out
+
+
 def test_recursive_chunks_cover_whole_texts(spark):
     text = " ".join(f"word{i}" for i in range(12_000)) + " last"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import band
 from ..functions.vectors import cosine_distance, dot, norm
 
+_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
+
 
 def with_distance(vectors: DataFrame, query: DataFrame) -> DataFrame:
     """Every vector with its distance from the one query vector (a one-row frame with column q)."""
@@ -33,11 +37,52 @@ def similar_documents(vectors: DataFrame, doc_id: int, threshold: float = 0.7, k
     return rows.orderBy("distance", "doc_id").limit(k)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest other vectors of each query; queries (query_id, q) are few enough to broadcast."""
-    j = vectors.crossJoin(F.broadcast(queries)).where("vec_id <> query_id").withColumn("distance", cosine_distance(F.col("embedding"), F.col("q")))
+def _nearest(k: int):
+    """A block of vectors and one of queries -> each query's k nearest vectors of the block, all ties at the last place included."""
+
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            return _NEAR.empty_table()
+        ids, asked = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+        x, y = (t.column("e").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right))
+        size_x, size_y = (np.sqrt(np.einsum("ij,ij->i", e, e)) for e in (x, y))
+        unit, out = x / size_x[:, None], []
+        for at in range(0, len(y), 128):
+            near = (y[at : at + 128] / size_y[at : at + 128, None]) @ unit.T
+            near[asked[at : at + 128, None] == ids] = -np.inf
+            floor = np.partition(near, -k, 1)[:, -k] if k < len(x) else np.full(len(near), -2.0)
+            i, j = np.nonzero(near >= np.maximum(floor, -2.0)[:, None] - 1e-9)
+            i = i + at
+            # products of equal vectors may differ by their place in a matrix product, not here
+            distance = np.concatenate([np.empty(0), *(1 - np.einsum("ij,ij->i", x[j[s : s + 65536]], y[i[s : s + 65536]]) / (size_x[j[s : s + 65536]] * size_y[i[s : s + 65536]]) for s in range(0, len(i), 65536))])
+            order = np.lexsort((ids[j], distance, i))
+            i, j, distance = i[order], j[order], distance[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pa.table([asked[i[kept]], ids[j[kept]], distance[kept]], schema=_NEAR))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, within: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest other vectors of each query (query_id, q), of those that are equal in the columns ``within``; ties by vec_id.
+
+    Both sides are cut into blocks of bounded size.  Each pair of blocks gives
+    its nearest, which are merged.
+    """
+    spark = vectors.sparkSession
+    usable = lambda c: (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(c, lambda x: x != 0)
+    rows, asked = vectors.count(), queries.select("query_id").distinct().count()
+    n_v = max(1, -(-rows // 65_536), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2048))
+    n_q = max(1, -(-asked // 16_384))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.where(usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.size("embedding").alias("dim"), part("vec_id", n_v).alias("v_block"), every(n_q).alias("q_block"), *within)
+    q = queries.where(usable("q")).select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("e"), F.size("q").alias("dim"), every(n_v).alias("v_block"), part("query_id", n_q).alias("q_block"), *within)
+    keys = ["dim", "v_block", "q_block", *within]
+    near = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return j.where("distance is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "vec_id", "distance")
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "vec_id", "distance")
 
 
 def entity_relevance(vectors: DataFrame, query: DataFrame, k: int = 500, floor: float = 0.25, entity: str = "nces_id") -> DataFrame:

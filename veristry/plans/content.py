@@ -227,6 +227,11 @@ def score_10(t):
     return T.update_scores(t.scores.select("nces_id", "readiness", "alignment"), updates, ["readiness"])
 
 
+def hundredth(vectors):
+    """The query vectors of searches for many: every row whose id is divisible by 100."""
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 COS = "1 - list_dot_product(list_transform({a}, lambda x: x::DOUBLE), list_transform({b}, lambda x: x::DOUBLE)) / (sqrt(list_dot_product(list_transform({a}, lambda x: x::DOUBLE), list_transform({a}, lambda x: x::DOUBLE))) * sqrt(list_dot_product(list_transform({b}, lambda x: x::DOUBLE), list_transform({b}, lambda x: x::DOUBLE))))"
 NEAR = "d AS (SELECT v.*, " + COS.format(a="v.embedding", b="q.embedding") + " AS distance FROM vectors v, (SELECT embedding FROM vectors WHERE vec_id = 0) q)"
 
@@ -283,6 +288,11 @@ def vec_08(t):
     return S.search_many(t.vectors, queries).withColumn("distance", F.round("distance", 6))
 
 
+@query("vec_08_hundredth")
+def vec_08_hundredth(t):
+    return S.search_many(t.vectors, hundredth(t.vectors)).withColumn("distance", F.round("distance", 6))
+
+
 RANK = REL + ", c AS (SELECT r.*, greatest(0, 6 * top + 2 * mean + least(1.5, log10(hits + 1)) + 0.5 * coalesce(total, 0)) AS composite FROM r LEFT JOIN scores s ON s.nces_id = r.nces_id), k AS (SELECT *, greatest(0.2e0, least(0.98e0, (composite + 2 * mean) / 12)) AS confidence FROM c)"
 RANK_SQL = f"WITH {RANK} SELECT nces_id, hits, round(composite, 6) AS composite, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM k WHERE confidence >= 0.2 ORDER BY k.composite DESC, nces_id LIMIT 25"
 
