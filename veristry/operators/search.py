@@ -168,6 +168,13 @@ def search_clusters(clustered: DataFrame, centres: DataFrame, query: DataFrame,
     return vector_search(clustered.join(F.broadcast(near), "cluster", "left_semi"), query, None, k)
 
 
+def search_clusters_many(clustered: DataFrame, centres: DataFrame, queries: DataFrame, probes: int = 3, k: int = 20) -> DataFrame:
+    """The k nearest other vectors of each query (query_id, q) within the ``probes`` clusters whose centres are nearest to it."""
+    w = Window.partitionBy("query_id").orderBy("d", "cluster")
+    near = queries.crossJoin(F.broadcast(centres)).withColumn("d", -dot(F.col("centre"), F.col("q"))).withColumn("at", F.row_number().over(w))
+    return search_many(clustered, near.where(F.col("at") <= probes).select("query_id", "q", "cluster"), k, ("cluster",))
+
+
 def why(candidates: DataFrame, evidence: DataFrame, entity: str = "nces_id") -> DataFrame:
     """Summary sentence of each ranked entity: strong categories (3 and more), similarity in words, first three keywords.
 
