@@ -1,7 +1,7 @@
 """A training corpus from raw documents, in stages that each use one operator of ``veristry.llm``.
 
 A stage gets what the one before it kept and returns the columns of documents;
-the last returns sampled encodings.  Nothing is dropped but what a stage's
+the last returns sampled encodings and what they decode to.  Nothing is dropped but what a stage's
 operator rejects: documents without a language, all but the first of a group
 of near copies, repeated passages (and documents that consist of them), and
 contaminated documents.
@@ -43,8 +43,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encodings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled encodings of each document."""
-    return segmentation.encode(docs, segmentation.load(segmentation.model_path()))
+    """Two distinct sampled encodings of each document, and the texts that they decode to."""
+    return segmentation.encode(docs, segmentation.load(segmentation.model_path()), decoded=True)
 
 
 STAGES = [("language_id", language), ("ngram_join", near_copies), ("substring_dedup", passages), ("decontamination", benchmarks), ("sentencepiece", encodings)]

@@ -133,3 +133,16 @@ def test_url_keys():
 def test_same_as_sql_at_the_smallest_size(same_as_sql):
     same_as_sql(chat_format.op9, chat_format.OP9_SQL)
     same_as_sql(warc.op10, warc.OP10_SQL)
+
+
+def test_registered_segmentation_decodes_every_sample(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = segmentation.op8(spark, "/root/testdata/sf0.001").select("doc_id", "decoded").collect()
+    assert {r.doc_id for r in out} == set(text) and all(r.decoded == text[r.doc_id] for r in out)
+
+
+def test_encode_with_texts_is_decode(frame, vocabulary):
+    rows = [(1, "  two  spaces"), (2, ""), (3, None), (4, " x"), (5, "\u00e9\U0001f600\x00 end "), (6, "\u2581a")]
+    out = segmentation.encode(frame(rows, "doc_id long, text string"), vocabulary, decoded=True)
+    again = segmentation.decode(out.drop("decoded"), vocabulary)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)

@@ -364,10 +364,17 @@ def _ids(lat: Lattice, v: Vocabulary, edge: np.ndarray, first: np.ndarray, start
     return out.astype(np.int32), np.append(offset[first], len(out))
 
 
-def _encoder(v: Vocabulary, k: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())])
+def _texts(pieces: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The texts of lists of piece ids, as ``decode_ids`` gives them."""
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(ids.offsets, pieces.take(ids.values), mask=ids.is_null()), b"")
+    return pa.array([None if x is None else x.removeprefix(b" ").decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+
+
+def _encoder(v: Vocabulary, k: int, seed: int, decoded: bool):
+    schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), *([("decoded", pa.string())] if decoded else [])])
 
     def run(batches):
+        texts = pa.array(v.pieces, pa.binary()) if decoded else None
         for batch in slices(batches, 1, _SLICE):
             ids = batch.column(0)
             keys = mix(np.asarray(ids.fill_null(-1)).astype(np.uint64) ^ mix(np.full(len(ids), seed, np.uint64)))
@@ -385,19 +392,22 @@ def _encoder(v: Vocabulary, k: int, seed: int):
             length = np.array([0 if p is None else len(p) for p in pieces])
             flat = np.concatenate([p for p in pieces if p is not None] or [np.empty(0, np.int32)])
             bounds = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), mask=np.append([p is None for p in pieces], False))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(flat, pa.int32())), pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64())], schema=schema)
+            lists = pa.ListArray.from_arrays(bounds, pa.array(flat, pa.int32()))
+            again = [_texts(texts, lists)] if decoded else []
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), *again], schema=schema)
 
     return run
 
 
-def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, seed: int = 0) -> DataFrame:
+def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, seed: int = 0, decoded: bool = False) -> DataFrame:
     """Up to k distinct sampled segmentations of each whole text.
 
     ``docs`` has doc_id (integer, the row key that seeds its draws) and text;
     other columns are not used.  Returns doc_id long, sample int (1 is the
     first drawn), ids array<int>, log_prob double, and inclusion double: the
     probability that the segmentation is among those drawn, given the bound of
-    the search.  A text with fewer than k segmentations gives fewer rows.
+    the search.  A text with fewer than k segmentations gives fewer rows.  With
+    ``decoded`` also decoded string, the text that the sample's ids give.
 
     Null text gives one row without ids, an empty text one empty segmentation.
     Rows of the same doc_id and text get the same samples; a null doc_id
@@ -406,7 +416,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, seed: int = 0) -> Data
     if k < 1:
         raise ValueError("k is at least 1")
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(v, k, seed), "doc_id long, sample int, ids array<int>, log_prob double, inclusion double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(v, k, seed, decoded), "doc_id long, sample int, ids array<int>, log_prob double, inclusion double" + (", decoded string" if decoded else ""))
 
 
 def decode_ids(pieces: list[bytes], ids: list[int]) -> str:
@@ -438,4 +448,4 @@ def model_path() -> str:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, load(model_path())).withColumn("n_ids", F.size("ids"))
+    return encode(docs, load(model_path()), decoded=True).withColumn("n_ids", F.size("ids"))
