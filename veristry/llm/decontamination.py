@@ -1,87 +1,238 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Items and documents are normalised alike: A-Z lower-cased, and words
-``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` set apart by one space.  The windows of
-all items are the patterns of one automaton; each document is scanned once,
-and the words found are mapped back to character offsets of its own text.
-
-The items are collected, so their size is checked: as long as their texts fit
-``SHARD_BYTES`` there is one automaton; beyond it they are dealt into as many
-shards as needed, and the documents pass through one automaton after the
-other, so no task holds more than one shard.
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  A window of 13 words holds at least one
+whole block of 7 words, if an item is cut into blocks from its start; so the
+patterns of the automaton, sequences of word numbers, are the items' blocks,
+and items of fewer than 13 words as a whole.  Its size is that of the items,
+not 13 times as much.  Each document is scanned once; where a block occurs,
+the words beside it show whether a whole window does, and the words found are
+mapped back to character offsets of the document's own text.
+
+There is one automaton for all items, in flat arrays, built once and broadcast;
+the size of the items is checked.  Where no two words in a row begin a pattern,
+which is nearly everywhere, the automaton is at its root or one step from it,
+so those places are passed over at once.
 """
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, tidy
 from .words import ALNUM, LOWER, Piece, pieces, slices
 
-#: Bytes of item text in one automaton; a byte makes about 13 nodes of 50 bytes.
-SHARD_BYTES = 160_000
-
-_built: dict[str, tuple[ahocorasick.Automaton | None, list[str]]] = {}
-
-
-def _normal(piece: Piece, row: int) -> str:
-    """The row's words, each between single spaces."""
-    lo, hi = piece.offsets[row], piece.offsets[row + 1]
-    data = piece.data[lo:hi]
-    inside = ALNUM[data]
-    keep = inside.copy()
-    keep[1:] |= inside[:-1]
-    return " " + np.where(inside, data, 0x20).astype(np.uint8)[keep].tobytes().decode() + " "
-
-
-def windows(texts: list[str], size: int) -> dict[str, tuple[int, list[int]]]:
-    """Each distinct window of the texts -> its number of words and the places of the texts that have it."""
-    found: dict[str, tuple[int, list[int]]] = {}
-    for k, text in enumerate(texts):
-        for piece in pieces(pa.array([text], pa.string()), ALNUM, LOWER):
-            words = _normal(piece, 0).split()
-            n = min(size, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                own = found.setdefault(f" {' '.join(words[i : i + n])} ", (n, []))[1]
-                if k not in own:
-                    own.append(k)
-    return found
-
-
-def _automaton(name: str, items: list[tuple[str, str]], size: int) -> tuple[ahocorasick.Automaton | None, list[str]]:
-    """Built once in each Python worker; the last one is kept."""
-    if name not in _built:
-        _built.clear()
-        machine = ahocorasick.Automaton()
-        for pattern, value in windows([t for _, t in items], size).items():
-            machine.add_word(pattern, value)
-        if len(machine):
-            machine.make_automaton()
-        _built[name] = (machine if len(machine) else None, [i for i, _ in items])
-    return _built[name]
-
-
-def scan(text: str, machine: ahocorasick.Automaton) -> tuple[np.ndarray, list[int]]:
-    """Places of the hit words in a normalised text, and the places of the items that occur."""
-    ends, values = [], []
-    for end, value in machine.iter(text):
-        ends.append(end)
-        values.append(value)
-    if not ends:
-        return np.empty(0, np.int64), []
-    space = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
-    last = np.searchsorted(space, ends)  # the space after a window's last word has the number of words before it
-    n = np.array([v[0] for v in values])
-    change = np.zeros(len(space) + 1, np.int64)
-    np.add.at(change, last - n, 1)
-    np.add.at(change, last, -1)
-    return np.flatnonzero(np.cumsum(change) > 0), sorted({k for v in values for k in v[1]})
+
+def _find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each x among the sorted values, or -1."""
+    if not len(sorted_values):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == x, at, -1)
+
+
+class Automaton:
+    """Aho-Corasick over sequences of numbers below ``width``; node 0 is the root, nodes are numbered by depth."""
+
+    def __init__(self, patterns: np.ndarray, length: np.ndarray, width: int):
+        """Row k of ``patterns`` has ``length[k]`` numbers; rows differ."""
+        self.width = width
+        here = np.zeros(len(patterns), np.int64)
+        codes, targets, fails, total = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.zeros(1, np.int64)], 1
+        #: The pattern that ends at a node, and the next node along the failure links at which one ends.
+        self.ends = np.full(1 + int(length.sum()), -1, np.int32)
+        for depth in range(int(length.max(initial=0))):
+            rows = np.flatnonzero(length > depth)
+            code, place = np.unique(here[rows] * width + patterns[rows, depth], return_inverse=True)
+            parent, word = code // width, code % width
+            # deeper nodes' codes are larger, because nodes are numbered by depth
+            codes.append(code)
+            targets.append(total + np.arange(len(code)))
+            self.codes, self.targets, self.fail = np.concatenate(codes), np.concatenate(targets), np.concatenate(fails)
+            fail = np.zeros(len(code), np.int64)
+            if depth:
+                state, todo = self.fail[parent], np.arange(len(code))
+                while len(todo):
+                    edge = _find(self.codes, state[todo] * width + word[todo])
+                    found = edge >= 0
+                    fail[todo[found]] = self.targets[edge[found]]
+                    todo = todo[~found & (state[todo] > 0)]
+                    state[todo] = self.fail[state[todo]]
+            fails.append(fail)
+            here[rows] = total + place
+            done = rows[length[rows] == depth + 1]
+            self.ends[here[done]] = done
+            total += len(code)
+        self.codes, self.targets, self.fail = np.concatenate(codes), np.concatenate(targets).astype(np.int32), np.concatenate(fails).astype(np.int32)
+        self.ends, self.link = self.ends[:total], np.zeros(total, np.int32)
+        for node in range(1, total):  # failure links go to smaller nodes
+            f = self.fail[node]
+            self.link[node] = f if self.ends[f] >= 0 else self.link[f]
+        #: Numbers that are a pattern or begin one, and the codes of two that begin one.
+        first = int((self.codes < width).sum())
+        self.depth_two = first + 1
+        self.single = self.codes[:first][self.ends[self.targets[:first]] >= 0]
+        second = self.codes[(self.codes >= width) & (self.codes < (first + 1) * width)]
+        word_of = np.zeros(first + 1, np.int64)
+        word_of[self.targets[:first]] = self.codes[:first]
+        self.pairs = np.sort(word_of[second // width] * width + second % width)
+
+    def iter(self, numbers: np.ndarray):
+        """(last place, pattern) for all occurrences; numbers of ``width`` or more are in no pattern."""
+        start = np.zeros(len(numbers), bool)
+        start[:-1] = _find(self.pairs, np.where(numbers[:-1] < self.width, numbers[:-1] * self.width + np.minimum(numbers[1:], self.width - 1), -1)) >= 0
+        start[:-1] &= numbers[1:] < self.width
+        if len(self.single):
+            start |= _find(self.single, numbers) >= 0
+        at, n = -1, len(numbers)
+        for begin in np.flatnonzero(start).tolist():
+            if begin < at:
+                continue  # the automaton was beyond it already
+            at, state = begin, 0
+            while at < n:
+                word = int(numbers[at])
+                nxt = -1
+                while word < self.width:
+                    code = state * self.width + word
+                    edge = int(self.codes.searchsorted(code))
+                    if edge < len(self.codes) and self.codes[edge] == code:
+                        nxt = int(self.targets[edge])
+                        break
+                    if not state:
+                        break
+                    state = int(self.fail[state])
+                if nxt < 0:
+                    break
+                state = nxt
+                node = state if self.ends[state] >= 0 else int(self.link[state])
+                while node:
+                    yield at, int(self.ends[node])
+                    node = int(self.link[node])
+                at += 1
+                if state < self.depth_two and at < n and not start[at - 1]:
+                    break  # one step from the root, and no pattern goes on from here
+
+
+@dataclass
+class Matcher:
+    """The automaton; the words by their sorted hashes; and what belongs to each pattern, as ranges of flat arrays."""
+
+    size: int
+    hashes: np.ndarray
+    words: list[bytes]
+    names: list[str]
+    machine: Automaton
+    length: np.ndarray
+    #: whole[k]:whole[k + 1] are the places in whole_items of the items that pattern k is.
+    whole: np.ndarray
+    whole_items: np.ndarray
+    #: block[k]:block[k + 1] are the contexts of pattern k as a block: the words beside it, nearest first, on the left and on the right.
+    block: np.ndarray
+    context: np.ndarray
+    #: owner[c]:owner[c + 1] are the places in owner_items of the items with context c.
+    owner: np.ndarray
+    owner_items: np.ndarray
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number; what no item has gets the next one."""
+        at = _find(self.hashes, hashes)
+        return np.where(at >= 0, at, len(self.hashes))
+
+    def occurrences(self, numbers: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        """Ranges of words that windows cover, and the items whose windows occur."""
+        ranges, items, pad = set(), set(), self.size - (self.size + 1) // 2
+        around = None
+        for last, k in self.machine.iter(numbers):
+            first = last - int(self.length[k]) + 1
+            own = self.whole_items[self.whole[k] : self.whole[k + 1]]
+            if len(own):
+                ranges.add((first, last + 1))
+                items.update(own.tolist())
+            context = self.context[self.block[k] : self.block[k + 1]]
+            if len(context):
+                if around is None:
+                    around = np.concatenate([np.full(pad, -2), numbers, np.full(pad, -2)])
+                same = context == np.concatenate([around[first : first + pad][::-1], around[last + 1 + pad : last + 1 + 2 * pad]])
+                left, right = np.cumprod(same[:, :pad], 1).sum(1), np.cumprod(same[:, pad:], 1).sum(1)
+                for c in np.flatnonzero(left + last + 1 - first + right >= self.size):
+                    ranges.add((first - int(left[c]), last + 1 + int(right[c])))
+                    c += self.block[k]
+                    items.update(self.owner_items[self.owner[c] : self.owner[c + 1]].tolist())
+        return sorted(ranges), items
+
+
+def _runs(of: np.ndarray, n: int) -> np.ndarray:
+    """Bounds of the runs of 0..n-1 in sorted numbers."""
+    return np.searchsorted(of, np.arange(n + 1))
+
+
+def matcher(items: list[tuple[str, str]], size: int) -> Matcher:
+    """The automaton of (item id, text) pairs."""
+    block = (size + 1) // 2
+    pad = size - block
+    hashes, counts, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], {}
+    for piece in pieces(pa.array([t for _, t in items], pa.string()), ALNUM, LOWER):
+        own, data = piece.hashes(), piece.data.tobytes()
+        hashes.append(own)
+        counts.append(piece.count)
+        for h, k in zip(*(x.tolist() for x in np.unique(own, return_index=True)), strict=True):
+            words.setdefault(h, data[piece.start[k] : piece.end[k]])
+    flat, count = np.concatenate(hashes), np.concatenate(counts)
+    known, numbers = np.unique(flat, return_inverse=True)
+    start = np.cumsum(count) - count
+
+    few = np.flatnonzero((count > 0) & (count < size))
+    short = np.full((len(few), max(size - 1, block)), -1, np.int64)
+    for c in range(short.shape[1]):
+        some = count[few] > c
+        short[some, c] = numbers[start[few[some]] + c]
+    n_blocks = np.where(count >= size, count // block, 0)
+    item = np.repeat(np.arange(len(count)), n_blocks)
+    at = (np.arange(len(item)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)) * block + start[item]
+    blocks = np.full((len(item), short.shape[1]), -1, np.int64)
+    blocks[:, :block] = numbers[at[:, None] + np.arange(block)] if len(item) else 0
+    place = np.concatenate([at[:, None] - 1 - np.arange(pad), at[:, None] + block + np.arange(pad)], 1)
+    inside = (place >= start[item][:, None]) & (place < (start + count)[item][:, None])
+    context = np.where(inside, numbers[np.clip(place, 0, max(0, len(numbers) - 1))], -1) if len(item) else np.empty((0, 2 * pad), np.int64)
+
+    patterns, pattern = np.unique(np.concatenate([short, blocks]), axis=0, return_inverse=True)
+    pattern = pattern.ravel()
+    order = np.argsort(pattern[: len(few)], kind="stable")
+    whole, whole_items = _runs(pattern[: len(few)][order], len(patterns)), few[order]
+    own = np.column_stack([pattern[len(few) :], context])
+    contexts, which = np.unique(own, axis=0, return_inverse=True) if len(own) else (own, np.empty(0, np.int64))
+    pairs = np.unique(np.column_stack([which.ravel(), item]), axis=0)
+    length = (patterns >= 0).sum(1)
+    machine = Automaton(patterns, length, max(1, len(known)))
+    return Matcher(size, known, [words[h] for h in known.tolist()], [i for i, _ in items], machine, length, whole, whole_items, _runs(contexts[:, 0], len(patterns)), contexts[:, 1:].astype(np.int32), _runs(pairs[:, 0], len(contexts)), pairs[:, 1])
+
+
+def scan(piece: Piece, row: int, numbers: np.ndarray, m: Matcher) -> tuple[np.ndarray, list[str]]:
+    """Places of the hit words among a row's words, and the items that occur; what was found by hashes is compared as words."""
+    nothing = np.empty(0, np.int64), []
+    if not len(m.length) or not len(numbers):
+        return nothing
+    ranges, items = m.occurrences(numbers)
+    if not ranges:
+        return nothing
+    hit = np.zeros(len(numbers) + 1, np.int64)
+    for a, b in ranges:
+        hit[a] += 1
+        hit[b] -= 1
+    hit = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
+    first, data = piece.bounds[row], piece.data
+    other = [k for k in hit if data[piece.start[first + k] : piece.end[first + k]].tobytes() != m.words[numbers[k]]]
+    if other:  # another word of the same hash
+        numbers = numbers.copy()
+        numbers[other] = len(m.hashes)
+        return scan(piece, row, numbers, m)
+    return hit, sorted({m.names[k] for k in items})
 
 
 def _spans(piece: Piece, row: int, hit: np.ndarray) -> list[dict]:
@@ -92,33 +243,23 @@ def _spans(piece: Piece, row: int, hit: np.ndarray) -> list[dict]:
     return [{"start": int(chars[piece.start[first + r[0]] - base]), "end": int(chars[piece.end[first + r[-1]] - base])} for r in np.split(hit, cuts)]
 
 
-def _scanner(name: str, items: list[tuple[str, str]], size: int, n_columns: int, text_at: int, names: list[str], before: bool, last: bool):
-    """Columns (then _hit, _items of earlier shards) -> columns, then either those or the results."""
-
+def _scanner(shared: Broadcast, text_at: int, names: list[str]):
     def run(batches):
-        machine, ids = _automaton(name, items, size)
+        m = shared.value
         for batch in slices(batches, text_at):
-            hits, found, spans, n_words = [], [], [], []
+            n_words, n_hit, found, spans = [], [], [], []
             for piece in pieces(batch.column(text_at), ALNUM, LOWER):
+                numbers = m.numbers(piece.hashes())
                 for row in range(piece.rows):
-                    i = piece.first + row
-                    hit, own = (np.empty(0, np.int64), []) if machine is None or not piece.count[row] else scan(_normal(piece, row), machine)
-                    names_found = {ids[k] for k in own}
-                    if before:
-                        names_found |= set(batch.column(n_columns + 1)[i].as_py())
-                        hit = np.union1d(hit, np.frombuffer(batch.column(n_columns)[i].as_py(), np.int64))
-                    hits.append(hit)
-                    found.append(sorted(names_found))
+                    hit, own = scan(piece, row, numbers[piece.bounds[row] : piece.bounds[row + 1]], m)
                     n_words.append(int(piece.count[row]))
-                    spans.append(_spans(piece, row, hit) if last and len(hit) else [])
-            columns = [batch.column(k) for k in range(n_columns)]
-            if not last:
-                more = [pa.array([h.tobytes() for h in hits], pa.binary()), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "_hit", "_items"])
-                continue
-            n, h = np.array(n_words, np.int64), np.array([len(x) for x in hits], np.int64)
+                    n_hit.append(len(hit))
+                    found.append(own)
+                    spans.append(_spans(piece, row, hit) if len(hit) else [])
+            n, h = np.array(n_words, np.int64), np.array(n_hit, np.int64)
             more = [pa.array(n), pa.array(h), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array((h > 0) & (20 * h >= n))]
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "n_words", "n_hit", "item_ids", "spans", "contaminated"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *more], names=[*names, *_RESULT])
+        tidy()
 
     return run
 
@@ -126,7 +267,7 @@ def _scanner(name: str, items: list[tuple[str, str]], size: int, n_columns: int,
 _RESULT = {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "spans": "array<struct<start:int,end:int>>", "contaminated": "boolean"}
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, size: int = 13) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, size: int = 13, most_item_bytes: int = 64 << 20) -> DataFrame:
     """Marks the words of documents that lie in windows of benchmark items.
 
     ``docs`` has text (string), ``items`` item_id and text; other columns of
@@ -140,22 +281,23 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, size: int = 13) ->
 
     Null or empty text: no words, not contaminated.  Items with a null id, null
     text or no words match nothing; items with equal text all occur together;
-    without items nothing is contaminated.
+    without items nothing is contaminated.  Texts of any length are scanned
+    whole; rows are judged one by one, so repeated ones get the same result.
+
+    Every Python worker holds the automaton, some 10 bytes for each byte of
+    item text; items of more than ``most_item_bytes`` raise an error.
     """
-    columns = [c for c in docs.columns if c not in (*_RESULT, "_hit", "_items")]
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    columns = [c for c in docs.columns if c not in _RESULT]
+    small_batches(spark)
     out = docs.select([F.col(f"`{c}`") for c in columns])
     items = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-total // SHARD_BYTES))
+    if total > most_item_bytes:
+        raise ValueError(f"{total} bytes of items; an automaton is built for at most {most_item_bytes}")
+    shared = spark.sparkContext.broadcast(matcher([(r["i"], r["t"]) for r in items.orderBy("i", "t").collect()], size))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).orderBy("i", "t").collect()
-        last = k == shards - 1
-        more = ", ".join(f"{n} {t}" for n, t in _RESULT.items()) if last else "_hit binary, _items array<string>"
-        run = _scanner(uuid.uuid4().hex, [(r["i"], r["t"]) for r in rows], size, len(columns), columns.index("text"), columns, k > 0, last)
-        out = out.mapInArrow(run, f"{own}, {more}")
-    return out
+    return out.mapInArrow(_scanner(shared, columns.index("text"), columns), f"{own}, {', '.join(f'{n} {t}' for n, t in _RESULT.items())}")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
