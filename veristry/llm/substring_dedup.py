@@ -8,12 +8,17 @@ of one level are merged into a run of the next level once there are ``fan_in``
 of them, so a window is looked up in a few runs however many batches came
 before.
 
-A fingerprint has 48 bits below its part and a 16-bit check sum of another
-hash function; a match counts only if both agree.
+A match is verified by a check sum that shares nothing with the fingerprint:
+other word hashes, combined in another way.  Part, fingerprint (48 bits) and
+check sum (16 bits) together tell 2**64 times the number of parts windows apart.
+
+The index outlives a run: each step appends its list of runs to a manifest,
+from which it can be opened again; runs are deleted only when a later manifest
+no longer names them, so a step that fails leaves the one before it intact.
 
 Memory of a task is bounded by one part (the session's shuffle partitions,
 which follow the data), and a window that very many documents share is folded
-to one entry per piece of text before it is shuffled.
+to one entry per task before it is shuffled.
 """
 
 from __future__ import annotations
@@ -25,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_folder, new_folder, parts, release, small_batches
+from .shared import drop_folder, new_folder, parts, release, small_batches, tidy
 from .words import WHITE, mix, pieces, slices
 
-_CHECK = 0xA24BAED4963EE407
+#: Bases of the check sum's word and window hashes.
+_CHECK_WORD, _CHECK = 0xC6BC279692B5CC83, 0xA24BAED4963EE407
+#: Shared windows that a task remembers.
+_REMEMBERED = 1 << 16
 _LOW = np.uint64((1 << 48) - 1)
 _PACKED = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("docs", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
 _PACKED_SQL = "part int, kind string, docs binary, counts binary, prints binary"
@@ -38,7 +46,7 @@ def fingerprints(piece, size: int, n_parts: int) -> tuple[np.ndarray, np.ndarray
     """Word places, parts and 64-bit fingerprints (48 bits and a 16-bit check sum) of a piece's windows."""
     words = piece.hashes()
     at, h = piece.windows(words, size)
-    _, other = piece.windows(words, size, _CHECK)
+    _, other = piece.windows(piece.hashes(_CHECK_WORD), size, _CHECK)
     part = ((h >> np.uint64(48)) % np.uint64(n_parts)).astype(np.int32)
     return at, part, ((h & _LOW) << np.uint64(16)) | (other >> np.uint64(48))
 
@@ -64,10 +72,35 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(join("docs", np.int64), join("counts", np.uint32)), join("prints", np.uint64)
 
 
+class _Remembered:
+    """Windows that several documents of a task share, with the smallest of those documents so far."""
+
+    def __init__(self):
+        self.ids, self.docs = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def owners(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which ids are remembered, and their places."""
+        if not len(self.ids):
+            return np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return self.ids[at] == ids, at
+
+    def add(self, ids: np.ndarray, docs: np.ndarray) -> None:
+        room = _REMEMBERED - len(self.ids)
+        ids, docs = np.concatenate([self.ids, ids[:room]]), np.concatenate([self.docs, docs[:room]])
+        order = np.argsort(ids)
+        self.ids, self.docs = ids[order], docs[order]
+
+
 def _cut(size: int, n_parts: int):
-    """(doc_id, text) -> packed windows: 'new' for the first of each in a piece, 'hit' for the others there."""
+    """(doc_id, text) -> packed windows: 'new' for the first of each in a piece, 'hit' for the others there.
+
+    A window that at least four documents of a piece share is remembered for
+    the rest of the task; from there on it is sent only for smaller documents.
+    """
 
     def run(batches):
+        known = _Remembered()
         for batch in slices(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out = []
@@ -77,18 +110,30 @@ def _cut(size: int, n_parts: int):
                     continue
                 doc = ids[piece.first + piece.row_of(at)]
                 order = np.lexsort((doc, prints, part))
-                same = np.zeros(len(order), bool)
                 p, f, d = part[order], prints[order], doc[order]
+                same = np.zeros(len(order), bool)
                 same[1:] = (p[1:] == p[:-1]) & (f[1:] == f[:-1])
-                owner = d[np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))]
-                new, hit = np.zeros(len(order), bool), np.zeros(len(order), bool)
-                new[order[~same]] = True
-                hit[order[same & (d != owner)]] = True
-                out += _rows("new", part[new], doc[new], prints[new])
+                first = np.flatnonzero(~same)
+                names = window_ids(p[first], f[first])
+                held, place = known.owners(names)
+                earlier = np.full(len(first), np.iinfo(np.int64).max)
+                earlier[held] = known.docs[place[held]]
+                lower = held & (d[first] < earlier)
+                known.docs[place[lower]] = d[first][lower]
+                times = np.diff(np.append(first, len(d)))
+                often = ~held & (times >= 4)
+                known.add(names[often], d[first][often])
+                run_of = np.cumsum(~same) - 1
+                owner = np.minimum(d[first], earlier)[run_of]
+                # the owner's own row goes on as new, unless an earlier piece has sent one for it
+                new = ~same & ~(held & (d[first] >= earlier))[run_of]
+                hit = d != owner
+                out += _rows("new", p[new], d[new], f[new])
                 # settled already; only carried on, so they are spread evenly
-                rows = list(_rows("hit", (doc[hit] % n_parts).astype(np.int32), doc[hit], window_ids(part[hit], prints[hit])))
-                out += rows
+                by_doc = np.flatnonzero(hit)[np.argsort(d[hit], kind="stable")]
+                out += _rows("hit", (d[by_doc] % n_parts).astype(np.int32), d[by_doc], window_ids(p[by_doc], f[by_doc]))
             yield pa.RecordBatch.from_pylist(out, _PACKED)
+        tidy()
 
     return run
 
@@ -135,20 +180,46 @@ def _merge(part_key, new: pa.Table, old: pa.Table | None) -> pa.Table:
     return pa.concat_tables([settled.cast(_PACKED), pa.Table.from_pylist(rows, _PACKED)])
 
 
+_MANIFEST = "version long, place int, level int, folder string, size int, fan_in int, n_parts int, last_id long"
+
+
 class FingerprintIndex:
     """Sorted runs of the window fingerprints of all documents added so far.
 
     Batches must come in ascending order of document id: all ids of a batch
-    are larger than those added before.  A window belongs to the smallest id.
+    are larger than those added before, else ``add`` raises an error.  A window
+    belongs to the smallest id.  ``home`` is the index's folder, by default a
+    new one; ``open`` goes on with what an earlier run has left there.
     """
 
-    def __init__(self, spark: SparkSession, size: int = 13, fan_in: int = 2, n_parts: int | None = None):
+    def __init__(self, spark: SparkSession, size: int = 13, fan_in: int = 2, n_parts: int | None = None, home: str | None = None):
         if size < 1 or fan_in < 2:
             raise ValueError("size is at least 1 and fan_in at least 2")
         self.spark, self.size, self.fan_in, self.n_parts = spark, size, fan_in, n_parts or 2 * parts(spark)
+        self.home, self.version, self.last_id = home or new_folder(spark, "fingerprints"), 0, None
         #: (level, folder) of each run, oldest first.
         self.runs: list[tuple[int, str]] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, home: str) -> FingerprintIndex:
+        rows = spark.read.schema(_MANIFEST).parquet(f"{home}/manifest")
+        rows = rows.join(rows.agg(F.max("version").alias("version")), "version").orderBy("place").collect()
+        index = cls(spark, rows[0]["size"], rows[0]["fan_in"], rows[0]["n_parts"], home)
+        index.version, index.last_id = rows[0]["version"], rows[0]["last_id"]
+        index.runs = [(r["level"], r["folder"]) for r in rows if r["folder"]]
+        return index
+
+    def _save(self, gone: list[str]) -> None:
+        """Appends the list of runs to the manifest; then deletes those that it no longer names."""
+        self.version += 1
+        rows = [(self.version, k, level, folder, self.size, self.fan_in, self.n_parts, self.last_id) for k, (level, folder) in enumerate(self.runs or [(0, "")])]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.home}/manifest")
+        for f in gone:
+            drop_folder(self.spark, f"{f}/kind=run")
+
+    def _folder(self) -> str:
+        return f"{self.home}/{new_folder(self.spark, 'run').rsplit('/', 1)[-1]}"
+
     def _read(self, folders: list[str]) -> DataFrame:
         frames = [self.spark.read.schema(_PACKED_SQL).parquet(f).where("kind = 'run'") for f in folders]
         out = frames[0]
@@ -158,6 +229,9 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds (doc_id, text) rows; returns packed hits: windows that start in a document with a smaller id."""
+        ids = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+        if self.last_id is not None and ids["a"] is not None and ids["a"] <= self.last_id:
+            raise ValueError(f"document {ids['a']} comes after {self.last_id}, which is in the index")
         rows = docs.mapInArrow(_cut(self.size, self.n_parts), _PACKED_SQL).repartition(self.n_parts, "part")
         grouped = rows.groupBy("part")
         if self.runs:
@@ -165,16 +239,18 @@ class FingerprintIndex:
             merged = grouped.cogroup(old).applyInArrow(lambda k, new, old: _merge(k, new, old) if new.num_rows else new.cast(_PACKED), _PACKED_SQL)
         else:
             merged = grouped.applyInArrow(lambda k, new: _merge(k, new, None), _PACKED_SQL)
-        folder = new_folder(self.spark, "fingerprints")
+        folder = self._folder()
         merged.write.partitionBy("kind").parquet(folder)
         self.runs.append((0, folder))
+        self.last_id = self.last_id if ids["b"] is None else ids["b"]
         del rows, grouped, merged
         hits = self.spark.read.schema(_PACKED_SQL).parquet(folder).where("kind = 'hit'")
-        self._compact()
+        self._save(self._compact())
         return hits
 
-    def _compact(self) -> None:
-        """Merges the newest runs into one of the next level while ``fan_in`` of them have the same level."""
+    def _compact(self) -> list[str]:
+        """Merges the newest runs into one of the next level while ``fan_in`` of them have the same level; returns the folders that it replaces."""
+        gone = []
         while len(self.runs) >= self.fan_in and len({level for level, _ in self.runs[-self.fan_in :]}) == 1:
             newest = self.runs[-self.fan_in :]
 
@@ -182,16 +258,17 @@ class FingerprintIndex:
                 prints = np.sort(np.concatenate(_runs(t) or [np.empty(0, np.uint64)]), kind="stable")
                 return pa.Table.from_pylist([{"part": key[0].as_py(), "kind": "run", "docs": b"", "counts": b"", "prints": _planes(prints)}], _PACKED)
 
-            folder = new_folder(self.spark, "fingerprints")
+            folder = self._folder()
             self._read([f for _, f in newest]).groupBy("part").applyInArrow(one_run, _PACKED_SQL).write.partitionBy("kind").parquet(folder)
             self.runs[-self.fan_in :] = [(newest[0][0] + 1, folder)]
-            for _, f in newest:
-                drop_folder(self.spark, f"{f}/kind=run")
+            gone += [f for _, f in newest]
+        return gone
 
-    def close(self) -> None:
-        """Deletes the runs; hits that were returned stay."""
+    def drop(self) -> None:
+        """Deletes the index's runs; hits that were returned can still be read."""
         for _, f in self.runs:
             drop_folder(self.spark, f"{f}/kind=run")
+        drop_folder(self.spark, f"{self.home}/manifest")
         self.runs = []
 
 
@@ -249,6 +326,7 @@ def _strip(size: int, n_parts: int, n_columns: int, text_at: int, names: list[st
                     kept[i] = b" ".join(data[a:b] for a, b in zip(piece.start[words][s].tolist(), piece.end[words][s].tolist(), strict=True)).decode()
             columns = [batch.column(k) for k in range(n_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(removed), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+        tidy()
 
     return run
 
@@ -263,7 +341,8 @@ def remove_repeated_windows(docs: DataFrame, *, size: int = 13, batches: int = 3
     string (kept words joined by one space).
 
     Null text: no words, kept_text null.  Empty text or fewer words than
-    ``size``: nothing is removed.  A null doc_id neither owns nor loses
+    ``size``: nothing is removed.  Texts of any length are cut whole, a piece
+    of at least one text at a time.  A null doc_id neither owns nor loses
     windows.  Rows that repeat a doc_id count as the same document.  An empty
     table gives an empty result.
 
@@ -292,7 +371,7 @@ def remove_repeated_windows(docs: DataFrame, *, size: int = 13, batches: int = 3
         hits = found if hits is None else hits.unionByName(found)
         del batch, found
         release(spark)
-    index.close()
+    index.drop()
     n = index.n_parts
     per_doc = hits.mapInArrow(_by_document(n), _PACKED_SQL).repartition(n, "part").groupBy("part").applyInArrow(_gather, "_hit_doc long, _hits binary")
     joined = docs.join(per_doc, docs["doc_id"].cast("long") == per_doc["_hit_doc"], "left").select(*[docs[f"`{c}`"] for c in columns], "_hits")
