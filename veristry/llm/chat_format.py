@@ -3,9 +3,10 @@
 A message's lines have a quote level, the number of leading ``>`` signs.
 Consecutive lines of one level above 0 are a quoted passage.  Passages and
 their lines are normalised and hashed, and so are the bodies, paragraphs and
-lines that messages themselves say.  A message replies to the one it quotes
-most; following replies to their start gives each message its place, and the
-quotes themselves are left out.
+lines that messages themselves say.  A message replies to the one that it
+quotes most at the lowest level that is found anywhere: what is nested deeper
+was quoted by that one already.  Following replies to their start gives each
+message its thread and depth, and the quotes themselves are left out.
 """
 
 from __future__ import annotations
@@ -57,71 +58,71 @@ def _units(text: Column) -> Column:
 
 
 def link_quotes(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_turn, n_linked): for each message that quotes an earlier one, the one quoted most.
+    """(conv_id, turn, parent_turn, n_linked): for each message that quotes an earlier one, the one that it answers.
 
     Rows are those of ``parse_quotes``.  What several messages say belongs to
     the first of them, so a unit has one origin in a conversation, found by a
-    partial aggregate.  Ties go to the later origin.
+    partial aggregate.  Of the lowest level at which a message quotes an
+    earlier one, the origin quoted most is the parent; ties go to the later.
     """
     heard = rows.where(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("p"))
-    heard = heard.select("conv_id", "turn", F.explode(_units(F.array_join("p.lines", "\n"))).alias("unit"))
-    heard = heard.select("conv_id", "turn", F.sha2("unit", 256).alias("hash"), F.length("unit").alias("weight")).where("conv_id is not null and turn is not null").distinct()
+    heard = heard.select("conv_id", "turn", "p.level", F.explode(_units(F.array_join("p.lines", "\n"))).alias("unit"))
+    heard = heard.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn", F.sha2("unit", 256).alias("hash")).agg(F.min("level").alias("level"), F.max(F.length("unit")).alias("weight"))
     said = rows.select("conv_id", "turn", "body").join(heard.select("conv_id").distinct(), "conv_id", "left_semi")
     said = said.select("conv_id", "turn", F.explode(_units(F.col("body"))).alias("unit"))
     said = said.groupBy("conv_id", F.sha2("unit", 256).alias("hash")).agg(F.min("turn").alias("origin"))
     met = heard.join(said, ["conv_id", "hash"]).where("origin < turn")
-    met = met.groupBy("conv_id", "turn", "origin").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-    best = met.groupBy("conv_id", "turn").agg(F.max(F.struct("weight", "origin")).alias("m"), F.count("*").alias("n_linked"))
+    met = met.groupBy("conv_id", "turn", "origin", "level").agg(F.sum("weight").alias("weight"))
+    met = met.groupBy("conv_id", "turn", "origin").agg(F.max(F.struct(-F.col("level"), "weight")).alias("m"))
+    best = met.groupBy("conv_id", "turn").agg(F.max(F.struct("m", "origin")).alias("m"), F.count("*").alias("n_linked"))
     return best.select("conv_id", "turn", F.col("m.origin").alias("parent_turn"), "n_linked")
 
 
-def _reply_paths(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_path): the turns from a thread's start to the message; doubles the reach in each round."""
-    state = links.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.array("turn").alias("path"))
+def _threads(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, thread_turn, depth): where the replies above a message begin and how many there are; doubles the reach in each round."""
+    state = links.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.col("parent_turn").alias("top"), F.lit(1).alias("depth"))
     while True:
-        above = state.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        above = state.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"))
         joined = state.join(above, (state["conv_id"] == above["_c"]) & (state["up"] == above["_t"]), "left")
-        path = F.when(F.col("_t").isNotNull(), F.concat("_path", "path")).when(F.col("up").isNotNull(), F.concat(F.array("up"), "path")).otherwise(F.col("path"))
-        state = stored(joined.select("conv_id", "turn", F.col("_up").alias("up"), path.alias("path")), "reply-paths")
+        state = stored(joined.select("conv_id", "turn", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "threads")
         if not state.where("up is not null").take(1):
             break
-    return state.select("conv_id", "turn", F.col("path").alias("reply_path"))
+    return state.select("conv_id", "turn", F.col("top").alias("thread_turn"), "depth")
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
     """One row per message: conversations in reply order, without quotes.
 
     ``messages`` has conv_id and turn (integers), role and text (strings);
-    other columns are not used.  Returns conv_id long, turn long, role string,
-    content string, n_quotes int (quoted passages), n_linked int (messages
-    quoted), parent_turn long (null where nothing is quoted), thread_turn long
-    (the turn that starts the thread), depth int, reply_path array<long> and
-    formatted string.  Ordering by (conv_id, reply_path) puts every reply behind
-    what it answers, with its own replies behind it.
+    other columns are not used, whatever their names.  Returns conv_id long,
+    turn long, role string, content string, n_quotes int (quoted passages),
+    n_linked int (messages quoted), parent_turn long (null where nothing is
+    quoted), thread_turn long (the turn that starts the thread), depth int (its
+    replies down to the message) and formatted string.  Ordering by (conv_id,
+    thread_turn, turn) puts every thread together and every reply behind what
+    it answers; a row's size does not grow with its thread.
 
     Null text has empty content; null role is 'unknown'.  A message with a null
     conv_id or turn is linked with nothing.  Rows that repeat a turn are each
-    returned, with the links of their turn.  An empty table gives no rows.
+    returned, with the links of their turn; where several messages say the
+    same, the smallest turn is quoted.  Texts of any length are cut in place.
+    An empty table gives no rows.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), "text")
     rows = parse_quotes(rows)
     links = stored(link_quotes(rows), "quote-links")
     out = rows.select("conv_id", "turn", "role", F.col("body").alias("content"), F.size("passages").alias("n_quotes"))
     if links.take(1):
-        known = links.join(_reply_paths(links), ["conv_id", "turn"])
-        out = out.join(known, ["conv_id", "turn"], "left")
+        out = out.join(links.join(_threads(links), ["conv_id", "turn"]), ["conv_id", "turn"], "left")
     else:
-        out = out.withColumns({"parent_turn": F.lit(None).cast("long"), "n_linked": F.lit(None).cast("long"), "reply_path": F.lit(None).cast("array<long>")})
-    path = F.coalesce("reply_path", F.array("turn"))
-    out = out.withColumn("reply_path", path).withColumn("n_linked", F.coalesce("n_linked", F.lit(0)).cast("int"))
-    out = out.withColumn("thread_turn", F.get("reply_path", F.lit(0))).withColumn("depth", F.size("reply_path") - 1)
+        out = out.withColumns({"parent_turn": F.lit(None).cast("long"), "n_linked": F.lit(None).cast("long"), "thread_turn": F.lit(None).cast("long"), "depth": F.lit(None).cast("int")})
+    out = out.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("int"), "thread_turn": F.coalesce("thread_turn", "turn"), "depth": F.coalesce("depth", F.lit(0))})
     out = out.withColumn("formatted", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("<|end|>\n")))
-    return out.select("conv_id", "turn", "role", "content", "n_quotes", "n_linked", "parent_turn", "thread_turn", "depth", "reply_path", "formatted")
+    return out.select("conv_id", "turn", "role", "content", "n_quotes", "n_linked", "parent_turn", "thread_turn", "depth", "formatted")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.withColumn("reply_path", F.array_join(F.transform("reply_path", lambda x: x.cast("string")), "/"))
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 # Holds for messages of any text: lines, levels, passages and bodies are cut in
@@ -140,30 +141,30 @@ WITH RECURSIVE m AS (
 ), runs AS (
   SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM nx
 ), pass AS (
-  SELECT id, run, string_agg(x, chr(10) ORDER BY i) AS p FROM runs WHERE level > 0 GROUP BY id, run HAVING bool_or(trim(x) <> '')
+  SELECT id, run, min(level) AS level, string_agg(x, chr(10) ORDER BY i) AS p FROM runs WHERE level > 0 GROUP BY id, run HAVING bool_or(trim(x) <> '')
 ), own AS (
   SELECT id, string_agg(x, chr(10) ORDER BY i) AS b FROM runs
   WHERE level = 0 AND NOT (regexp_matches(x, '(?i)^\s*(on\b.*|.*)\b(wrote|schrieb|écrit|escribió)\s*:\s*$') AND next > 0) GROUP BY id
 ), body AS (
   SELECT q.id, conv_id, turn, role, regexp_replace(CASE WHEN quoted THEN regexp_replace(coalesce(b, ''), '\n{3,}', chr(10) || chr(10), 'g') ELSE text END, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS content FROM q LEFT JOIN own USING (id)
 ), heard AS (
-  SELECT DISTINCT conv_id, turn, u FROM (
-    SELECT conv_id, turn, unnest(list_concat([p], string_split_regex(p, '\n\s*\n'), string_split(p, chr(10)))) AS r FROM pass JOIN m USING (id)
-  ), LATERAL (SELECT trim(regexp_replace(lower(r), '\s+', ' ', 'g')) AS u) WHERE u <> ''
+  SELECT conv_id, turn, u, min(level) AS level FROM (
+    SELECT conv_id, turn, level, unnest(list_concat([p], string_split_regex(p, '\n\s*\n'), string_split(p, chr(10)))) AS r FROM pass JOIN m USING (id)
+  ), LATERAL (SELECT trim(regexp_replace(lower(r), '\s+', ' ', 'g')) AS u) WHERE u <> '' GROUP BY conv_id, turn, u
 ), said AS (
   SELECT conv_id, u, min(turn) AS origin FROM (
     SELECT conv_id, turn, unnest(list_concat([content], string_split_regex(content, '\n\s*\n'), string_split(content, chr(10)))) AS r FROM body WHERE conv_id IN (SELECT conv_id FROM heard)
   ), LATERAL (SELECT trim(regexp_replace(lower(r), '\s+', ' ', 'g')) AS u) WHERE u <> '' GROUP BY conv_id, u
 ), met AS (
-  SELECT conv_id, turn, origin, sum(len(u)) AS w FROM heard JOIN said USING (conv_id, u) WHERE origin < turn GROUP BY conv_id, turn, origin
+  SELECT conv_id, turn, origin, level, sum(len(u)) AS w FROM heard JOIN said USING (conv_id, u) WHERE origin < turn GROUP BY conv_id, turn, origin, level
 ), link AS (
-  SELECT conv_id, turn, arg_max(origin, w * 1000000000 + origin) AS parent, count(*) AS n FROM met GROUP BY conv_id, turn
+  SELECT conv_id, turn, first(origin ORDER BY level, w DESC, origin DESC) AS parent, count(DISTINCT origin) AS n FROM met GROUP BY conv_id, turn
 ), path AS (
-  SELECT DISTINCT conv_id, turn, turn AS root, turn::VARCHAR AS p FROM m WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.conv_id = m.conv_id AND link.turn = m.turn)
-  UNION ALL SELECT link.conv_id, link.turn, path.root, path.p || '/' || link.turn FROM link JOIN path ON path.conv_id = link.conv_id AND path.turn = link.parent
+  SELECT DISTINCT conv_id, turn, turn AS root, 0 AS depth FROM m WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.conv_id = m.conv_id AND link.turn = m.turn)
+  UNION ALL SELECT link.conv_id, link.turn, path.root, path.depth + 1 FROM link JOIN path ON path.conv_id = link.conv_id AND path.turn = link.parent
 )
 SELECT b.conv_id, b.turn, role, content, coalesce((SELECT count(*) FROM pass WHERE pass.id = b.id), 0)::INTEGER AS n_quotes, coalesce(n, 0)::INTEGER AS n_linked,
-  parent AS parent_turn, coalesce(root, b.turn) AS thread_turn, coalesce(len(p) - len(replace(p, '/', '')), 0)::INTEGER AS depth, coalesce(p, b.turn::VARCHAR) AS reply_path,
+  parent AS parent_turn, coalesce(root, b.turn) AS thread_turn, coalesce(depth, 0)::INTEGER AS depth,
   '<|' || role || '|>' || chr(10) || content || '<|end|>' || chr(10) AS formatted
 FROM body b LEFT JOIN link USING (conv_id, turn) LEFT JOIN path USING (conv_id, turn)
 """
