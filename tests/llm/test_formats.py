@@ -82,6 +82,8 @@ CHATS = [
     (1, 0, "user", "Hello there.\n\nSecond paragraph here\nwith two lines."), (1, 1, "assistant", "> Hello there.\nHi!"), (1, 2, "user", "On Monday X wrote:\n> > Hello there.\n> Hi!\n\nok then"),
     (1, 3, "bob", "> second  Paragraph here\n> with two lines.\nI agree"), (1, 4, None, "> ok then\n\nfine"), (1, 5, "x", None), (1, 6, "x", "> never said\n>\nme"), (2, 0, "u", "> Hello there.\nnew"), (None, 1, "u", "> Hello there."), (1, 4, None, "> ok then\n\nfine"),
     *[(3, i, "u", f"> m{i - 1}\nm{i}" if i else "m0") for i in range(12)],
+    (4, 0, "a", "a long first message that says a great deal"), (4, 1, "b", "> a long first message that says a great deal\nshort"), (4, 2, "a", "> > a long first message that says a great deal\n> short\nthird"),
+    (4, 3, "c", "> > > a long first message that says a great deal\n> > unheard of\n> never said either\nfourth"), (4, 4, "d", "> third\n> short\nfifth"), (4, 5, "e", ">> third\n> fourth\nsixth"),
 ]
 
 
@@ -91,8 +93,12 @@ def test_quotes_are_linked_and_left_out(spark, tmp_path):
     spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = chat_format.op9(spark, str(tmp_path)).collect()
     by = {(r.conv_id, r.turn): r for r in got}
-    assert len(got) == len(CHATS) and by[1, 2].content == "ok then" and by[1, 4].reply_path == "0/2/4" and by[1, 3].parent_turn == 0 and by[1, 6].n_linked == 0
-    assert by[3, 11].reply_path == "/".join(map(str, range(12))) and by[3, 11].depth == 11 and by[1, 5].formatted == "<|x|>\n<|end|>\n" and by[1, 4].role == "unknown"
+    assert len(got) == len(CHATS) and by[1, 2].content == "ok then" and by[1, 3].parent_turn == 0 and by[1, 6].n_linked == 0
+    place = lambda *at: (by[at].parent_turn, by[at].thread_turn, by[at].depth, by[at].n_linked)
+    assert place(1, 4) == (2, 0, 3, 1) and place(3, 11) == (10, 0, 11, 1)
+    # nested quotes: the lowest level that is found anywhere has the parent, however short it is
+    assert [place(4, k) for k in range(6)] == [(None, 0, 0, 0), (0, 0, 1, 1), (1, 0, 2, 2), (0, 0, 1, 1), (2, 0, 3, 2), (3, 0, 2, 2)]
+    assert by[3, 11].depth == 11 and by[1, 5].formatted == "<|x|>\n<|end|>\n" and by[1, 4].role == "unknown"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = con.execute(chat_format.OP9_SQL).fetchall()
@@ -106,6 +112,16 @@ def test_chats_run_without_python(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_deep_threads_hot_conversations_and_other_columns(spark):
+    """A thread of 300 replies; a message that 300 others answer; very long texts; columns named like results."""
+    rows = [(1, i, "u", f"> n{i - 1}\nn{i}" if i else "n0") for i in range(300)] + [(2, i, "u", f"> start\nr{i}" if i else "start") for i in range(300)]
+    rows += [(3, 0, "u", "long line\n" * 30000 + "end"), (3, 1, "u", "> end\n" + "> long line\n" * 30000 + "yes")]
+    frame = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, depth int, body string, passages string")
+    by = {(r.conv_id, r.turn): r for r in chat_format.format_chats(frame).collect()}
+    assert len(by) == len(rows) and all(by[1, i].depth == i and by[1, i].thread_turn == 0 for i in range(300))
+    assert all(by[2, i].parent_turn == 0 and by[2, i].depth == 1 for i in range(1, 300)) and by[3, 1].content == "yes" and by[3, 1].parent_turn == 0
+
+
 def test_archives_and_their_index(spark):
     big = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 20
     rows = [(5, "http://www.B.org/x", big), (2, "https://b.org/x", big), (9, "http://a.org/", big + "!"), (7, None, None), (8, "bad url\n", "short"), (6, "http://[x", "short"), (None, "http://b.org/x", big), (2, "https://b.org/x", big)]
