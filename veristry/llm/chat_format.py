@@ -29,10 +29,14 @@ def normal(text: Column) -> Column:
 def parse_quotes(messages: DataFrame) -> DataFrame:
     """Adds body string (what the message itself says) and passages array<struct<level,lines>> to rows with ``text``.
 
-    Messages without a ``>`` at the start of a line, most of them, aren't cut into lines.
+    Messages without a ``>`` at the start of a line, most of them, aren't cut
+    into lines.  The others are written as they were cut: left to the optimizer,
+    filters on passages would cut a text anew for each of its lines.
     """
     quoted = F.coalesce(F.col("text").rlike(r"(?m)^[ \t]*>"), F.lit(False))
-    rows = messages.withColumn("_lines", F.when(quoted, F.split("text", "\r\n|\r|\n")))
+    ends = lambda c: F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    plain = messages.where(~quoted).withColumn("body", ends(F.coalesce("text", F.lit("")))).withColumn("passages", F.array().cast("array<struct<level:int,lines:array<string>>>"))
+    rows = messages.where(quoted).withColumn("_lines", F.split("text", "\r\n|\r|\n"))
     mark = lambda x: F.regexp_extract(x, _MARK, 1)
     line = lambda x: F.struct(F.length(F.regexp_replace(mark(x), "[^>]", "")).alias("level"), F.regexp_replace(x, _MARK, "").alias("text"))
     rows = rows.withColumn("_lines", F.transform("_lines", line))
@@ -45,10 +49,10 @@ def parse_quotes(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("_runs", F.transform("_starts", run))
     own = F.filter("_lines", lambda x, i: (x["level"] == 0) & ~(x["text"].rlike(ATTRIBUTION) & (F.coalesce(at(i + 1)["level"], F.lit(0)) > 0)))
     body = F.array_join(F.transform(own, lambda x: x["text"]), "\n")
-    body = F.when(quoted, F.regexp_replace(body, r"\n{3,}", "\n\n")).otherwise(F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("body", F.regexp_replace(body, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
-    passages = F.coalesce(F.filter("_runs", lambda r: (r["level"] > 0) & F.exists(r["lines"], lambda x: F.trim(x) != "")), F.array().cast("array<struct<level:int,lines:array<string>>>"))
-    return rows.withColumn("passages", passages).drop("_lines", "_starts", "_runs")
+    rows = rows.withColumn("body", ends(F.regexp_replace(body, r"\n{3,}", "\n\n")))
+    passages = F.filter("_runs", lambda r: (r["level"] > 0) & F.exists(r["lines"], lambda x: F.trim(x) != ""))
+    cut = stored(rows.withColumn("passages", passages).drop("_lines", "_starts", "_runs"), "quoted")
+    return cut.unionByName(plain)
 
 
 def _units(text: Column) -> Column:
