@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, tidy
 from .words import _BASE, mix, powers, raw, slices
 
 OFFSET = 10.0
-_SLICE = 3 << 18
+_SLICE = 1 << 19
 _SPACE = 0x20
 #: Brings what differs in a hash into its first bits.
 _SPREAD = 0x9E3779B97F4A7C15
@@ -47,16 +47,21 @@ class Vocabulary:
     byte_ids: np.ndarray
 
     def __post_init__(self):
-        #: Quick tests of a hash's first 20 bits: may it be a piece, may a piece begin with it.
-        self.maybe, self.begins = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
-        self.maybe[self.hashes >> np.uint64(44)] = True
+        #: By a hash's first 20 bits: the place of the only piece with them, -1 for none, -2 for several; and may a piece begin with it.
+        self.only, self.begins = np.full(1 << 20, -1, np.int32), np.zeros(1 << 20, bool)
+        first, count = np.unique(self.hashes >> np.uint64(44), return_counts=True)
+        self.only[self.hashes >> np.uint64(44)] = np.arange(len(self.hashes))
+        self.only[first[count > 1]] = -2
         heads = {self.pieces[i][:n] for i in self.ids for n in range(1, len(self.pieces[i]))}
         self.begins[np.array([_hash(x) for x in heads] or [0], np.uint64) >> np.uint64(44)] = True
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` that are pieces, and their ids."""
-        at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        k = self.only[h >> np.uint64(44)]
+        at = np.flatnonzero(k != -1)
+        k = k[at]
+        several = np.flatnonzero(k == -2)
+        k[several] = np.minimum(np.searchsorted(self.hashes, h[at[several]]), len(self.hashes) - 1)
         found = self.hashes[k] == h[at]
         return at[found], self.ids[k[found]]
 
@@ -132,8 +137,9 @@ class Lattice:
         sums = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n])])
         head = (x & 0xC0) != 0x80
         spread = down[:n] * np.uint64(_SPREAD)
-        starts, sizes, ids = [], [], []
-        place = np.flatnonzero(head)
+        starts, ids = [], []  # by length
+        heads = np.flatnonzero(head)
+        place = heads
         for length in range(1, v.longest + 1):
             place = place[left[place] >= length]
             if not len(place):
@@ -141,35 +147,47 @@ class Lattice:
             h = (sums[place + length] - sums[place]) * spread[place]
             some, own = v.look_up(h)
             starts.append(place[some])
-            sizes.append(np.full(len(some), length, np.uint8))
             ids.append(own.astype(np.int32))
             place = place[v.begins[h >> np.uint64(44)]]
         # a character that is no piece falls back to its bytes
-        heads = np.flatnonzero(head)
-        width = np.diff(np.append(heads, n))
-        one, w = np.zeros(n, bool), np.zeros(n, np.int64)
-        w[heads] = width
-        for s, length in zip(starts[:4], sizes, strict=False):
-            one[s[w[s] == length]] = True
-        lone = heads[~one[heads]]
-        starts.append(lone)
-        sizes.append(w[lone].astype(np.uint8))
-        ids.append(np.full(len(lone), -1, np.int32))
-        start, step, piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
-        del starts, sizes, ids, sums, spread, one, w
+        w = np.zeros(n, np.int64)
+        w[heads] = np.diff(np.append(heads, n))
+        alone = head.copy()
+        for length, s in enumerate(starts[:4], 1):
+            alone[s[w[s] == length]] = False
+        for length in range(1, 5):
+            lone = np.flatnonzero(alone & (w == length))
+            if len(lone):
+                starts += [np.empty(0, np.int64)] * (length - len(starts))
+                ids += [np.empty(0, np.int32)] * (length - len(ids))
+                starts[length - 1] = np.concatenate([starts[length - 1], lone])
+                ids[length - 1] = np.concatenate([ids[length - 1], np.full(len(lone), -1, np.int32)])
+        del sums, spread, w, alone
+        # from the ends of the units backwards, all positions equally far from their end at once;
+        # of one position the longest pieces first: they are the likeliest as a rule, so that few edges are looked at
+        far = left[heads]
+        heads = heads[np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")]
+        slot = np.zeros(n, np.int64)
+        for s in starts:
+            slot[s] += 1
+        width = slot[heads]
+        new = np.cumsum(width) - width
+        slot[heads] = new
+        edges = int(width.sum())
+        start, step, piece = np.empty(edges, np.int64), np.empty(edges, np.uint8), np.empty(edges, np.int32)
+        for length in range(len(starts), 0, -1):
+            s = starts[length - 1]
+            at = slot[s]
+            start[at], step[at], piece[at] = s, length, ids[length - 1]
+            slot[s] = at + 1
+        del starts, ids, slot
         fallback = float(v.log_weight[v.byte_ids[0]])
         score = np.where(piece >= 0, v.log_weight[np.maximum(piece, 0)], fallback * step.astype(np.float64))
-        # from the ends of the units backwards, all positions equally far from their end at once
-        far = left[start]
-        # of one position the longest pieces first; they are the likeliest as a rule, so that few edges are looked at
-        order = np.argsort((far.astype(np.uint64) << np.uint64(40)) | (start.astype(np.uint64) << np.uint64(8)) | (np.uint64(255) - step.astype(np.uint64)))
-        start, step, piece, score, far = start[order], step[order], piece[order], score[order], far[order]
         total = np.zeros(n + 1)
-        new = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
-        width = np.diff(np.append(new, len(start)))
-        inner = far != step  # the edge doesn't end its unit
+        far = left[heads]
+        inner = np.repeat(far, width) != step  # the edge doesn't end its unit
         to = np.minimum(start + step, n)
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(far[new]) != 0, [True]])) if len(new) else np.zeros(1, np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(far) != 0, [True]])) if len(new) else np.zeros(1, np.int64)
         for a, b in zip(cuts, cuts[1:], strict=False):
             own = new[a:b]
             x, y = own[0], own[-1] + width[b - 1]
@@ -177,17 +195,21 @@ class Lattice:
             top = np.maximum.reduceat(edge, own - x)
             total[start[own]] = top + np.log(np.add.reduceat(np.exp(edge - np.repeat(top, width[a:b])), own - x))
         value = score + np.where(inner, total[to], 0.0) - total[start]
-        self.start, self.step, self.piece, self.score, self.log_p, self.left = start, step, piece, score, value, left
+        self.start, self.step, self.piece, self.log_p, self.left = start.astype(np.int32), step, piece, value, left.astype(np.int32)
         #: First and last edge of each position.
-        self.first_edge, self.last_edge = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.first_edge, self.last_edge = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.first_edge[start[new]], self.last_edge[start[new]] = new, new + width - 1
-        p = np.exp(value)
-        run = np.cumsum(p)
-        self.upto = run - np.repeat((run - p)[new], width)
+        self.upto = np.exp(value)
+        k, own = 1, new[width > 1]  # sums within a position only, so that they don't depend on what lies before it
+        width = width[width > 1]
+        while len(own):
+            self.upto[own + k] += self.upto[own + k - 1]
+            k += 1
+            own, width = own[width > k], width[width > k]
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge at each place by its probability."""
-        edge, last = self.first_edge[place], self.last_edge[place]
+        edge, last = self.first_edge[place].astype(np.int64), self.last_edge[place]
         todo = np.flatnonzero((u >= self.upto[edge]) & (edge < last))
         while len(todo):
             edge[todo] += 1
@@ -395,6 +417,8 @@ def _encoder(v: Vocabulary, k: int, seed: int, decoded: bool):
             lists = pa.ListArray.from_arrays(bounds, pa.array(flat, pa.int32()))
             again = [_texts(texts, lists)] if decoded else []
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), *again], schema=schema)
+            del rows, pieces, flat, lists, again
+            tidy()
 
     return run
 
