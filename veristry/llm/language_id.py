@@ -8,6 +8,7 @@ loses hardly more, the text is flagged as ambiguous.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import fold, held_out, per_class
-from .shared import small_batches
+from .shared import small_batches, tidy
 from .words import raw, slices
 
 #: Buckets for each n-gram length, and segments' bytes in training.
@@ -97,26 +98,40 @@ class Model:
         return best, score, second - loss[rows, best] < doubt
 
 
-def fit(texts: list[str], languages: list[str], rounds: int = 150, seed: int = 1) -> Model | None:
-    """Trains on segments of the texts, of several lengths; None without any text."""
-    names = sorted(set(languages))
+def examples(text: str, seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The whole text and one segment of it, each as its features and their shares; none of an empty text."""
+    data = _FOLD[np.frombuffer(text.encode(), np.uint8)]
+    if not len(data):
+        return []
+    rng, out = np.random.default_rng([seed, zlib.crc32(data)]), []
+    for length in (SEGMENTS[rng.integers(len(SEGMENTS))], len(data)):
+        at = int(rng.integers(max(1, len(data) - length + 1)))
+        count = np.zeros(WIDTH)
+        for start in range(at, min(at + length, len(data)), _PIECE):
+            for f in grams(data[start : min(start + _PIECE, at + length)]):
+                count += np.bincount(f, minlength=WIDTH)
+        index = np.flatnonzero(count)
+        out.append((index.astype(np.int16), (count[index] / min(length, len(data))).astype(np.float32)))
+    return out
+
+
+def fit(texts: list[str], languages: list[str], rounds: int = 150) -> Model | None:
+    """Trains on the examples of the texts; None without any text."""
+    found = [(e, name) for text, name in zip(texts, languages, strict=True) for e in examples(text)]
+    return fit_examples([e for e, _ in found], [name for _, name in found], sorted(set(languages)), rounds)
+
+
+def fit_examples(found: list[tuple[np.ndarray, np.ndarray]], languages: list[str], names: list[str], rounds: int = 150) -> Model | None:
+    """Trains one logistic classifier for each bit of the languages' codewords; None without a language."""
     if not names:
         return None
-    rng = np.random.default_rng(seed)
-    rows, labels = [], []
-    for text, name in zip(texts, languages, strict=True):
-        data = _FOLD[np.frombuffer(text.encode(), np.uint8)]
-        if not len(data):
-            continue
-        for length in (SEGMENTS[rng.integers(len(SEGMENTS))], len(data)):
-            at = int(rng.integers(max(1, len(data) - length + 1)))
-            part = data[at : at + length]
-            rows.append(sum(np.bincount(f, minlength=WIDTH) for f in grams(part)).astype(np.float32) / len(part))
-            labels.append(names.index(name))
+    rows, labels = np.zeros((len(found), WIDTH), np.float32), [names.index(name) for name in languages]
+    for k, (index, share) in enumerate(found):
+        rows[k, index] = share
     code = codewords(len(names))
-    if not rows:
+    if not len(rows):
         return Model(names, code, np.ones(code.shape[1]), np.zeros((WIDTH + 1, code.shape[1]), np.float32))
-    x, target = np.stack(rows), code[np.array(labels)]
+    x, target = rows, code[np.array(labels)]
     mean = x.mean(0)
     scale = 1 / (np.sqrt(mean) + 1e-2)
     x -= mean
@@ -138,14 +153,24 @@ def fit(texts: list[str], languages: list[str], rounds: int = 150, seed: int = 1
     return Model(names, code, trust, full)
 
 
-def train(docs: DataFrame, most_per_language: int = 500) -> Model | None:
-    """Fits on about ``most_per_language`` documents of each language outside the held-out fifth."""
+def _examples(batches):
+    for batch in slices(batches, 1):
+        found = [(name, e) for text, name in zip(batch.column(1), batch.column(0), strict=True) for e in examples(text.as_py())]
+        yield pa.RecordBatch.from_arrays([pa.array([name.as_py() for name, _ in found], pa.string()), pa.array([e[0].tobytes() for _, e in found], pa.binary()), pa.array([e[1].tobytes() for _, e in found], pa.binary())], names=["lang", "index", "share"])
+
+
+def train(docs: DataFrame, most_per_language: int = 500, most_rows: int = 3000, most_languages: int = 1000) -> Model | None:
+    """Fits on about ``most_per_language`` documents of each language, ``most_rows`` in all, outside the held-out fifth.
+
+    Whole texts are cut to n-grams where they lie; the driver gets counts of at
+    most ``WIDTH`` features, two for each document.  A table with more than
+    ``most_languages`` values of lang warns that the rarest aren't learned.
+    """
+    small_batches(docs.sparkSession)
     known = docs.select("doc_id", "lang", "text").where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # a long document stands for itself by its middle; only training does this
-    part = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2 - 2000).cast("int")), F.lit(4000))
-    sample = per_class(known, "lang", most_per_language).select("doc_id", "lang", part.alias("text")).collect()
-    sample.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    sample = per_class(known, "lang", most_per_language, most_rows, most_languages).select("lang", "text").mapInArrow(_examples, "lang string, index binary, share binary").collect()
+    sample.sort(key=lambda r: (r["lang"], r["index"], r["share"]))
+    return fit_examples([(np.frombuffer(r["index"], np.int16), np.frombuffer(r["share"], np.float32)) for r in sample], [r["lang"] for r in sample], sorted({r["lang"] for r in sample}))
 
 
 def _has_letter(folded: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:
@@ -181,6 +206,7 @@ def _predictor(model: Model | None, doubt: float, n_columns: int, text_at: int,
         for batch in slices(batches, text_at):
             lang, score, unsure = predict(model, batch.column(text_at), doubt)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(n_columns)], pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*names, "lang_pred", "score", "ambiguous"])
+        tidy()
 
     return run
 
@@ -204,4 +230,4 @@ def identify(docs: DataFrame, model: Model | None, *, doubt: float = 0.5) -> Dat
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs.select("doc_id", "text"), train(docs))
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import fold, held_out, per_class
+from .sampling import fold, held_out, per_class, within_bytes
 from .shared import small_batches
 from .words import WHITE, Piece, pieces, slices
 
@@ -129,12 +129,15 @@ def _featurise(batches):
         yield pa.RecordBatch.from_arrays([labels, pa.array([o["index"] for o in out], pa.binary()), pa.array([o["share"] for o in out], pa.binary())], names=["label", "index", "share"])
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_per_class: int = 1500) -> Model | None:
-    """Fits on about ``most_per_class`` labelled documents of each class outside the held-out fifth; None without any."""
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_per_class: int = 1500, most_bytes: int = 64 << 20) -> Model | None:
+    """Fits on about ``most_per_class`` labelled documents of each class outside the held-out fifth; None without any.
+
+    Their whole texts count, of ``most_bytes`` in all; of longer ones fewer documents are taken.
+    """
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where((fold() != 0) & F.col("label").isin(0, 1)).distinct()
     sample = per_class(known, "label", most_per_class)  # bounded, so it may be broadcast
     texts = docs.select("doc_id", "text").where("text is not null")
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    rows = within_bytes(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text"), most_bytes)
     found = rows.orderBy("doc_id").select("label", "text").mapInArrow(_featurise, "label int, index binary, share binary").collect()
     if not found:
         return None
