@@ -4,10 +4,12 @@ Writing: a record is one string whose end mark, two line breaks, is the text
 sink's line separator, so Spark's own writer makes the archive files on any
 file system.  Records of equal payload refer to the one with the smallest id.
 
-Reading: each archive is parsed as a stream.  Its captures form a run that is
-sorted by URL key and time.  Runs are cut at the borders of Spark's range
-partitions, and in each partition a loser tree merges the runs' parts, so the
-partitions in order hold the capture history of all archives.
+Reading: each archive is unpacked and parsed as a stream; its size is bounded
+when it is written.  Its captures form a run that is sorted by URL key and
+time.  All runs are written to the shared folder and cut at the borders of
+Spark's range partitions, as many as keep a partition's rows bounded; Spark
+sorts a partition's rows by run, and a loser tree merges the runs' parts, so
+the partitions in order hold the capture history of all archives.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ import io
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +31,28 @@ from .shared import new_folder, parts, stored
 _END = "\r\n\r\n"
 #: Payloads of fewer bytes are never replaced by a reference.
 LEAST_BYTES = 100
+#: Bytes of payload that an archive has on average, and captures that a task merges.
+ARCHIVE_BYTES, MERGE_ROWS = 64 << 20, 200_000
 #: Second 0 of the capture times that are made from page ids, 2024-01-01.
 _EPOCH = 1_704_067_200
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest and original, the smallest page_id of equal payloads of enough bytes."""
+    """Adds payload, payload_bytes, payload_digest and original, the smallest page_id of equal payloads of enough bytes.
+
+    Originals are found from digests alone and joined by page, so payloads are
+    shuffled once and evenly, however many pages have the same one; into as
+    many parts as bound the bytes of each.
+    """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    total = p.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("n")).first()["n"]
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    same = p.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy(F.col("payload_digest").alias("_d")).agg(F.min("page_id").alias("original"), F.count("*").alias("_n"))
-    same = same.where("_n > 1").select("_d", "original")
-    return p.join(same, p["payload_digest"] == same["_d"], "left").drop("_d")
+    p = p.withColumn("_page", F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "payload_digest"))
+    seen = p.where(F.col("payload_bytes") >= LEAST_BYTES).select("_page", "page_id", "payload_digest")
+    same = seen.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("_n")).where("_n > 1").select("payload_digest", "original")
+    found = seen.select("_page", "payload_digest").distinct().join(same, "payload_digest").select("_page", "original")
+    n = max(parts(pages.sparkSession), -(-total // ARCHIVE_BYTES))
+    return p.repartition(n, "_page").join(found, "_page", "left").drop("_page")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -66,10 +81,15 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, folder: str, records_per_file: int = 20_000) -> None:
-    """Writes pages (page_id integer, url string, html string) as gzipped WARC files."""
+def write_archives(pages: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """Writes pages (page_id integer, url string, html string) as WARC files.
+
+    With ``compression`` none, a record's offset and length in the capture
+    index are those of its bytes in the file; with gzip, an archive is one
+    stream, and they are those in the unpacked archive.
+    """
     rows = records(with_originals(pages))
-    rows.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
+    rows.write.option("lineSep", _END).option("compression", compression).text(folder)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -121,7 +141,9 @@ def _index(batches):
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             rows = []
-            with gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())) as f:
+            content = io.BytesIO(content.as_buffer())
+            packed = content.getbuffer()[:2] == b"\x1f\x8b"
+            with gzip.GzipFile(fileobj=content) if packed else content as f:
                 for head, at, size, block in parse(io.BufferedReader(f)):
                     digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
                     if head["WARC-Type"] == "response" and hashlib.sha256(block).hexdigest() != digest:
@@ -174,26 +196,25 @@ class LoserTree:
 
 
 def _merge(batches):
-    """A range partition's captures, which come as parts of sorted runs -> in order."""
-    from pyspark import TaskContext
-
-    runs: dict[str, list[dict]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            runs.setdefault(row["run"], []).append(row)
-    for rows in runs.values():  # parts of a run may arrive in another order
-        if any(_order(a) > _order(b) for a, b in zip(rows, rows[1:], strict=False)):
-            rows.sort(key=_order)
-    part, out, done = TaskContext.get().partitionId(), [], 0
-    schema = pa.schema([*_ENTRY, ("merged_part", pa.int32()), ("merged_pos", pa.int64())])
-    for row in LoserTree([iter(r) for r in runs.values()], _order):
-        out.append(row | {"merged_part": part, "merged_pos": done})
-        done += 1
-        if len(out) == 5000:
-            yield pa.RecordBatch.from_pylist(out, schema)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
+    """A range partition's captures, sorted by run -> in order, with their place in it."""
+    t = pa.Table.from_batches(list(batches), pa.schema(_ENTRY)).combine_chunks()
+    if not t.num_rows:
+        return
+    keys = [t.column(c).to_pylist() for c in ("url_key", "captured_at", "page_id", "run", "record_offset")]
+
+    def run(a: int, b: int):
+        for k in range(a, b):
+            url, at, page, name, offset = (x[k] for x in keys)
+            yield (url, at, page is not None, page or 0, name, offset), k
+
+    names = np.asarray(t.column("run").combine_chunks().dictionary_encode().indices)
+    cuts = [0, *(np.flatnonzero(np.diff(names)) + 1), len(names)]
+    order = np.fromiter((k for _, k in LoserTree([run(a, b) for a, b in zip(cuts, cuts[1:], strict=False)], lambda row: row[0])), np.int64, len(names))
+    part = TaskContext.get().partitionId()
+    for a in range(0, len(order), 5000):
+        own = t.take(pa.array(order[a : a + 5000])).combine_chunks()
+        n = own.num_rows
+        yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in own.columns), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(a, a + n))], names=[*own.schema.names, "merged_part", "merged_pos"])
 
 
 def capture_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,22 +228,24 @@ def capture_index(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     entries = stored(files.mapInArrow(_index, _ENTRY_SQL), "captures")
-    ranged = entries.repartitionByRange(parts(spark), "url_key", "captured_at", "page_id")
+    n = max(parts(spark), -(-entries.count() // MERGE_ROWS))
+    ranged = entries.repartitionByRange(n, "url_key", "captured_at", "page_id").sortWithinPartitions("run", "url_key", "captured_at", "page_id", "record_offset")
     return ranged.mapInArrow(_merge, f"{_ENTRY_SQL}, merged_part int, merged_pos long")
 
 
-def archive(pages: DataFrame) -> DataFrame:
+def archive(pages: DataFrame, compression: str = "gzip") -> DataFrame:
     """Writes ``pages`` to a new folder of archives, reads them back and returns their capture index.
 
     ``pages`` has page_id (integer), url and html (string); other columns are
-    not used.  Null html is an empty payload, a null url has the key ''; a row
+    not used, whatever their names.  Payloads of any length are written whole.
+    Null html is an empty payload, a null url has the key ''; a row
     with null page_id is archived too and is never an original unless all
     equal payloads have none.  Rows that repeat the smallest page_id are all
     responses.  An empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    write_archives(pages, folder)
+    write_archives(pages, folder, compression)
     return capture_index(spark, folder)
 
 
