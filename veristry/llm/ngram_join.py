@@ -98,6 +98,7 @@ def _info(size: int):
             none = lambda t: pa.nulls(len(n), t)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key.view(np.int64), mask=n == 0), none(pa.int64()), none(pa.binary()), none(pa.binary())], schema=_INFO)
         token, count = _summed(np.concatenate(often), np.concatenate(times))
+        tidy()
         yield pa.RecordBatch.from_pylist([{"keys": seen, "hot": token.tobytes(), "count": count.tobytes()}], schema=_INFO)
 
     return run
@@ -200,7 +201,9 @@ def _shared(n_parts: int):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (token[1:] != token[:-1])
         key, token, size, rank = key[new], token[new], size[new], rank[new]
-        return pa.Table.from_pylist(list(_dealt((key % np.uint64(n_parts)).astype(np.int32), key, size, token, rank)), _PACKED)
+        out = pa.Table.from_pylist(list(_dealt((key % np.uint64(n_parts)).astype(np.int32), key, size, token, rank)), _PACKED)
+        tidy()
+        return out
 
     return run
 

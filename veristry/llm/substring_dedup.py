@@ -128,7 +128,8 @@ def _cut(size: int, n_parts: int):
                 # the owner's own row goes on as new, unless an earlier piece has sent one for it
                 new = ~same & ~(held & (d[first] >= earlier))[run_of]
                 hit = d != owner
-                out += _rows("new", p[new], d[new], f[new])
+                sent = np.sort(order[new])  # in the text's order, so that a document's windows lie together
+                out += _rows("new", part[sent], doc[sent], prints[sent])
                 # settled already; only carried on, so they are spread evenly
                 by_doc = np.flatnonzero(hit)[np.argsort(d[hit], kind="stable")]
                 out += _rows("hit", (d[by_doc] % n_parts).astype(np.int32), d[by_doc], window_ids(p[by_doc], f[by_doc]))
@@ -177,7 +178,9 @@ def _merge(part_key, new: pa.Table, old: pa.Table | None) -> pa.Table:
     by_doc = np.argsort(doc[hit], kind="stable")
     rows = [dict(r, part=part) for r in _rows("hit", np.zeros(len(ids), np.int32), doc[hit][by_doc], ids[by_doc])]
     rows.append({"part": part, "kind": "run", "docs": b"", "counts": b"", "prints": _planes(unique[~known])})
-    return pa.concat_tables([settled.cast(_PACKED), pa.Table.from_pylist(rows, _PACKED)])
+    out = pa.concat_tables([settled.cast(_PACKED), pa.Table.from_pylist(rows, _PACKED)])
+    tidy()
+    return out
 
 
 _MANIFEST = "version long, place int, level int, folder string, size int, fan_in int, n_parts int, last_id long"
