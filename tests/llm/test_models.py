@@ -1,10 +1,12 @@
 """Classifiers: held-out accuracy on the given labels, and edge cases."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from veristry.llm import language_id, quality, toxicity
+from veristry.llm import language_id, quality, sampling, toxicity
 from veristry.llm.words import WHITE, pieces
 
 AT = "/root/testdata/sf0.01"
@@ -89,6 +91,64 @@ def test_sparse_scores_equal_dot_products():
         assert model.scores(piece)[r] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
 
 
+def test_leader_follows_its_definition():
+    """The weights after each example are the minimiser of the regularised sums, kept here one number at a time."""
+    rng, rows, labels = np.random.default_rng(4), [], []
+    for k in range(40):
+        index = np.sort(rng.choice(6, 3, replace=False))
+        rows.append((index, rng.random(3)))
+        labels.append(float(k % 3 == 0))
+    alpha, beta, l1, l2, seed, rounds = 0.3, 1.0, 0.002, 0.05, 3, 2
+    model = quality.follow_the_leader(rows, np.array(labels), rounds, alpha, beta, l1, l2, seed)
+    z, n, order = {}, {}, np.random.default_rng(seed)
+    share = np.mean(labels)
+
+    def weight(i):
+        own = z.get(i, 0.0)
+        return 0.0 if abs(own) <= l1 else -(own - math.copysign(l1, own)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(rounds):
+        for k in order.permutation(len(rows)):
+            x = {**{int(i): s * quality.SCALE for i, s in zip(*rows[k], strict=True)}, "bias": 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in [(i, v) for i, v in x.items()]:
+                w, g = weight(i), (p - labels[k]) * v * (0.5 / share if labels[k] else 0.5 / (1 - share))
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w
+                n[i] = n.get(i, 0.0) + g * g
+    assert model.weights.ravel()[:6] == pytest.approx([weight(i) for i in range(6)], rel=1e-4, abs=1e-7) and model.bias == pytest.approx(weight("bias"), rel=1e-6)
+
+
+def test_wide_filters_learn_the_order_of_words(monkeypatch):
+    """The same words in another order differ only for filters of more than one word."""
+    rng, texts, labels = np.random.default_rng(2), [], []
+    for k in range(400):
+        pair = ["one two", "two one"][k % 2]
+        words = ["w%d" % rng.integers(30) for _ in range(8)]
+        words.insert(int(rng.integers(8)), pair)
+        texts.append(" ".join(words))
+        labels.append(float(k % 2))
+    ids = [toxicity.buckets(p) for t in texts for p in pieces(pa.array([t]), WHITE)]
+    right = {}
+    for widths in ((1,), (1, 2, 3)):
+        monkeypatch.setattr(toxicity, "WIDTHS", widths)
+        monkeypatch.setattr(toxicity, "_GAP", max(widths) - 1)
+        net = toxicity.fit(ids[:300], np.array(labels[:300]), rounds=40, drop=0.0)
+        model, tables = toxicity.Model(net, None, {}, 0.0), net.tables()
+        right[widths] = np.mean([(toxicity._logit_of(model, t, tables) > 0) == y for t, y in zip(ids[300:], labels[300:], strict=True)])
+    assert right[(1,)] < 0.65 and right[(1, 2, 3)] > 0.9
+
+
+def test_training_bounds(spark, frame):
+    texts = frame([(i, "word " * 100 + ("good" if i % 2 else "bad"), ["en", "de", "fr"][i % 3]) for i in range(300)], "doc_id long, text string, lang string")
+    assert sampling.per_class(texts, "lang", 20).count() < 120 and sampling.per_class(texts, "lang", 500, 30).count() < 90
+    assert sampling.within_bytes(texts, 1 << 30).count() == 300 and 0 < sampling.within_bytes(texts, 40_000).count() < 150
+    with pytest.warns(UserWarning, match="more than 2 values"):
+        assert language_id.train(texts, most_languages=2).languages in (["de", "en"], ["de", "fr"], ["en", "fr"])
+    late = frame([(i, "zz " * 3000 + ("und der die das nicht" if i % 2 else "the and of not with") * 400, "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
+    model = language_id.train(late)
+    assert language_id.predict(model, pa.array(["zz zz und der die nicht", "zz the and with of"]), 0.5)[0] == ["de", "en"]
+
+
 def test_threshold_separates():
     cut = toxicity.best_threshold(np.array([3.0, 2.0, -1.0, -2.0]), np.array([1.0, 1, 0, 0]), np.ones(4))
     assert -1 < cut < 2
