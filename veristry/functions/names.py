@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,11 +91,83 @@ def jaro_winkler(a: str | None, b: str | None, prefix: int = 4, weight: float =
     return j + same * weight * (1 - j)
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Jaro-Winkler similarity of two string columns, in Arrow batches."""
-    for a, b in pairs:
-        yield pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _letters(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of code points for each string, and the strings' lengths."""
+    x = np.array(strings, dtype=str)
+    length = np.char.str_len(x)
+    wide = max(1, int(length.max(initial=0)))
+    return np.ascontiguousarray(x.astype(f"U{wide}")).view(np.uint32).reshape(len(x), wide), length
+
+
+def _common_at_most(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, kinds: int = 32) -> np.ndarray:
+    """How many characters two strings can have in common, wherever they stand; counts code points by remainder."""
+    counts = []
+    for x, length in ((a, la), (b, lb)):
+        count = np.zeros((len(x), kinds), np.int16)
+        for k in range(x.shape[1]):
+            own = np.flatnonzero(length > k)
+            count[own, x[own, k] % kinds] += 1
+        counts.append(count)
+    return np.minimum(*counts).sum(1)
+
+
+def _jaro_rows(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """``jaro`` of each row's two strings, none of them empty."""
+    n, places = len(a), np.arange(b.shape[1])
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    free = places < lb[:, None]
+    met = np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        fit = free & (b == a[:, i : i + 1]) & (np.abs(places - i) <= reach[:, None]) & (la > i)[:, None]
+        own = np.flatnonzero(fit.any(1))
+        free[own, fit[own].argmax(1)] = False
+        met[own, i] = True
+    taken = (places < lb[:, None]) & ~free
+    m = met.sum(1)
+    first = lambda x, mask: np.take_along_axis(x, np.argsort(~mask, 1, kind="stable"), 1)
+    wide = min(a.shape[1], b.shape[1])
+    left, right = first(a, met)[:, :wide], first(b, taken)[:, :wide]
+    swaps = ((left != right) & (np.arange(wide) < m[:, None])).sum(1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0) if n else np.zeros(0)
+
+
+def jaro_winkler_rows(a: np.ndarray, b: np.ndarray, cut: float = 0.0) -> np.ndarray:
+    """``jaro_winkler`` of each pair of strings; NaN where the strings' characters rule out ``cut``."""
+    (x, la), (y, lb) = _letters(a), _letters(b)
+    wide = min(4, x.shape[1], y.shape[1])
+    same = (x[:, :wide] == y[:, :wide]) & (np.arange(wide) < np.minimum(la, lb)[:, None])
+    prefix = np.cumprod(same, 1).sum(1)
+    raised = lambda j: j + 0.1 * prefix * (1 - j)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = _common_at_most(x, la, y, lb)
+        most = np.where(m > 0, (m / la + m / lb + 1) / 3, 0.0)
+    some = np.flatnonzero((raised(most) >= cut - 1e-9) & (la > 0) & (lb > 0))
+    out = np.where((la == 0) & (lb == 0), 1.0, 0.0)
+    out[(raised(most) < cut - 1e-9) & (la > 0) & (lb > 0)] = np.nan
+    if len(some):
+        out[some] = _jaro_rows(x[some], la[some], y[some], lb[some])
+        out[some] += 0.1 * prefix[some] * (1 - out[some])
+    return out
+
+
+def similarity_from(cut: float = 0.0) -> Callable:
+    """Jaro-Winkler similarity of two string columns, whole Arrow batches at a time; null where it can't reach ``cut``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            out = np.full(len(a), np.nan)
+            known = np.flatnonzero(a.notna().to_numpy() & b.notna().to_numpy())
+            for at in range(0, len(known), 4096):
+                own = known[at : at + 4096]
+                out[own] = jaro_winkler_rows(a.to_numpy()[own], b.to_numpy()[own], cut)
+            yield pd.Series(out).astype("object").where(~np.isnan(out), None)
+
+    return similarity
+
+
+similarity = similarity_from()
 
 
 def can_reach(a: Column, b: Column, cut: float) -> Column:

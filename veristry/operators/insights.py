@@ -116,7 +116,7 @@ def failure_categories(log: DataFrame, docs: DataFrame) -> DataFrame:
     return lost.groupBy(failure_kind(F.coalesce("error_message", F.lit(""))).alias("category")).agg(F.count_distinct("nces_id").alias("n"))
 
 
-def telemetry(searches: DataFrame, as_of: str, days: int = 30, k: int = 15) -> DataFrame:
+def telemetry(searches: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Searches, mean results and distinct normalised prompts of the trailing days (1 to 60)."""
     end = F.lit(as_of).cast("timestamp")
     near = searches.where(F.col("generated_at") >= end - F.make_interval(days=F.lit(min(60, max(1, days)))))
@@ -124,6 +124,44 @@ def telemetry(searches: DataFrame, as_of: str, days: int = 30, k: int = 15) -> D
     return near.agg(F.count("*").alias("n"), F.round(F.avg("result_count"), 6).alias("mean_results"), F.count_distinct(plain).alias("prompts"), F.count_distinct("user_id").alias("users"))
 
 
+def top_prompts(searches: DataFrame, as_of: str, days: int = 30, k: int = 15) -> DataFrame:
+    """The ``k`` most frequent normalised prompts of the trailing days (1 to 60), with their mean number of results and last use."""
+    end = F.lit(as_of).cast("timestamp")
+    near = searches.where(F.col("generated_at") >= end - F.make_interval(days=F.lit(min(60, max(1, days)))))
+    plain = F.regexp_replace(F.lower(F.trim("prompt")), r"\s+", " ")
+    by = near.groupBy(plain.alias("prompt")).agg(F.count("*").alias("n"), F.round(F.avg("result_count"), 6).alias("mean_results"), F.max("generated_at").alias("last_used"))
+    return by.orderBy(F.desc("n"), "prompt").limit(k)
+
+
+def progress_rate(log: DataFrame, districts: DataFrame) -> DataFrame:
+    """One row: districts done and left, districts an hour between the first and last request, and the hours that are left at that rate."""
+    done = log.where("nces_id is not null").agg(F.count_distinct("nces_id").alias("done"), ((F.unix_micros(F.max("crawled_at").cast("timestamp")) - F.unix_micros(F.min("crawled_at").cast("timestamp"))) / 3.6e9).alias("hours"))
+    left = districts.join(log.select("nces_id"), "nces_id", "left_anti").agg(F.count("*").alias("left"))
+    rate = F.try_divide(F.col("done").cast("double"), F.col("hours"))
+    return done.crossJoin(left).select("done", "left", F.round(rate, 6).alias("per_hour"), F.round(F.try_divide(F.col("left").cast("double"), rate), 6).alias("hours_left"))
+
+
+def state_leaders(districts: DataFrame, scores: DataFrame, docs: DataFrame, state: str, k: int = 10) -> DataFrame:
+    """The state's ``k`` districts of the highest total, with their number of documents."""
+    best = districts.where(F.col("state") == state).join(scores.select("nces_id", "total"), "nces_id").orderBy(F.desc("total"), "nces_id").limit(k).select("nces_id", "total")
+    return best.join(docs.select("nces_id", "doc_id"), "nces_id", "left").groupBy("nces_id", "total").agg(F.count("doc_id").alias("n_documents"))
+
+
+def rising(months: DataFrame, least: float = 50.0, k: int = 10) -> DataFrame:
+    """Of monthly counts (month, name, n): growth in percent over the month before, where it is above ``least``; the ``k`` highest of each month."""
+    w = Window.partitionBy("name").orderBy("month")
+    grown = months.withColumn("growth", F.round(F.try_divide(100.0 * (F.col("n") - F.lag("n").over(w)), F.lag("n").over(w)), 2)).where(F.col("growth") > least)
+    return grown.withColumn("place", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("growth"), F.desc("n"), "name"))).where(F.col("place") <= k)
+
+
+def leading_states(districts: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
+    """For each score category, the ``k`` states of the highest mean: (category, state, mean, place)."""
+    names = ("readiness", "alignment", "activation", "branding")
+    means = districts.select("nces_id", "state").join(scores, "nces_id").groupBy("state").agg(*[F.round(F.avg(c), 6).alias(c) for c in names])
+    long = means.unpivot("state", list(names), "category", "mean")
+    return long.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("mean"), "state"))).where(F.col("place") <= k)
+
+
 def repeated_entities(searches: DataFrame, k: int = 20) -> DataFrame:
     """The k entities that search results named most."""
     return searches.select(F.explode("top_ids").alias("nces_id")).groupBy("nces_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "nces_id").limit(k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import can_reach, normalise_name, similarity
+from ..functions.names import can_reach, normalise_name, similarity_from
 
 
 def match_entities(registry: DataFrame, baseline: DataFrame, *, rules="default", cut: float = 0.80, near: float = 0.90, policy: str = "loader") -> DataFrame:
@@ -16,8 +16,8 @@ def match_entities(registry: DataFrame, baseline: DataFrame, *, rules="default",
     ``near`` on, else ``fuzzy``; ties go to the smallest nces_id.  Review is
     asked for below 0.85.  Policy 'documented' scales the confidence instead:
     0.95 of the similarity from 0.90 on, or from 0.85 on in the same city; else
-    0.90 of it, with review.  Only pairs whose lengths allow the cut are
-    compared.
+    0.90 of it, with review.  Pairs of a state are compared only if their
+    lengths allow the cut, and in detail only if their letters do.
     """
     r = registry.select("id", F.col("state").alias("_state"), F.col("city").alias("_city"), normalise_name("district_name", rules).alias("_name")).where("_name is not null")
     b = baseline.select("nces_id", "state", "city", normalise_name("district_name", rules).alias("name")).where("name is not null")
@@ -25,7 +25,7 @@ def match_entities(registry: DataFrame, baseline: DataFrame, *, rules="default",
     equal = equal.select("id", "nces_id", F.lit("exact_name").alias("match_method"), F.lit(0.95).alias("confidence"), F.lit(False).alias("review"))
     rest = r.join(equal.select("id"), "id", "left_anti")
     pairs = rest.join(b, (F.col("_state") == F.col("state")) & can_reach(F.col("_name"), F.col("name"), cut))
-    pairs = pairs.select("id", "nces_id", similarity("_name", "name").alias("s"), (F.col("_city") == F.col("city")).alias("near")).where(F.col("s") >= cut)
+    pairs = pairs.select("id", "nces_id", similarity_from(cut)("_name", "name").alias("s"), (F.col("_city") == F.col("city")).alias("near")).where(F.col("s") >= cut)
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "nces_id"))).where("_n = 1")
     if policy == "documented":
         strong = (F.col("s") >= 0.90) | ((F.col("s") >= 0.85) & F.coalesce("near", F.lit(False)))
@@ -58,15 +58,21 @@ def action(confidence: Column) -> Column:
     return F.when(c >= 0.90, "accept").when(c >= 0.85, "accept_log").when(c >= 0.80, "accept_review").when(c >= 0.70, "hold").otherwise("reject")
 
 
-def resolve_conflicts(matches: DataFrame, registry: DataFrame) -> DataFrame:
+def resolve_conflicts(matches: DataFrame, registry: DataFrame, tier: str | None = None) -> DataFrame:
     """One registry row for each district: the most confident, then the newest, then the smallest id; others are flagged.
 
-    Adds kept boolean and flag, DUPLICATE_MATCH for districts with several rows.
+    With ``tier``, a column of ``registry`` that ranks its sources, the lowest
+    tier goes before all, then the newest row.  Adds kept boolean and flag,
+    DUPLICATE_MATCH for districts with several rows.  The kept row is found by
+    a partial aggregate, so a district with very many rows is no single task's.
     """
-    m = matches.join(registry.select(F.col("id").alias("registry_id"), "imported_at"), "registry_id")
-    w = Window.partitionBy("nces_id").orderBy(F.desc("confidence"), F.desc("imported_at"), "registry_id")
-    m = m.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy("nces_id")))
-    return m.withColumn("kept", F.col("_n") == 1).withColumn("flag", F.when(F.col("_all") > 1, "DUPLICATE_MATCH")).drop("_n", "_all", "imported_at")
+    sources = registry.select(F.col("id").alias("registry_id"), "imported_at", *([F.col(tier).alias("_tier")] if tier else []))
+    m = matches.join(sources, "registry_id")
+    order = [F.col("_tier"), -F.unix_micros("imported_at")] if tier else [-F.col("confidence"), -F.unix_micros("imported_at")]
+    m = m.withColumn("_order", F.struct(*[F.coalesce(c.cast("double"), F.lit(float("inf"))).alias(f"_{k}") for k, c in enumerate(order)], "registry_id"))
+    first = m.groupBy("nces_id").agg(F.min("_order").alias("_first"), F.count("*").alias("_all"))
+    m = m.join(first, "nces_id")
+    return m.withColumn("kept", F.col("_order") == F.col("_first")).withColumn("flag", F.when(F.col("_all") > 1, "DUPLICATE_MATCH")).drop("_order", "_first", "_all", "imported_at", "_tier")
 
 
 def ambiguous_or_orphan(registry: DataFrame, matches: DataFrame) -> DataFrame:
@@ -94,16 +100,79 @@ def match_report(matches: DataFrame) -> DataFrame:
     return matches.groupBy("match_method").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).withColumn("share", F.round(100 * F.col("n") / F.sum("n").over(total), 1))
 
 
-def registry_view(districts: DataFrame, matches: DataFrame, registry: DataFrame) -> DataFrame:
-    """One row for each district: registry values before baseline values, with the source named.
+def run_report(registry: DataFrame, matches: DataFrame, k: int = 10) -> DataFrame:
+    """Counts of registry rows by method and unmatched, their rates in percent, and the first ``k`` unmatched ids: (kind, name, n, rate)."""
+    first = matches.groupBy(F.col("registry_id").alias("id")).agg(F.min(F.struct(-F.col("confidence"), "match_method"))["match_method"].alias("match_method"))
+    rows = registry.select("id").join(first, "id", "left").withColumn("name", F.coalesce("match_method", F.lit("unmatched")))
+    by = rows.groupBy("name").agg(F.count("*").alias("n"))
+    by = by.crossJoin(by.agg(F.sum("n").alias("_all")))  # one row
+    by = by.select(F.lit("method").alias("kind"), "name", "n", F.round(100.0 * F.col("n") / F.col("_all"), 1).alias("rate"))
+    sample = rows.where("match_method IS NULL").orderBy("id").limit(k)
+    return by.unionByName(sample.select(F.lit("unmatched").alias("kind"), F.col("id").cast("string").alias("name"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("rate")))
 
-    ``matches`` has at most one row for each district, as ``resolve_conflicts`` keeps.
+
+def similar_in_block(registry: DataFrame, baseline: DataFrame, by: list[str], cut: float = 0.80) -> DataFrame:
+    """Pairs (id, nces_id, s) of rows that are equal in the columns ``by`` and whose lower-case names are similar from ``cut`` on."""
+    r = registry.select("id", *by, F.lower("district_name").alias("_a"))
+    pairs = r.join(baseline.select("nces_id", *by, F.lower("district_name").alias("_b")), by).where(can_reach(F.col("_a"), F.col("_b"), cut))
+    return pairs.select("id", "nces_id", similarity_from(cut)("_a", "_b").alias("s")).where(F.col("s") >= cut)
+
+
+def map_units(registry: DataFrame, units: DataFrame, baseline: DataFrame, cut: float = 0.90) -> DataFrame:
+    """(id, nces_id): districts that a supervisory unit stands for.
+
+    ``units`` has unit (the registry row's lower-case name) and names, the
+    lower-case district names of the unit; a district of the same state is
+    meant by an equal name, or one similar from ``cut`` on.
+    """
+    named = registry.select("id", "state", F.lower("district_name").alias("unit")).join(units.select("unit", F.explode("names").alias("_a")), "unit")
+    pairs = named.join(baseline.select("nces_id", F.col("state").alias("_s"), F.lower("district_name").alias("_b")), (F.col("state") == F.col("_s")) & can_reach(F.col("_a"), F.col("_b"), cut))
+    return pairs.where((F.col("_a") == F.col("_b")) | (similarity_from(cut)("_a", "_b") >= cut)).select("id", "nces_id").distinct()
+
+
+def mail_hints(registry: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(id, nces_id): districts of the row's state whose name, without spaces, has the hint in the row's e-mail domain.
+
+    A hint is the domain's first label without 'schools', 'school', 'sd' or
+    'k12' at its end, four characters at least.
+    """
+    label = F.regexp_extract(F.lower("email"), r"@([^.@\s]+)\.", 1)
+    r = registry.select("id", "state", F.regexp_replace(label, "(schools|school|sd|k12)$", "").alias("_hint")).where(F.length("_hint") >= 4)
+    b = baseline.select("nces_id", F.col("state").alias("_s"), F.regexp_replace(F.lower("district_name"), r"\s+", "").alias("_name"))
+    return r.join(b, (F.col("state") == F.col("_s")) & F.col("_name").contains(F.col("_hint"))).select("id", "nces_id")
+
+
+def match_with_hints(registry: DataFrame, units: DataFrame, baseline: DataFrame, cut: float = 0.75, near: float = 0.85) -> DataFrame:
+    """(id, nces_id, match_method, confidence): unit map 0.95, then e-mail hint 0.90, then the most similar name from ``cut`` on.
+
+    A row takes the first step that finds anything; a map may stand for several
+    districts, a hint and a name for one, the smallest nces_id.
+    """
+    steps = map_units(registry, units, baseline).select("id", "nces_id", F.lit("map").alias("match_method"), F.lit(0.95).alias("confidence"))
+    rest = registry.join(steps.select("id").distinct(), "id", "left_anti")
+    hints = mail_hints(rest, baseline).groupBy("id").agg(F.min("nces_id").alias("nces_id")).select("id", "nces_id", F.lit("mail_hint").alias("match_method"), F.lit(0.90).alias("confidence"))
+    rest = rest.join(hints.select("id"), "id", "left_anti")
+    names = match_entities(rest, baseline, cut=cut, near=near).select("id", "nces_id", "match_method", "confidence")
+    return steps.unionByName(hints).unionByName(names)
+
+
+def registry_view(districts: DataFrame, matches: DataFrame, registry: DataFrame, directory: DataFrame | None = None) -> DataFrame:
+    """Registry values before those of the ``directory``, if one is given, before baseline values, with the source named.
+
+    With at most one match for each district, as ``resolve_conflicts`` keeps,
+    a row for each district; with raw matches, one for each of them.
+    ``directory`` has nces_id, website_url, phone and enrollment.
     """
     m = matches.select("nces_id", "registry_id", "match_method", "confidence")
     r = registry.select(F.col("id").alias("registry_id"), F.concat("first_name", F.lit(" "), "last_name").alias("_name"), F.nullif("email", F.lit("")).alias("_mail"), F.col("website_url").alias("_site"), F.col("enrollment").alias("_enrollment"))
     j = districts.join(m, "nces_id", "left").join(r, "registry_id", "left")
-    return j.select(
+    if directory is None:
+        j = j.withColumns({"_in": F.lit(False), "_c_site": F.lit(None).cast("string"), "_c_phone": F.lit(None).cast("string"), "_c_enrollment": F.lit(None).cast("int")})
+    else:
+        j = j.join(directory.select("nces_id", F.lit(True).alias("_in"), F.col("website_url").alias("_c_site"), F.col("phone").alias("_c_phone"), F.col("enrollment").alias("_c_enrollment")), "nces_id", "left")
+    out = j.select(
         "nces_id", "state", "district_name", F.coalesce("_name", F.nullif("superintendent_name", F.lit(""))).alias("superintendent_name"), F.coalesce("_mail", "superintendent_email").alias("superintendent_email"),
-        F.coalesce("_site", F.nullif("website_url", F.lit(""))).alias("website_url"), F.coalesce("_enrollment", "enrollment").alias("enrollment"), "match_method", "confidence",
-        F.when(F.col("registry_id").isNotNull(), "state_registry").otherwise("baseline").alias("primary_source"),
+        F.coalesce("_site", F.nullif("_c_site", F.lit("")), F.nullif("website_url", F.lit(""))).alias("website_url"), F.coalesce("_enrollment", "_c_enrollment", "enrollment").alias("enrollment"), "match_method", "confidence",
+        F.when(F.col("registry_id").isNotNull(), "state_registry").when(F.col("_in"), "directory").otherwise("baseline").alias("primary_source"), F.coalesce("_c_phone", "phone").alias("phone"), "registry_id",
     )
+    return out.drop("phone", "registry_id") if directory is None else out

@@ -32,6 +32,15 @@ def quality_flags(view: DataFrame, as_of: str, months: int = 6) -> DataFrame:
     return view.select("nces_id", F.explode(rows).alias("f")).select("nces_id", "f.flag", "f.severity")
 
 
+def match_flags(districts: DataFrame, registry: DataFrame, matches: DataFrame) -> DataFrame:
+    """(key, flag, severity): districts with several registry rows, and registry rows without a district or with one that isn't there."""
+    m = matches.select("nces_id", "registry_id").distinct()
+    twice = m.groupBy("nces_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("nces_id").alias("key"), F.lit("DUPLICATE_MATCH").alias("flag"), F.lit("high").alias("severity"))
+    known = m.join(districts.select("nces_id"), "nces_id", "left_semi").select(F.col("registry_id").alias("id"))
+    orphans = registry.select("id").join(known, "id", "left_anti").select(F.col("id").cast("string").alias("key"), F.lit("ORPHAN_RECORD").alias("flag"), F.lit("medium").alias("severity"))
+    return twice.unionByName(orphans)
+
+
 def quality_score(view: DataFrame, flags: DataFrame) -> DataFrame:
     """Score 0 to 100 and tier A to E: 40, more for a confident match and each contact field, less for each flag."""
     n = flags.groupBy("nces_id").agg(F.count(F.when(F.col("severity") == "high", 1)).alias("high"), F.count(F.when(F.col("severity") == "medium", 1)).alias("medium"))

@@ -29,6 +29,19 @@ def vector_search(vectors: DataFrame, query: DataFrame, threshold: float | None
     return d.orderBy("distance", "vec_id").limit(k).withColumn("relevance", 1 - F.col("distance") / 2)
 
 
+def filter_chunks(vectors: DataFrame, docs: DataFrame, districts: DataFrame, *, state: str | None = None, types: list[str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Vectors of documents of the given kinds, discovered in the days from ``since`` to ``until``, of districts of the state.
+
+    A filter that isn't given keeps all; the filters come before any distance is taken.
+    """
+    d = docs.where(F.col("document_category").isin(types)) if types else docs
+    d = d.where(F.col("discovered_at") >= F.lit(since).cast("timestamp")) if since else d
+    d = d.where(F.col("discovered_at") < F.lit(until).cast("timestamp") + F.make_interval(days=F.lit(1))) if until else d
+    if state:
+        d = d.join(districts.where(F.col("state") == state).select("nces_id"), "nces_id", "left_semi")
+    return vectors.join(d.select("doc_id"), "doc_id", "left_semi") if types or since or until or state else vectors
+
+
 def similar_documents(vectors: DataFrame, doc_id: int, threshold: float = 0.7, k: int = 20, best: bool = True) -> DataFrame:
     """Other documents near the first chunk of one; with ``best`` once each by their nearest chunk, else once for each chunk."""
     source = vectors.where(F.col("doc_id") == doc_id).orderBy("chunk_index", "vec_id").limit(1).select(F.col("embedding").alias("q"))
@@ -110,10 +123,11 @@ def rank_candidates(relevance: DataFrame, scores: DataFrame, *, threshold: float
     return j.where(F.col("confidence") >= max(0.2, threshold - 0.25)).orderBy(F.desc("composite"), entity).limit(k)
 
 
-def suppress(candidates: DataFrame, events: DataFrame, as_of: str, days: int = 60, entity: str = "nces_id") -> DataFrame:
-    """Candidates without an engagement in the trailing days."""
+def suppress(candidates: DataFrame, events: DataFrame, as_of: str, days: int = 60, entity: str = "nces_id", exclude: DataFrame | None = None) -> DataFrame:
+    """Candidates without an engagement in the trailing days, and not among those to exclude."""
     end = F.lit(as_of).cast("timestamp")
     recent = events.where(F.col("happened_at") >= end - F.make_interval(days=F.lit(days))).select(entity).distinct()
+    recent = recent if exclude is None else recent.union(exclude.select(entity)).distinct()
     return candidates.join(recent, entity, "left_anti")
 
 
@@ -124,6 +138,44 @@ def classify_intent(prompt: Column) -> Column:
     return F.when(has("trend", "brief", "insight", "state overview"), "insights_briefing").when(has("grant", "frpl", "minority"), "grant_match").when(has("next hottest", "uncontacted", "lead"), "next_hottest_uncontacted").otherwise("district_search")
 
 
+# Phrases that a grant prompt may require, and capitals that are no state.
+GRANT_PHRASES = ["portrait of a graduate", "measure what matters", "performance tasks", "competency", "strategic plan"]
+NO_STATES = ["AI", "US"]
+
+
+def grant_terms(prompt: Column) -> dict[str, Column]:
+    """States (codes of two capitals) and required phrases that a prompt names; null where it names none."""
+    states = F.array_distinct(F.filter(F.regexp_extract_all(prompt, F.lit(r"\b[A-Z]{2}\b"), F.lit(0)), lambda x: ~x.isin(NO_STATES)))
+    phrases = F.array_compact(F.array(*[F.when(F.lower(prompt).contains(p), F.lit(p)) for p in GRANT_PHRASES]))
+    some = lambda x: F.when(F.size(x) > 0, x)
+    return {"states": some(states), "required_keywords": some(phrases)}
+
+
+def with_override(criteria: dict[str, Column], given: dict[str, Column]) -> dict[str, Column]:
+    """Criteria of a prompt, replaced by those given explicitly where these aren't null."""
+    return {name: F.coalesce(given[name], c) if name in given else c for name, c in criteria.items()} | {name: c for name, c in given.items() if name not in criteria}
+
+
+def search_log(searches: DataFrame, k: int = 25, days: int = 60) -> DataFrame:
+    """Log rows of searches: trimmed prompt, intent, suppression days by default, number of results, and the first ``k`` ids."""
+    ids = F.filter("top_ids", lambda x: x.isNotNull() & (x != ""))
+    return searches.select("id", "user_id", F.trim("prompt").alias("prompt"), classify_intent(F.col("prompt")).alias("intent"), F.lit(days).alias("suppression_days"), F.size(ids).alias("result_count"), F.slice(ids, 1, k).alias("top_ids"), "generated_at")
+
+
+def explain(candidates: DataFrame, matches: DataFrame, threshold: float, k: int = 3, entity: str = "nces_id") -> DataFrame:
+    """Signals, excerpts and dampeners of ranked entities (with top, hits, readiness, activation, total, confidence).
+
+    Excerpts are the first match of each category, ``k`` at most, in the order
+    of categories; a confidence below the threshold is dampened.
+    """
+    first = matches.groupBy(entity, "category").agg(F.min(F.struct(-F.col("adjusted"), "doc_id", "keyword", "context")).alias("m"))
+    found = first.groupBy(entity).agg(F.slice(F.sort_array(F.collect_list(F.struct("category", "m.doc_id", "m.keyword", "m.context"))), 1, k).alias("excerpts"))
+    signal = lambda name, category, c: F.struct(F.lit(name).alias("signal"), F.lit(category).alias("category"), F.coalesce(F.col(c), F.lit(0.0)).alias("weight"))
+    signals = F.array(signal("semantic_max", "semantic", "top"), signal("readiness_score", "readiness", "readiness"), signal("activation_score", "activation", "activation"), signal("total_score", "semantic", "total"))
+    dampeners = F.when(F.col("confidence") < threshold, F.array(F.struct(F.lit("low_confidence").alias("signal"), F.lit(-0.2).alias("impact")))).otherwise(F.array().cast("array<struct<signal:string,impact:double>>"))
+    return candidates.join(found, entity, "left").select(entity, signals.alias("signals"), F.coalesce("excerpts", F.array().cast("array<struct<category:string,doc_id:bigint,keyword:string,context:string>>")).alias("excerpts"), dampeners.alias("dampeners"))
+
+
 def grant_criteria(prompt: Column, mode: str = "intended") -> dict[str, Column]:
     """Thresholds in a prompt: frpl_min, minority_min, enrollment_min; 'as_written' finds none of them in ordinary text."""
     p = F.lower(prompt)

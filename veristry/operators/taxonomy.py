@@ -61,6 +61,21 @@ def evidence(matches: DataFrame) -> DataFrame:
     return per.join(documents, ["nces_id", "category"]).select("nces_id", "category", "keywords", "mentions", "documents", F.array_join(F.transform("_k", lambda x: x["keyword"]), ",").alias("keyword_list"))
 
 
+def evidence_json(matches: DataFrame) -> DataFrame:
+    """(nces_id, evidence): JSON with a list for each category that has any, of each keyword's first document, in order of keywords."""
+    first = matches.groupBy("nces_id", "category", "keyword").agg(F.min(F.struct("discovered_at", "doc_id", "weight"))["doc_id"].alias("doc_id"), F.max("weight").alias("weight"))
+    lists = first.groupBy("nces_id", "category").agg(F.sort_array(F.collect_list(F.struct("keyword", "weight", F.col("doc_id").alias("source_doc")))).alias("k"))
+    return lists.groupBy("nces_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "k"))))).alias("evidence"))
+
+
+def excerpts(matches: DataFrame, most: int = 1000) -> DataFrame:
+    """(nces_id, category, doc_id, excerpt): contexts of each document in order of weight, appended while there are fewer than ``most`` characters."""
+    w = Window.partitionBy("nces_id", "category", "doc_id").orderBy(F.desc("weight"), "keyword").rowsBetween(Window.unboundedPreceding, -1)
+    kept = matches.withColumn("_before", F.coalesce(F.sum(F.length("context") + 1).over(w), F.lit(0))).where(F.col("_before") < most)
+    per = kept.groupBy("nces_id", "category", "doc_id").agg(F.sort_array(F.collect_list(F.struct("_before", "context"))).alias("_x"))
+    return per.select("nces_id", "category", "doc_id", F.array_join(F.transform("_x", lambda x: x["context"]), " ").alias("excerpt"))
+
+
 def update_scores(scores: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
     """Scores with the non-null values of partial updates, one row for each district."""
     u = updates.select("nces_id", *[F.col(c).alias(f"_{c}") for c in columns])

@@ -200,9 +200,9 @@ def topk_06(t):
     return t.districts.orderBy(F.desc_nulls_last("enrollment"), "nces_id").limit(30).select("nces_id", "enrollment")
 
 
-@query("topk_07_random_sample")
+@query("topk_07_random_sample", "SELECT id, district_name FROM registry ORDER BY md5('7/' || id), id LIMIT 10", "registry")
 def topk_07(t):
-    return t.registry.orderBy(F.rand(7), "id").limit(10).select("id", "district_name")
+    return t.registry.orderBy(F.md5(F.concat(F.lit("7/"), F.col("id").cast("string"))), "id").limit(10).select("id", "district_name")
 
 
 @query("win_01_percent_of_total", "SELECT match_method, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (), 2) AS share FROM matches GROUP BY match_method", "matches")
@@ -247,7 +247,8 @@ def set_03(t):
     return t.districts.select("nces_id").join(t.crawl.where("crawled_at >= TIMESTAMP '2024-01-25 00:00:00'").select("nces_id"), "nces_id", "left_anti")
 
 
-@query("set_04_insert_ignore", "SELECT user_id, nces_id FROM (SELECT DISTINCT user_id, unnest(top_ids) AS nces_id FROM searches WHERE id % 16 = 0) EXCEPT SELECT user_id, unnest(top_ids) FROM searches WHERE id % 16 = 1", "searches")
+@query("set_04_insert_ignore", "SELECT user_id, nces_id FROM (SELECT DISTINCT user_id, unnest(top_ids) AS nces_id FROM searches WHERE generated_at >= TIMESTAMP '2024-01-02 00:00:00') EXCEPT SELECT user_id, unnest(top_ids) FROM searches WHERE generated_at < TIMESTAMP '2024-01-02 00:00:00'", "searches")
 def set_04(t):
-    pairs = lambda r: t.searches.where(F.col("id") % 16 == r).select("user_id", F.explode("top_ids").alias("nces_id"))
-    return pairs(0).distinct().join(pairs(1), ["user_id", "nces_id"], "left_anti")
+    new = F.col("generated_at") >= F.lit("2024-01-02").cast("timestamp_ntz")
+    pairs = lambda rows: rows.select("user_id", F.explode("top_ids").alias("nces_id"))
+    return pairs(t.searches.where(new)).distinct().join(pairs(t.searches.where(~new)), ["user_id", "nces_id"], "left_anti")

@@ -23,6 +23,31 @@ def read_registry(spark: SparkSession, path: str, columns: list[str], mapping: d
     return good.select([(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in mapping.items()]), raw.where(broken).select(F.col("_bad").alias("line"))
 
 
+def read_strict(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a text file in which every field is quoted and none holds a quote, by position; and the lines of any other form."""
+    pattern = "^" + ",".join(['"([^"]*)"'] * len(columns)) + "$"
+    lines = spark.read.text(path)
+    fits = F.col("value").rlike(pattern)
+    return lines.where(fits).select([F.regexp_extract("value", pattern, k).alias(c) for k, c in enumerate(columns, 1)]), lines.where(~fits).select(F.col("value").alias("line"))
+
+
+def append_audited(rows: DataFrame, path: str) -> DataFrame:
+    """Appends to the table at ``path``; one row with its number of rows before, the rows added and the rows after."""
+    spark = rows.sparkSession
+    count = lambda: spark.read.schema(rows.schema).parquet(path).count()
+    before = count()
+    rows.write.mode("append").parquet(path)
+    after = count()
+    return spark.range(1).select(F.lit(before).cast("long").alias("before"), F.lit(after - before).cast("long").alias("added"), F.lit(after).cast("long").alias("after"))
+
+
+def delete_state(state: str, registry: DataFrame, matches: DataFrame, imports: DataFrame) -> dict[str, DataFrame]:
+    """The tables without a state: its matches, then its registry rows, then imports whose name or notes name it."""
+    gone = registry.where(F.col("state") == state)
+    named = F.coalesce(F.lower("name").contains(state.lower()), F.lit(False)) | F.coalesce(F.lower("notes").contains(state.lower()), F.lit(False))
+    return {"matches": delete_keys(matches, gone.select(F.col("id").alias("registry_id")), ["registry_id"]), "registry": registry.where(~F.col("state").eqNullSafe(state)), "imports": imports.where(~named)}
+
+
 def first_by_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each source key; rows without a key are kept."""
     w = Window.partitionBy(key).orderBy(*order)
