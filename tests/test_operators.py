@@ -1,14 +1,16 @@
 """Literal cases and properties."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veristry.functions import names, texts, urls
-from veristry.operators import basics, documents, search, taxonomy
+from veristry.operators import basics, documents, matching, search, taxonomy
 from veristry.sources import files
 
 
@@ -176,3 +178,62 @@ def test_plans_push_filters_and_avoid_sorting_all(spark):
     from veristry.plans.registry import QUERIES
 
     assert "TakeOrderedAndProject" in QUERIES["vec_01_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_names_equal_single_names():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdé ", k=rng.randrange(14)))
+    a = [word() for _ in range(4000)]
+    b = [x if rng.random() < 0.1 else word() for x in a]
+    want = np.array([names.jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+    assert (names.jaro_winkler_rows(np.array(a, object), np.array(b, object)) == want).all()
+    cut = names.jaro_winkler_rows(np.array(a, object), np.array(b, object), 0.8)
+    assert (cut[want >= 0.8] == want[want >= 0.8]).all() and np.isnan(cut).any() and not (cut[want < 0.8] >= 0.8).any()
+
+
+REGISTRY = [(1, "S1", "North Union", None), (2, "S1", "South Hil", "a@southhillsd.k12.org"), (3, "S1", "East Vale", "b@gmail.com"), (4, "S2", "North Union", "c@westport.org"), (5, "S1", "nowhere", "x@abc.org"), (6, "S1", None, None)]
+BASELINE = [("11", "S1", "North A"), ("12", "S1", "North B District"), ("13", "S1", "South Hill"), ("14", "S1", "East Vales"), ("15", "S2", "West Port"), ("16", "S2", "North A"), ("17", "S1", None)]
+
+
+def test_units_hints_then_names(spark):
+    registry = spark.createDataFrame([(*r, "c") for r in REGISTRY], "id long, state string, district_name string, email string, city string")
+    baseline = spark.createDataFrame([(*r, "c") for r in BASELINE], "nces_id string, state string, district_name string, city string")
+    units = spark.createDataFrame([("north union", ["north a", "north b distric"])], "unit string, names array<string>")
+    pairs = lambda df: {(r.id, r.nces_id) for r in df.collect()}
+    assert pairs(matching.map_units(registry, units, baseline)) == {(1, "11"), (1, "12"), (4, "16")}
+    assert pairs(matching.mail_hints(registry, baseline)) == {(2, "13"), (4, "15")}
+    got = {(r.id, r.nces_id, r.match_method) for r in matching.match_with_hints(registry, units, baseline).collect()}
+    assert got == {(1, "11", "map"), (1, "12", "map"), (4, "16", "map"), (2, "13", "mail_hint"), (3, "14", "normalized_name")}
+
+
+@pytest.mark.parametrize("cut", [0.8, 0.9])
+def test_similar_in_block_against_brute_force(spark, cut):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcd ", k=rng.randrange(3, 12)))
+    r, b = [(i, rng.choice("xy"), word().upper()) for i in range(120)], [(str(i), rng.choice("xy"), word()) for i in range(120)]
+    got = matching.similar_in_block(spark.createDataFrame(r, "id long, state string, district_name string"), spark.createDataFrame(b, "nces_id string, state string, district_name string"), ["state"], cut)
+    want = {(i, j) for i, s, a in r for j, t, c in b if s == t and names.jaro_winkler(a.lower(), c.lower()) >= cut}
+    assert want and {(x.id, x.nces_id) for x in got.collect()} == want
+
+
+def test_conflicts_by_tier_then_age(spark):
+    m = spark.createDataFrame([("1", 1, 0.9), ("1", 2, 0.99), ("1", 3, 0.8), ("2", 4, 0.8)], "nces_id string, registry_id long, confidence double")
+    r = spark.createDataFrame([(1, "2024-01-01", 2), (2, "2024-01-01", 3), (3, "2024-02-01", 2), (4, None, None)], "id long, at string, tier int").selectExpr("id", "cast(at AS timestamp) AS imported_at", "tier")
+    kept = lambda *a: {(x.nces_id, x.registry_id, x.flag) for x in matching.resolve_conflicts(m, r, *a).where("kept").collect()}
+    assert kept() == {("1", 2, "DUPLICATE_MATCH"), ("2", 4, None)} and kept("tier") == {("1", 3, "DUPLICATE_MATCH"), ("2", 4, None)}
+
+
+def test_latest_table_goes_on_after_a_restart(spark):
+    from veristry.streaming import jobs
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/latest-{random.random()}"
+    put = lambda rows: spark.createDataFrame(rows, "k string, n long").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    table = lambda: jobs.latest_table(spark, spark.readStream.schema("k string, n long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), ["k"], "n", f"{folder}/t")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    put([("a", 1), ("b", 5)])
+    put([("a", 3)])
+    put([("a", 2), ("c", 1)])
+    assert rows(table()) == [("a", 3), ("b", 5), ("c", 1)] and len(jobs._versions(spark, f"{folder}/t")) == 2
+    assert rows(table()) == [("a", 3), ("b", 5), ("c", 1)]  # nothing new
+    put([("b", 9)])
+    assert rows(table()) == [("a", 3), ("b", 9), ("c", 1)]

@@ -71,22 +71,36 @@ def with_hash(docs: DataFrame, cap: int = 100_000) -> DataFrame:
     return clean.withColumns({"full_length": F.length("text"), "content_hash": F.sha2("text", 256)}).withColumn("text", F.substring("text", 1, cap))
 
 
+def pack_sentences(text: str, most: int = 1500, least: int = 50) -> list[str]:
+    """Sentences of a text with single spaces, packed greedily into chunks; a longer sentence is packed by words, a longer word stands alone."""
+    chunks, open_ = [], ""
+    for sentence in re.split(r"(?<=[.!?]) ", text):
+        for unit in [sentence] if len(sentence) <= most else sentence.split(" "):
+            if not open_:
+                open_ = unit
+            elif len(open_) + 1 + len(unit) <= most:
+                open_ = f"{open_} {unit}"
+            else:
+                chunks.append(open_)
+                open_ = unit
+    return [c for c in [*chunks, open_] if len(c) >= least]
+
+
 def chunk_sentences(docs: DataFrame, most: int = 1500, least: int = 50) -> DataFrame:
     """Greedy packing of sentences into chunks of at most ``most`` characters: (doc_id, chunk_index, chunk).
 
     Spaces are collapsed; a longer sentence is packed by words, a longer word
-    stands alone; chunks under ``least`` are dropped and the index counts what is kept.
+    stands alone; chunks under ``least`` are dropped and the index counts what
+    is kept.  Takes time in proportion to the text, of any length.
     """
+
+    def run(batches):
+        for batch in batches:
+            rows = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, c in enumerate(pack_sentences(t, most, least))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "chunk_index", "chunk"])
+
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    units = F.flatten(F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(F.split(s, " "))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    add = lambda acc, u: (
-        F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), u.alias("open")))
-        .when(F.length(acc["open"]) + 1 + F.length(u) <= most, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(" "), u).alias("open")))
-        .otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), u.alias("open")))
-    )
-    chunks = F.aggregate(units, start, add, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda c: F.length(c) >= least))
-    return docs.where("text is not null").select("doc_id", F.posexplode(chunks).alias("chunk_index", "chunk"))
+    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), flat.alias("text")).mapInArrow(run, "doc_id long, chunk_index int, chunk string")
 
 
 def split_recursive(text: str, most: int = 6000, overlap: int = 800, least: int = 100) -> list[str]:

@@ -17,14 +17,18 @@ def match_taxonomy(docs: DataFrame, taxonomy: list[tuple[str, str, str, float, b
     """One row for each document and keyword found: count, base and adjusted weight, context.
 
     ``docs`` has doc_id, nces_id, extracted_text, document_url,
-    document_category, discovered_at and crawled_at.  All patterns are looked
-    for in one pass, so the text is not multiplied.
+    document_category, discovered_at and crawled_at.  The text is not
+    multiplied: one pattern of all rules out most texts, the others are looked
+    through once for each keyword, and the place of a keyword is looked for
+    only where it occurs.
     """
     text = F.lower("extracted_text")
-    hits = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("keyword"), F.lit(float(w)).alias("weight"), F.lit(bool(e)).alias("exact"), F.regexp_count(text, F.lit(p)).alias("count"), F.regexp_extract(text, p, 0).alias("first")) for c, n, p, w, e in taxonomy])
+    hits = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("keyword"), F.lit(float(w)).alias("weight"), F.lit(bool(e)).alias("exact"), F.regexp_count(text, F.lit(p)).alias("count"), F.lit(p).alias("pattern")) for c, n, p, w, e in taxonomy])
     factor = recency(F.col("crawled_at"), F.lit(as_of).cast("timestamp")) * specificity(F.col("document_url"), F.col("document_category"))
-    rows = docs.where("extracted_text is not null").select("doc_id", "nces_id", "discovered_at", text.alias("_text"), factor.alias("_factor"), F.explode(F.filter(hits, lambda x: x["count"] > 0)).alias("m"))
-    return rows.select("doc_id", "nces_id", "discovered_at", "m.category", "m.keyword", "m.exact", "m.count", "m.weight", (F.col("m.weight") * F.col("_factor")).alias("adjusted"), context(F.col("_text"), F.col("m.first")).alias("context"))
+    some = docs.where(text.rlike("|".join(f"(?:{p})" for _, _, p, _, _ in taxonomy)))
+    rows = some.select("doc_id", "nces_id", "discovered_at", text.alias("_text"), factor.alias("_factor"), F.explode(F.filter(hits, lambda x: x["count"] > 0)).alias("m"))
+    first = F.expr("regexp_extract(_text, m.pattern, 0)")
+    return rows.select("doc_id", "nces_id", "discovered_at", "m.category", "m.keyword", "m.exact", "m.count", "m.weight", (F.col("m.weight") * F.col("_factor")).alias("adjusted"), context(F.col("_text"), first).alias("context"))
 
 
 def context(text: Column, word: Column, width: int = 50) -> Column:
