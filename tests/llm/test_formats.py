@@ -61,6 +61,21 @@ def test_samples_follow_the_lattice(vocabulary):
         assert second[path] / n == pytest.approx(after, abs=0.03)
 
 
+def test_inclusion_scores_make_samples_unbiased(vocabulary):
+    """Over many keys, the drawn segmentations' probabilities over their inclusion scores add up to 1, as do each one's own."""
+    n, text = 8000, "abc d"
+    got = sample(vocabulary, [text] * n, mix(np.arange(n, dtype=np.uint64)), 2)
+    total, own = 0.0, collections.Counter()
+    for found in got:
+        for ids, log_p, inclusion in found:
+            total += np.exp(log_p) / inclusion
+            own[tuple(ids.tolist())] += 1 / inclusion
+    assert total / n == pytest.approx(1, abs=0.03)
+    p = {tuple(ids.tolist()): np.exp(lp) for found in got for ids, lp, _ in found}
+    for path in sorted(p, key=p.get)[-3:]:
+        assert own[path] / n == pytest.approx(1, abs=0.1)
+
+
 def test_draws_do_not_depend_on_neighbours(vocabulary):
     alone = sample(vocabulary, ["some words here"], [9], 2)[0]
     among = sample(vocabulary, ["x y", "some words here", ""], [1, 9, 2], 2)[1]
@@ -135,6 +150,33 @@ def test_archives_and_their_index(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_records_are_found_by_their_offsets(spark):
+    from pathlib import Path
+
+    rows = [(i, f"http://h{i % 7}.org/p", "é payload " * (i % 40) + str(i // 3), "x", -1) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, original string, merged_pos int")
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/plain-warc"
+    warc.write_archives(pages, folder, compression="none")
+    files = {p.name: p.read_bytes() for p in Path(folder.removeprefix("file:")).iterdir()}
+    html, out = {r[0]: r[2].encode() for r in rows}, warc.capture_index(spark, folder).collect()
+    assert len(out) == 300
+    for r in out:
+        record = files[r.run][r.record_offset : r.record_offset + r.record_length]
+        assert record.startswith(b"WARC/1.1\r\n") and f"X-Page: {r.page_id}\r\n".encode() in record
+        assert record.endswith(html[r.page_id]) if r.record_type == "response" else record.endswith(b"\r\n\r\n")
+
+
+def test_hot_payloads_and_small_merges(spark, monkeypatch):
+    """A third of all pages are copies; archives and merges are cut small."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "MERGE_ROWS", 40)
+    rows = [(i, f"http://h.org/{i % 5}", "copy " * 50 if i % 3 == 0 else f"own {i} " * 30) for i in range(600)]
+    out = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("merged_part", "merged_pos").collect()
+    keys = [warc._order(r.asDict()) for r in out]
+    assert keys == sorted(keys) and len(out) == 600 and len({r.merged_part for r in out}) > 4 and len({r.run for r in out}) > 4
+    assert {r.page_id for r in out if r.record_type == "revisit"} == set(range(3, 600, 3)) and {r.refers_to for r in out} == {None, 0}
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     for k in range(20):
