@@ -12,9 +12,9 @@ from ..operators import search as S
 from ..operators import taxonomy as T
 from ..operators.terms import TERMS
 from ..sources import files
-from .bind import AS_OF
+from .bind import AS_OF, with_entities
 from .content import MATCH_SQL, NEAR, TAXONOMY, _folder, _matches
-from .registry import query
+from .registry import ORACLE, query
 from .statistics import TIER_SQL, _tier
 
 
@@ -342,3 +342,8 @@ def plan_06_combined(t):
     d = t.docs.where(words).join(t.districts.where("enrollment >= 500").select("nces_id"), "nces_id", "left_semi").select("doc_id")
     near = S.with_distance(t.vectors.join(d, "doc_id", "left_semi"), S.query_vector(t.vectors, 0)).where("distance < 1.1")
     return near.groupBy("doc_id").agg(F.min("distance").alias("distance")).orderBy("distance", "doc_id").limit(50).select("doc_id", F.round("distance", 6).alias("distance"))
+
+
+# SQL of queries that are registered elsewhere.
+ORACLE["score_05_context"] = ORACLE["score_05_contexts"]
+ORACLE["plan_05_snippets"] = with_entities(["docs"], f"SELECT doc_id, context AS snippet FROM ({_context_sql(200)}) WHERE keyword = '{TAXONOMY[0][1]}'")

@@ -22,7 +22,10 @@ from .registry import query
 
 def _folder(t, what: str) -> str:
     """A new folder in the place that the session shares with its executors."""
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    at = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not t.spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
+    at = at or t.spark.conf.get("spark.sql.warehouse.dir")
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
