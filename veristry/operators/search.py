@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import band
-from ..functions.vectors import cosine_distance, dot, norm
+from ..functions.vectors import dot, norm
 
 _NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
 
 
 def with_distance(vectors: DataFrame, query: DataFrame) -> DataFrame:
     """Every vector with its distance from the one query vector (a one-row frame with column q)."""
-    return vectors.crossJoin(F.broadcast(query.select("q").limit(1))).withColumn("distance", cosine_distance(F.col("embedding"), F.col("q"))).drop("q")
+    one = query.select("q", norm(F.col("q")).alias("_norm")).limit(1)
+    n = norm(F.col("embedding")) * F.col("_norm")
+    return vectors.crossJoin(F.broadcast(one)).withColumn("distance", F.when(n > 0, 1 - dot(F.col("embedding"), F.col("q")) / n)).drop("q", "_norm")
 
 
 def query_vector(vectors: DataFrame, vec_id: int) -> DataFrame:
