@@ -351,6 +351,24 @@ def test_embeddings_near_the_threshold_of_a_large_label(frame):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate((e @ e.T >= 0.93).sum(1) - 1))
 
 
+def test_very_long_texts(frame):
+    """Texts beyond every piece and slice, among short and empty ones, against brute force."""
+    rng = random.Random(12)
+    words = ["w%d" % rng.randrange(40000) for _ in range(260_000)]  # 1.7 MB
+    near = list(words)
+    for k in range(0, len(near), 150):
+        near[k] = "other%d" % k
+    rows = [(1, " ".join(words), "", "", ""), (2, " ".join(near), "", "", ""), (3, " ".join(words[1000:1100]), "", "", ""), (4, "", "", "", ""), (5, None, "", "", ""), (6, " ".join(words) + " end", "", "", "")]
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    got = {r.doc_id: r for r in ngram_join.jaccard_components(frame(rows, SCHEMA)).collect()}
+    assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()} and [got[i].component_id for i in range(1, 7)] == [1, 1, 3, 4, 5, 1]
+    want = brute_windows([(r[0], r[1]) for r in rows])
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text or "") for r in substring_dedup.remove_repeated_windows(frame(rows, SCHEMA)).collect()} == want
+    items = [(1, " ".join(words[200_000:200_040])), (2, "no such words " * 10)]
+    found = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontamination.find_contamination(frame(rows, SCHEMA), frame(items, "item_id long, text string")).collect()}
+    assert found == {r[0]: brute_hits(r[1], items) for r in rows} and found[1][1] == 40
+
+
 def test_same_as_sql_at_the_smallest_size(same_as_sql):
     for m, f, sql in ((ngram_join, "op1", "OP1_SQL"), (embedding_dedup, "op2", "OP2_SQL"), (decontamination, "op4", "OP4_SQL"), (substring_dedup, "op6", "OP6_SQL")):
         same_as_sql(getattr(m, f), getattr(m, sql))

@@ -460,6 +460,9 @@ def jaccard_components(docs: DataFrame, *, size: int = 5) -> DataFrame:
     ``size`` consecutive words; fewer words are one shingle.  Returns doc_id
     long, n_shingles long and component_id long, the smallest doc_id reachable.
 
+    Whole texts count, of any length; memory is bounded by a piece of text, or
+    by one text where that is longer.  Documents with equal sets are joined
+    before anything is compared, so repeated rows cost little.
     Null or blank text: 0 shingles, its own component.  A null doc_id takes
     part in links but is nobody's component_id.  Rows that repeat a doc_id are
     each returned.  An empty table gives an empty result.
