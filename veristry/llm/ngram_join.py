@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, drop_folder, hook, parts, release, small_batches, stored, tidy, whole_groups
-from .words import _SHIFT, LOWER, WHITE, _spans, mix, pieces, slices
+from .words import _SHIFT, LOWER, WHITE, _spans, mix, part_of, pieces, slices
 
 #: A block of more keys or more shingles than this is split.
 BLOCK_KEYS, BLOCK_SHINGLES = 1024, 2_000_000
@@ -168,7 +168,7 @@ def _tokens(size: int, n_parts: int, frequent: np.ndarray):
                 r = row[hot]
                 out += _dealt((key[r] % np.uint64(n_parts)).astype(np.int32), key[r], n[r], h[hot], np.empty(len(r), np.uint8), True)
                 row, h = row[~hot], h[~hot]
-                part = ((h >> np.uint64(48)) % np.uint64(n_parts)).astype(np.int32)
+                part = part_of(h, n_parts)
                 out += _dealt(part, key[row], n[row], h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16))
             yield pa.RecordBatch.from_pylist(out, _PACKED)
         tidy()
@@ -423,10 +423,8 @@ def _link_tiles(batches):
     tidy()
 
 
-def _unsettled(found: DataFrame, edges: DataFrame, made: list[str]) -> DataFrame | None:
-    """Links between the components that ``edges`` make of the candidates ``found``; None where nothing can be linked any more."""
-    spark = found.sparkSession
-    n = parts(spark)
+def _unsettled(found: DataFrame, edges: DataFrame, n: int, made: list[str]) -> DataFrame | None:
+    """Links between the components that ``edges`` make of the candidates ``found``, in ``n`` parts; None where nothing can be linked any more."""
     roots = components(edges, "labels")
     rows = found.join(roots, found["key"] == roots["id"], "left").select("key", F.coalesce("root", "key").alias("label"), "n", (F.length("tokens") / 8).cast("int").alias("c"), "prefix")
     place = rows.mapInArrow(_places, _PLACE)
@@ -468,11 +466,12 @@ def jaccard_components(docs: DataFrame, *, size: int = 5) -> DataFrame:
     each returned.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    n = parts(spark)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made: list[str] = []
     info = stored(docs.mapInArrow(_info(size), _INFO_SQL), "sets")
+    shingles = info.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    n = parts(spark, 8 * shingles)
     frequent = _frequent(info)
     shared = docs.select("text").where("text is not null").mapInArrow(_tokens(size, n, frequent), _PACKED_SQL).groupBy("part").applyInArrow(_shared(n), _PACKED_SQL)
     found = stored(shared.groupBy("part").applyInArrow(_candidates, _CANDIDATE), "candidates", made)
@@ -487,7 +486,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5) -> DataFrame:
         if 4 * known.count() < rows.count() or not links.where("a is null").groupBy("b").count().where("count > 1").take(1):
             break
         rows = rows.join(known.select(F.col("a").alias("key")).distinct(), "key", "left_anti")
-    more = _unsettled(found, edges, made)
+    more = _unsettled(found, edges, n, made)
     roots = components(edges if more is None else edges.union(more), "components")
     for folder in made:
         drop_folder(spark, folder)

@@ -57,9 +57,13 @@ def stored(df: DataFrame, what: str, made: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts(spark: SparkSession) -> int:
-    """How many parts a large shuffle is dealt into; follows the session's setting, which follows the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes that a part of a shuffle should have at most, where a task holds a part as a whole.
+PART_BYTES = 64 << 20
+
+
+def parts(spark: SparkSession, size: int = 0) -> int:
+    """How many parts a shuffle of ``size`` bytes is dealt into: the session's setting, or more where a part would be too large for a task."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:

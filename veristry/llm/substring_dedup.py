@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import drop_folder, new_folder, parts, release, small_batches, tidy
-from .words import WHITE, mix, pieces, slices
+from .words import WHITE, mix, part_of, pieces, slices
 
 #: Bases of the check sum's word and window hashes.
 _CHECK_WORD, _CHECK = 0xC6BC279692B5CC83, 0xA24BAED4963EE407
@@ -47,7 +47,7 @@ def fingerprints(piece, size: int, n_parts: int) -> tuple[np.ndarray, np.ndarray
     words = piece.hashes()
     at, h = piece.windows(words, size)
     _, other = piece.windows(piece.hashes(_CHECK_WORD), size, _CHECK)
-    part = ((h >> np.uint64(48)) % np.uint64(n_parts)).astype(np.int32)
+    part = part_of(h, n_parts)
     return at, part, ((h & _LOW) << np.uint64(16)) | (other >> np.uint64(48))
 
 
@@ -356,15 +356,12 @@ def remove_repeated_windows(docs: DataFrame, *, size: int = 13, batches: int = 3
     small_batches(spark)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_hits", "_hit_doc")]
     docs = docs.select([F.col(f"`{c}`") for c in columns])
-    index = FingerprintIndex(spark, size, fan_in)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    bounds = [None] * max(1, batches)
-    if batches > 1:
-        cuts = given.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
-        bounds = sorted(set(cuts or []))
-        bounds = [*zip([None, *bounds], [*bounds, None], strict=True)]
-    else:
-        bounds = [(None, None)]
+    seen = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.percentile_approx("doc_id", [i / max(2, batches) for i in range(1, max(2, batches))], 1000).alias("c")).first()
+    # a window takes 8 bytes, and a word hardly less than 6
+    index = FingerprintIndex(spark, size, fan_in, 2 * parts(spark, seen["n"] * 4 // 3 // max(1, batches)))
+    cuts = sorted(set(seen["c"] or [])) if batches > 1 else []
+    bounds = [*zip([None, *cuts], [*cuts, None], strict=True)]
     hits = None
     for low, high in bounds:
         batch = given

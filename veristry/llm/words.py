@@ -54,6 +54,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def part_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` parts a hash belongs to; by bits that its low 48 don't hold, as far as these tell so many apart."""
+    return ((h >> np.uint64(48 if n <= 1 << 16 else 36)) % np.uint64(n)).astype(np.int32)
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
