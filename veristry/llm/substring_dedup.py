@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_folder, new_folder, parts, release, small_batches, tidy
+from .shared import drop_folder, new_folder, parts, release, small_batches, stored, tidy
 from .words import WHITE, mix, part_of, pieces, slices
 
 #: Bases of the check sum's word and window hashes.
@@ -373,7 +373,10 @@ def remove_repeated_windows(docs: DataFrame, *, size: int = 13, batches: int = 3
         release(spark)
     index.drop()
     n = index.n_parts
-    per_doc = hits.mapInArrow(_by_document(n), _PACKED_SQL).repartition(n, "part").groupBy("part").applyInArrow(_gather, "_hit_doc long, _hits binary")
+    per_doc = stored(hits.mapInArrow(_by_document(n), _PACKED_SQL).repartition(n, "part").groupBy("part").applyInArrow(_gather, "_hit_doc long, _hits binary"), "hits")
+    del hits
+    drop_folder(spark, index.home)  # what was found is gathered by document
+    release(spark)
     joined = docs.join(per_doc, docs["doc_id"].cast("long") == per_doc["_hit_doc"], "left").select(*[docs[f"`{c}`"] for c in columns], "_hits")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_strip(size, n, len(columns), columns.index("text"), columns), f"{schema}, n_words long, n_removed long, kept_text string")
