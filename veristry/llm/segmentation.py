@@ -29,7 +29,7 @@ from .shared import small_batches, tidy
 from .words import _BASE, mix, powers, raw, slices
 
 OFFSET = 10.0
-_SLICE = 1 << 19
+_SLICE = 3 << 18
 _SPACE = 0x20
 #: Brings what differs in a hash into its first bits.
 _SPREAD = 0x9E3779B97F4A7C15
@@ -174,53 +174,55 @@ class Lattice:
         new = np.cumsum(width) - width
         slot[heads] = new
         edges = int(width.sum())
-        start, step, piece = np.empty(edges, np.int64), np.empty(edges, np.uint8), np.empty(edges, np.int32)
+        start, step, piece, score = np.empty(edges, np.int64), np.empty(edges, np.uint8), np.empty(edges, np.int32), np.empty(edges)
         for length in range(len(starts), 0, -1):
             s = starts[length - 1]
             at = slot[s]
-            start[at], step[at], piece[at] = s, length, ids[length - 1]
+            start[at], step[at], piece[at], score[at] = s, length, ids[length - 1], v.log_weight[ids[length - 1]]
             slot[s] = at + 1
         del starts, ids, slot
-        fallback = float(v.log_weight[v.byte_ids[0]])
-        score = np.where(piece >= 0, v.log_weight[np.maximum(piece, 0)], fallback * step.astype(np.float64))
+        lone = np.flatnonzero(piece < 0)
+        score[lone] = float(v.log_weight[v.byte_ids[0]]) * step[lone]
         total = np.zeros(n + 1)
         far = left[heads]
         inner = np.repeat(far, width) != step  # the edge doesn't end its unit
         to = np.minimum(start + step, n)
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(far) != 0, [True]])) if len(new) else np.zeros(1, np.int64)
+        p = score  # becomes each edge's probability
         for a, b in zip(cuts, cuts[1:], strict=False):
             own = new[a:b]
             x, y = own[0], own[-1] + width[b - 1]
             edge = score[x:y] + np.where(inner[x:y], total[to[x:y]], 0.0)
             top = np.maximum.reduceat(edge, own - x)
-            total[start[own]] = top + np.log(np.add.reduceat(np.exp(edge - np.repeat(top, width[a:b])), own - x))
-        value = score + np.where(inner, total[to], 0.0) - total[start]
-        self.start, self.step, self.piece, self.log_p, self.left = start.astype(np.int32), step, piece, value, left.astype(np.int32)
+            edge -= np.repeat(top, width[a:b])
+            np.exp(edge, out=edge)
+            mass = np.add.reduceat(edge, own - x)
+            total[start[own]] = top + np.log(mass)
+            p[x:y] = edge / np.repeat(mass, width[a:b])
+        self.start, self.step, self.piece, self.p, self.left = start.astype(np.int32), step, piece, p, left.astype(np.int32)
         #: First and last edge of each position.
         self.first_edge, self.last_edge = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.first_edge[start[new]], self.last_edge[start[new]] = new, new + width - 1
-        self.upto = np.exp(value)
-        k, own = 1, new[width > 1]  # sums within a position only, so that they don't depend on what lies before it
-        width = width[width > 1]
-        while len(own):
-            self.upto[own + k] += self.upto[own + k - 1]
-            k += 1
-            own, width = own[width > k], width[width > k]
+
+    def log_p(self, edges: np.ndarray | int) -> np.ndarray:
+        """Logarithms of edges' probabilities among those at their start."""
+        return np.log(self.p[edges])
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge at each place by its probability."""
-        edge, last = self.first_edge[place].astype(np.int64), self.last_edge[place]
-        todo = np.flatnonzero((u >= self.upto[edge]) & (edge < last))
+        edge, last, u = self.first_edge[place].astype(np.int64), self.last_edge[place], u.copy()
+        todo = np.flatnonzero((u >= self.p[edge]) & (edge < last))
         while len(todo):
-            edge[todo] += 1
             e = edge[todo]
-            todo = todo[(u[todo] >= self.upto[e]) & (e < last[todo])]
+            u[todo] -= self.p[e]
+            edge[todo] = e = e + 1
+            todo = todo[(u[todo] >= self.p[e]) & (e < last[todo])]
         return edge
 
     def draw_other(self, place: int, gone: list[int], u: float) -> int:
         """An edge at one place by its probability, but none of ``gone``."""
         own = [e for e in range(self.first_edge[place], self.last_edge[place] + 1) if e not in gone]
-        p = [math.exp(self.log_p[e]) for e in own]
+        p = [float(self.p[e]) for e in own]
         u *= sum(p)
         for e, x in zip(own, p, strict=True):
             u -= x
@@ -306,7 +308,7 @@ def _search(v, lat, put, begin, unit, key, keys, row_first, count, who, edge, k,
     """Opens each row's best subtree until k segmentations are out; all rows take a step together."""
     rows = np.flatnonzero(count)
     last = row_first + count
-    logp = lat.log_p[edge]
+    logp = lat.log_p(edge)
     cuts = np.searchsorted(who, np.append(row_first[rows], len(unit)))
     top = -np.log(-np.log(uniform(keys[rows], 1 << 20)))
     chances = _chances(logp, cuts[:-1], np.zeros(len(rows)), keys[rows], 0)
@@ -331,13 +333,13 @@ def _search(v, lat, put, begin, unit, key, keys, row_first, count, who, edge, k,
             without = gone[i].setdefault((path, at), [int(e[at])])
             other = lat.draw_other(place, without, float(draws[0][i]))
             without.append(other)  # the subtree lives on without the edge that is now followed
-            before, mass = float(lp[:at].sum()), 1 - sum(math.exp(lat.log_p[x]) for x in without)
+            before, mass = float(lp[:at].sum()), 1 - sum(float(lat.p[x]) for x in without)
             some_left = len(without) <= lat.last_edge[place] - lat.first_edge[place] and mass > 1e-12
             own[j] = -np.inf
             if some_left:
                 unopened[i].append((np.array([before + math.log(mass) - math.log(-math.log(draws[1][i]))]), path, at, value))
             inside = bool(lat.step[other] < lat.left[place])
-            jobs.append((i, path, at, other, value, before + float(lat.log_p[other]), int(w[at]) + (not inside), place + int(lat.step[other]) if inside else -1))
+            jobs.append((i, path, at, other, value, before + float(lat.log_p(other)), int(w[at]) + (not inside), place + int(lat.step[other]) if inside else -1))
         active = [j[0] for j in jobs]
         if not jobs:
             break
@@ -349,12 +351,12 @@ def _search(v, lat, put, begin, unit, key, keys, row_first, count, who, edge, k,
         inner = np.array([j[7] for j in jobs])
         starts[first[inner >= 0]] = inner[inner >= 0]
         walked, more = _walk(lat, unit[units], starts, key[units], number)
-        new_who, new_logp = units[walked], lat.log_p[more]
+        new_who, new_logp = units[walked], lat.log_p(more)
         cuts = np.searchsorted(walked, np.append(first, len(units)))
         chances = _chances(new_logp, cuts[:-1], np.array([j[5] for j in jobs]), keys[rows[active]], number)
         for (i, path, at, other, value, *_), a, b in zip(jobs, cuts, cuts[1:], strict=False):
             w, e, lp = paths[i][path]
-            paths[i].append((np.concatenate([w[: at + 1], new_who[a:b]]), np.concatenate([e[:at], [other], more[a:b]]), np.concatenate([lp[:at], lat.log_p[other : other + 1], new_logp[a:b]])))
+            paths[i].append((np.concatenate([w[: at + 1], new_who[a:b]]), np.concatenate([e[:at], [other], more[a:b]]), np.concatenate([lp[:at], lat.log_p(np.array([other])), new_logp[a:b]])))
             unopened[i].append((chances[a:b], len(paths[i]) - 1, at + 1, value))
     flat = [p for own in paths for p in own]
     size = np.array([len(p[1]) for p in flat])
