@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, embedding_dedup, language_id, ngram_join, quality, segmentation, substring_dedup, toxicity, warc
+from . import chat_format, collocations, decontamination, embedding_dedup, language_id, lexical_search, ngram_join, quality, segmentation, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_segmentation": segmentation.op8,
     "op9_chat_format": chat_format.op9,
     "op10_warc": warc.op10,
+    "op11_collocations": collocations.op11,
+    "op13_lexical_search": lexical_search.op13,
 }
 
 ORACLE = {
@@ -24,4 +26,6 @@ ORACLE = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }

@@ -155,3 +155,33 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 2 * PIEC
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Rows of (key, text) gathered, over batches, to blocks of about ``size`` bytes of text or one row: (keys, UTF-8 bytes, row offsets)."""
+    keys, data, ends, held = [], [], [np.zeros(1, np.int64)], 0
+    for batch in batches:
+        flat, offsets = raw(batch.column(1))
+        first = 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(offsets, offsets[first] + size - held, side="right")) - 1
+            if last <= first and held:  # the next text doesn't fit
+                yield keys, np.concatenate(data), np.concatenate(ends)
+                keys, data, ends, held = [], [], [np.zeros(1, np.int64)], 0
+                continue
+            last = max(last, first + 1)
+            keys += batch.column(0).slice(first, last - first).to_pylist()
+            data.append(flat[offsets[first] : offsets[last]].copy())
+            ends.append(offsets[first + 1 : last + 1] - offsets[first] + held)
+            held += len(data[-1])
+            first = last
+    if keys:
+        yield keys, np.concatenate(data), np.concatenate(ends)
+
+
+def begins(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
