@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, collocations, decontamination, embedding_dedup, language_id, lexical_search, ngram_join, quality, segmentation, substring_dedup, toxicity, warc
+from . import chat_format, collocations, decontamination, embedding_dedup, language_id, lexical_search, lm_scoring, ngram_join, quality, segmentation, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9,
     "op10_warc": warc.op10,
     "op11_collocations": collocations.op11,
+    "op12_lm_scoring": lm_scoring.op12,
     "op13_lexical_search": lexical_search.op13,
 }
 
