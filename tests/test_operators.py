@@ -116,24 +116,6 @@ def test_upsert_keeps_first_values(spark):
     assert sorted(map(tuple, files.upsert_latest(old, new, ["k"], ["title"]).collect())) == [(1, "t1", 5), (2, "t2", 9), (3, "y", 1)]
 
 
-def test_clusters_find_the_nearest(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
-    clustered, centres = search.build_clusters(v, 4)
-    q = search.query_vector(v, 0)
-    exact = [r.vec_id for r in search.vector_search(v, q, None, 10).collect()]
-    assert len(set(exact) & {r.vec_id for r in search.search_clusters(clustered, centres, q, 4, 10).collect()}) == 10
-
-
-@pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
-def test_clusters_as_registered_reach_their_recall(spark, at):
-    from veristry.plans import content  # noqa: F401
-    from veristry.plans.registry import QUERIES
-
-    got = {(r.query_id, r.vec_id) for r in QUERIES["vec_07_clusters"](spark, f"/root/testdata/{at}").collect()}
-    want = {p[:2] for p in brute_nearest(spark, at, 20)}
-    assert {p[0] for p in got} == {p[0] for p in want} and len(got & want) >= 0.9 * len(want)
-
-
 def test_search_of_every_hundredth_vector(spark):
     from veristry.plans import content  # noqa: F401
     from veristry.plans.registry import QUERIES

@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from veristry.plans import complete, content, lists, more, registry, statistics  # noqa: F401
+from veristry.plans import complete, content, indexed, lists, more, registry, statistics  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

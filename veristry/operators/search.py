@@ -202,33 +202,6 @@ def funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
     return df.agg(F.count("*").alias("all"), *out)
 
 
-def build_clusters(vectors: DataFrame, lists: int = 8, seed: int = 1, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Vectors with the cluster of their direction, and the clusters' centres; centres are fit on about ``most`` vectors, all are assigned."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    unit = vectors.where(norm(F.col("embedding")) > 0).withColumn("unit", F.transform("embedding", lambda x: x / norm(F.col("embedding"))))
-    unit = unit.withColumn("features", array_to_vector("unit"))
-    total = vectors.count()
-    sample = unit if total <= most else unit.where(F.pmod(F.xxhash64("vec_id"), F.lit(total)) < most)
-    model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="cluster").fit(sample)
-    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    return model.transform(unit).drop("features", "unit"), centres
-
-
-def search_clusters(clustered: DataFrame, centres: DataFrame, query: DataFrame, probes: int = 3, k: int = 20) -> DataFrame:
-    """The k nearest vectors within the clusters whose centres are nearest to the query."""
-    near = centres.crossJoin(F.broadcast(query)).withColumn("d", -dot(F.col("centre"), F.col("q"))).orderBy("d", "cluster").limit(probes).select("cluster")
-    return vector_search(clustered.join(F.broadcast(near), "cluster", "left_semi"), query, None, k)
-
-
-def search_clusters_many(clustered: DataFrame, centres: DataFrame, queries: DataFrame, probes: int = 3, k: int = 20) -> DataFrame:
-    """The k nearest other vectors of each query (query_id, q) within the ``probes`` clusters whose centres are nearest to it."""
-    w = Window.partitionBy("query_id").orderBy("d", "cluster")
-    near = queries.crossJoin(F.broadcast(centres)).withColumn("d", -dot(F.col("centre"), F.col("q"))).withColumn("at", F.row_number().over(w))
-    return search_many(clustered, near.where(F.col("at") <= probes).select("query_id", "q", "cluster"), k, ("cluster",))
-
-
 def why(candidates: DataFrame, evidence: DataFrame, entity: str = "nces_id") -> DataFrame:
     """Summary sentence of each ranked entity: strong categories (3 and more), similarity in words, first three keywords.
 

@@ -279,13 +279,6 @@ def agg_26(t):
     return S.entity_relevance(t.vectors, S.query_vector(t.vectors, 0), floor=0.1).orderBy(F.desc("hits"), "nces_id").limit(10).select("nces_id", "hits")
 
 
-@query("vec_07_clusters")
-def vec_07(t):
-    clustered, centres = S.build_clusters(t.vectors)
-    near = S.search_clusters_many(clustered, centres, hundredth(t.vectors), probes=7)
-    return near.join(clustered.select("vec_id", "cluster"), "vec_id").select("query_id", "place", "vec_id", "cluster", "distance")
-
-
 @query("vec_08_many", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM vectors WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, " + COS.format(a="v.embedding", b="q.q") + " AS distance FROM vectors v, q WHERE vec_id <> query_id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS place, vec_id, round(distance, 6) AS distance FROM d QUALIFY place <= 10", "vectors")
 def vec_08(t):
     return S.search_many(t.vectors, hundredth(t.vectors)).withColumn("distance", F.round("distance", 6))
