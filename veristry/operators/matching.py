@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import can_reach, normalise_name, similarity_from
+from .assignment import assign
 
 
 def match_entities(registry: DataFrame, baseline: DataFrame, *, rules="default", cut: float = 0.80, near: float = 0.90, policy: str = "loader") -> DataFrame:
@@ -16,17 +17,20 @@ def match_entities(registry: DataFrame, baseline: DataFrame, *, rules="default",
     ``near`` on, else ``fuzzy``; ties go to the smallest nces_id.  Review is
     asked for below 0.85.  Policy 'documented' scales the confidence instead:
     0.95 of the similarity from 0.90 on, or from 0.85 on in the same city; else
-    0.90 of it, with review.  Pairs of a state are compared only if their
-    lengths allow the cut, and in detail only if their letters do.
+    0.90 of it, with review.  Distinct names of a state are compared,
+    only if their lengths allow the cut, and in detail only if their letters do.
     """
     r = registry.select("id", F.col("state").alias("_state"), F.col("city").alias("_city"), normalise_name("district_name", rules).alias("_name")).where("_name is not null")
     b = baseline.select("nces_id", "state", "city", normalise_name("district_name", rules).alias("name")).where("name is not null")
     equal = r.join(b, (F.col("_state") == F.col("state")) & (F.col("_name") == F.col("name"))).groupBy("id").agg(F.min("nces_id").alias("nces_id"))
     equal = equal.select("id", "nces_id", F.lit("exact_name").alias("match_method"), F.lit(0.95).alias("confidence"), F.lit(False).alias("review"))
     rest = r.join(equal.select("id"), "id", "left_anti")
-    pairs = rest.join(b, (F.col("_state") == F.col("state")) & can_reach(F.col("_name"), F.col("name"), cut))
-    pairs = pairs.select("id", "nces_id", similarity_from(cut)("_name", "name").alias("s"), (F.col("_city") == F.col("city")).alias("near")).where(F.col("s") >= cut)
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "nces_id"))).where("_n = 1")
+    # equal names of a state are compared once, the smallest nces_id standing for its name
+    names = b.groupBy("state", "name").agg(F.min("nces_id").alias("nces_id"))
+    pairs = rest.select("_state", "_name").distinct().join(names, (F.col("_state") == F.col("state")) & can_reach(F.col("_name"), F.col("name"), cut))
+    pairs = pairs.select("_state", "_name", "nces_id", similarity_from(cut)("_name", "name").alias("s")).where(F.col("s") >= cut)
+    best = pairs.groupBy("_state", "_name").agg(F.min(F.struct((-F.col("s")).alias("s"), "nces_id")).alias("_b")).select("_state", "_name", (-F.col("_b.s")).alias("s"), "_b.nces_id")
+    best = rest.join(best, ["_state", "_name"]).join(b.select("nces_id", F.col("city").alias("city")), "nces_id").withColumn("near", F.col("_city") == F.col("city"))
     if policy == "documented":
         strong = (F.col("s") >= 0.90) | ((F.col("s") >= 0.85) & F.coalesce("near", F.lit(False)))
         found = best.select("id", "nces_id", F.lit("fuzzy").alias("match_method"), F.when(strong, F.col("s") * 0.95).otherwise(F.col("s") * 0.90).alias("confidence"), (~strong).alias("review"))
@@ -83,14 +87,13 @@ def ambiguous_or_orphan(registry: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def accept(matches: DataFrame, registry: DataFrame, districts: DataFrame, cut: float = 0.80) -> DataFrame:
-    """Matches within one state, from the cut on, with enrollments within a factor of 10, and one to one on both sides."""
+    """Matches within one state, from the cut on, with enrollments within a factor of 10, one to one: no two that are left would both rather have each other."""
     r = registry.select(F.col("id").alias("registry_id"), F.col("state").alias("_s"), F.col("enrollment").alias("_e"))
     d = districts.select("nces_id", "state", "enrollment")
     m = matches.where(F.col("confidence") >= cut).join(r, "registry_id").join(d, "nces_id").where("_s = state")
     ratio = F.greatest("_e", "enrollment") <= 10 * F.least("_e", "enrollment")
     m = m.where(F.col("_e").isNull() | F.col("enrollment").isNull() | ratio)
-    for key in ("nces_id", "registry_id"):
-        m = m.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "registry_id", "nces_id"))).where("_n = 1")
+    m = assign(m, "registry_id", "nces_id", "confidence")
     return m.select("nces_id", "registry_id", "match_method", "confidence")
 
 

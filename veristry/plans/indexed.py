@@ -1,11 +1,13 @@
-"""Queries that search written indexes: vectors by lists, texts by postings."""
+"""Queries on written indexes, in rounds and by buckets: what needs more than one plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import assignment
 from ..operators import text_index as X
 from ..operators import vector_index as V
+from ..sources import buckets, files
 from . import lists  # noqa: F401  (the SQL of its queries is used again)
 from .content import _folder, hundredth
 from .registry import ORACLE, query
@@ -83,3 +85,33 @@ def flt_10(t):
     place = F.when(F.lower("title").contains("the"), 1).otherwise(2)
     rows = index.docs.where(F.col("document_type").isin("html")).join(X.containing(index, "the"), "doc_id", "left_semi").withColumn("place", place)
     return rows.orderBy("place", "title", "doc_id").limit(50).select("doc_id", "title", "preview", "place")
+
+
+#: Every row of a city is offered every district of it, with a made-up score that has many ties.
+EDGES_SQL = "SELECT r.id AS registry_id, d.nces_id, concat(d.state, d.city) AS g, cast(r.id * 7 % 13 + d.k * 5 % 11 AS double) / 24 AS confidence FROM registry r JOIN districts d ON r.state = d.state AND r.city = d.city"
+ASSIGNED_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY confidence DESC, registry_id, nces_id) AS i FROM ({EDGES_SQL})),
+s AS (
+  SELECT DISTINCT g, 0::BIGINT AS i, []::BIGINT[] AS rs, []::VARCHAR[] AS ds, NULL::BIGINT AS registry_id, NULL::VARCHAR AS nces_id, NULL::DOUBLE AS confidence FROM e
+  UNION ALL
+  SELECT s.g, s.i + 1, CASE WHEN list_contains(rs, e.registry_id) OR list_contains(ds, e.nces_id) THEN rs ELSE list_append(rs, e.registry_id) END,
+    CASE WHEN list_contains(rs, e.registry_id) OR list_contains(ds, e.nces_id) THEN ds ELSE list_append(ds, e.nces_id) END,
+    CASE WHEN list_contains(rs, e.registry_id) OR list_contains(ds, e.nces_id) THEN NULL ELSE e.registry_id END, e.nces_id, e.confidence
+  FROM s JOIN e ON e.g = s.g AND e.i = s.i + 1
+)
+SELECT registry_id, nces_id, round(confidence, 6) AS confidence FROM s WHERE registry_id IS NOT NULL"""
+
+
+@query("match_13_assignment", ASSIGNED_SQL, "registry districts")
+def match_13_assignment(t):
+    edges = t.spark.sql(EDGES_SQL.replace("FROM registry r JOIN districts d", "FROM {r} r JOIN {d} d"), r=t.registry, d=t.districts)
+    return assignment.assign(edges.select("registry_id", "nces_id", "confidence"), "registry_id", "nces_id", "confidence").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("snk_04_upsert_buckets", ORACLE["snk_04_upsert"])
+def snk_04(t):
+    d = t.docs.select(F.col("doc_id").alias("k"), "title", F.col("text_length").cast("long").alias("text_length"))
+    new = d.where("k % 2 = 0").select("k", F.lit("new").alias("title"), F.lit(7).cast("long").alias("text_length"))
+    table = buckets.BucketTable(t.spark, _folder(t, "buckets"), d.schema, ["k"], 16)
+    for number, rows in enumerate((d.where("k % 3 <> 0"), new)):
+        table.upsert(rows, number, lambda old, batch: files.upsert_latest(old, batch, ["k"], ["title"]))
+    return table.read()

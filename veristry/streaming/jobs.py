@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.buckets import BucketTable
+
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events by hour and kind; distinct users are approximate, as exact ones need unbounded state."""
@@ -25,34 +27,20 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the versions of a table that were written to their end."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.globStatus(hadoop(f"{folder}/v*/_SUCCESS")) or []
-    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
-
+def latest_table(spark: SparkSession, stream: DataFrame, keys: list[str], order: str, folder: str, buckets: int = 64) -> DataFrame:
+    """Keeps the row of largest ``order`` for each key, batch by batch, in a table of key buckets.
 
-def latest_table(spark: SparkSession, stream: DataFrame, keys: list[str], order: str, folder: str) -> DataFrame:
-    """Keeps the row of largest ``order`` for each key, batch by batch; each batch writes a new version of the table.
-
-    A version is a folder of its own, so a batch never overwrites what it
-    reads, and a batch that runs again after a failure gives the same version.
-    The version before the last one stays for that; older ones are deleted.
-    A restart without new data returns the last version.
+    A batch rewrites the buckets of its keys and no other, so what it writes
+    follows its own size as long as that is small against the buckets; see
+    ``BucketTable`` for failures and restarts.  A restart without new data
+    returns the table as it is.
     """
+    table = BucketTable(spark, folder, stream.schema, keys, buckets)
+
+    def newest(old: DataFrame, new: DataFrame) -> DataFrame:
+        rows = old.unionByName(new)
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = [v for v in _versions(session, folder) if v < number]
-        rows = batch.unionByName(session.read.schema(batch.schema).parquet(f"{folder}/v{before[-1]}")) if before else batch
-        first = F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")
-        rows.groupBy(*keys).agg(first).select("r.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
-        for v in before[:-1]:
-            old = session._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{v}")
-            old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
-
-    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda batch, number: table.upsert(batch, number, newest)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = _versions(spark, folder)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/v{done[-1]}") if done else spark.createDataFrame([], stream.schema)
+    return table.read()
