@@ -66,6 +66,35 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
+def seek(df: DataFrame, order: list[tuple[str, bool]], limit: int, after: dict | None = None) -> DataFrame:
+    """The ``limit`` rows that follow a place in a total order, without sorting what lies before it.
+
+    ``order`` names columns, each with True for descending; nulls come last
+    either way.  ``after`` holds the values of these columns in the last row
+    that was seen (see ``cursor``), None for the first page.  The place becomes a
+    range filter, whose first bound a scan can use to pass over files; rows with
+    equal values in all columns of ``order`` are not told apart.
+    """
+    if after is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for name, down in order:
+            c, v = F.col(f"`{name}`"), after[name]
+            value = F.lit(v).cast(df.schema[name].dataType)
+            if v is not None:
+                later = later | (equal & (((c < value) if down else (c > value)) | c.isNull()))
+            equal = equal & c.eqNullSafe(value)
+        name, down = order[0]
+        c, v = F.col(f"`{name}`"), after[name]
+        first = c.isNull() if v is None else ((c <= F.lit(v)) if down else (c >= F.lit(v))) | c.isNull()
+        df = df.where(first & later)
+    return df.orderBy(*[F.desc_nulls_last(n) if down else F.asc_nulls_last(n) for n, down in order]).limit(limit)
+
+
+def cursor(rows: list, order: list[tuple[str, bool]]) -> dict | None:
+    """Where the next page begins, from the rows of a collected page; None after an empty one."""
+    return {n: rows[-1][n] for n, _ in order} if rows else None
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of each key in a total order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assignment
+from ..operators import assignment, basics, sketches
 from ..operators import text_index as X
 from ..operators import vector_index as V
 from ..sources import buckets, files
+from ..streaming.suppression import suppress_stream
 from . import lists  # noqa: F401  (the SQL of its queries is used again)
 from .content import _folder, hundredth
 from .registry import ORACLE, query
@@ -115,3 +116,45 @@ def snk_04(t):
     for number, rows in enumerate((d.where("k % 3 <> 0"), new)):
         table.upsert(rows, number, lambda old, batch: files.upsert_latest(old, batch, ["k"], ["title"]))
     return table.read()
+
+
+@query("topk_02_seek", "SELECT nces_id, enrollment, district_name FROM districts ORDER BY enrollment DESC NULLS LAST, district_name, nces_id LIMIT 20 OFFSET 40", "districts")
+def topk_02(t):
+    rows, order = t.districts.select("nces_id", "enrollment", "district_name"), [("enrollment", True), ("district_name", False), ("nces_id", False)]
+    after = None
+    for _ in range(2):
+        after = basics.cursor(basics.seek(rows, order, 20, after).collect(), order)
+    return basics.seek(rows, order, 20, after)
+
+
+def _summaries(t) -> str:
+    """The crawl's statistics, a summary for each batch."""
+    path = _folder(t, "summaries")
+    for batch in ("b0", "b1", "b2", "b3"):
+        sketches.add_batch(t.crawl.where(F.col("batch_id") == batch), path, batch, ["url_type"], distinct=["nces_id"], numbers=["response_ms"], filled=["keywords_found"])
+    return path
+
+
+@query("agg_16_merged_batches", "SELECT url_type, count(*) AS n, count(keywords_found) AS n_keywords_found, count(DISTINCT nces_id) AS distinct_nces_id, round(avg(response_ms), 4) AS mean_response_ms, min(response_ms)::DOUBLE AS min_response_ms, max(response_ms)::DOUBLE AS max_response_ms FROM crawl GROUP BY url_type", "crawl")
+def agg_16(t):
+    out = sketches.merged(t.spark, _summaries(t), ["url_type"])
+    return out.select("url_type", "n", "n_keywords_found", "distinct_nces_id", F.round("mean_response_ms", 4).alias("mean_response_ms"), "min_response_ms", "max_response_ms")
+
+
+@query("agg_16_merged_quantiles")
+def agg_16_quantiles(t):
+    return sketches.merged(t.spark, _summaries(t), ["url_type"], (0.1, 0.5, 0.9)).select("url_type", "n", "q10_response_ms", "q50_response_ms", "q90_response_ms")
+
+
+@query("rank_03_stream", "WITH p AS (SELECT * FROM crawl WHERE url_type = 'purchase') SELECT nces_id FROM districts WHERE nces_id NOT IN (SELECT nces_id FROM p WHERE crawled_at >= (SELECT max(crawled_at) FROM p) - INTERVAL 5 DAY)", "districts crawl")
+def rank_03(t):
+    at, folder = _folder(t, "engagements"), _folder(t, "suppression")
+    events = t.crawl.where("url_type = 'purchase'").select("nces_id", F.col("crawled_at").cast("timestamp").alias("happened_at"))
+    cuts = [r[0] for r in events.agg(F.percentile_approx(F.unix_micros("happened_at"), [0.33, 0.66])).collect()][0] or [0, 0]
+    us = F.unix_micros("happened_at")
+    parts = [events.where(us <= cuts[0]), events.where((us > cuts[0]) & (us <= cuts[1])), events.where(us > cuts[1])]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(at)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    gone = suppress_stream(t.spark, stream, folder, days=5)
+    return t.districts.select("nces_id").join(gone, "nces_id", "left_anti")
