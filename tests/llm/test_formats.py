@@ -76,6 +76,53 @@ def test_inclusion_scores_make_samples_unbiased(vocabulary):
         assert own[path] / n == pytest.approx(1, abs=4 / (n * p[path]) ** 0.5)  # four standard errors
 
 
+def unspaced(n, seed=3):
+    rng = random.Random(seed)
+    return "".join(rng.choice(["the", "of", "an", "ing", "é", "x", "q1", "ation"]) for _ in range(n))
+
+
+def cjk(n, seed=4):
+    rng = random.Random(seed)
+    return "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+
+
+@pytest.mark.parametrize("text", [unspaced(900), cjk(900), "a" * 1500, "ab" * 3000, "é" * 700 + unspaced(300), "x" * 513, cjk(171) + "y", unspaced(400) + " " + unspaced(700)])
+@pytest.mark.parametrize("ahead", [8, 128])
+def test_long_units_have_the_lattice_of_short_ones(vocabulary, monkeypatch, text, ahead):
+    """Sums in blocks give every edge the probability that one pass from the unit's end gives it, however far they have to look."""
+    data, offsets = raw(pa.array([text]))
+    put, begin, end, _ = segmentation.cut_units(data, offsets)
+    monkeypatch.setattr(segmentation, "AHEAD", ahead)
+    lat = segmentation.Lattice(vocabulary, put, begin, end)
+    monkeypatch.setattr(segmentation, "LONG", 1 << 30)
+    plain = segmentation.Lattice(vocabulary, put, begin, end)
+    assert lat.long.any() and not plain.long.any()
+    a, b = (np.lexsort((x.piece, x.step, x.start)) for x in (lat, plain))
+    assert (lat.start[a] == plain.start[b]).all() and (lat.piece[a] == plain.piece[b]).all()
+    assert lat.p[a] == pytest.approx(plain.p[b], abs=1e-9)
+
+
+def test_long_units_are_sampled_as_short_ones(vocabulary, monkeypatch):
+    """Each cut of a short unit occurs as often when its draws go by place."""
+    v, n, text = vocabulary, 4000, "another"
+    keys = mix(np.arange(n, dtype=np.uint64))
+    plain = collections.Counter(tuple(r[0][0].tolist()) for r in sample(v, [text] * n, keys, 2))
+    monkeypatch.setattr(segmentation, "LONG", 2)
+    found = sample(v, [text] * n, keys, 2)
+    own = collections.Counter(tuple(r[0][0].tolist()) for r in found)
+    assert all(own[p] / n == pytest.approx(plain[p] / n, abs=0.035) for p in set(own) | set(plain))
+    assert all(len({tuple(i.tolist()) for i, _, _ in r}) == len(r) for r in found)
+
+
+@pytest.mark.parametrize("text", [unspaced(3000), cjk(4000), unspaced(800) + "\n" + cjk(500) + " plain words"])
+def test_texts_without_spaces_round_trip(vocabulary, text):
+    alone = sample(vocabulary, [text], [5], 3)[0]
+    assert len({tuple(i.tolist()) for i, _, _ in alone}) == len(alone) == (1 if text == cjk(4000) else 3)  # most of these characters are no pieces
+    assert all(segmentation.decode_ids(vocabulary.pieces, i.tolist()) == text for i, _, _ in alone)
+    beside = sample(vocabulary, ["before", text, cjk(900, 8)], [1, 5, 6], 3)[1]
+    assert [i.tolist() for i, _, _ in alone] == [i.tolist() for i, _, _ in beside]
+
+
 def test_draws_do_not_depend_on_neighbours(vocabulary):
     alone = sample(vocabulary, ["some words here"], [9], 2)[0]
     among = sample(vocabulary, ["x y", "some words here", ""], [1, 9, 2], 2)[1]

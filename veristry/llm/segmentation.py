@@ -123,6 +123,124 @@ def cut_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return put, begin, np.append(begin[1:], len(put)), count
 
 
+def _found(v: Vocabulary, x: np.ndarray, heads: np.ndarray, left: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By length (from 1 byte) where pieces begin, and their ids; some positions at a time, as hashes take eight times a text's bytes."""
+    starts, ids = [], []
+    for a in range(0, len(x), _SLICE):
+        b = min(len(x), a + _SLICE)
+        own = x[a : b + v.longest]
+        up, down = powers(_BASE, len(own) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)])])
+        spread = down[: len(own)] * np.uint64(_SPREAD)
+        place = heads[np.searchsorted(heads, a) : np.searchsorted(heads, b)] - a
+        for length in range(1, v.longest + 1):
+            place = place[left[place + a] >= length]
+            if not len(place):
+                break
+            h = (sums[place + length] - sums[place]) * spread[place]
+            some, found = v.look_up(h)
+            if length > len(starts):
+                starts.append([])
+                ids.append([])
+            starts[length - 1].append(place[some] + a)
+            ids[length - 1].append(found.astype(np.int32))
+            place = place[v.begins[h >> np.uint64(44)]]
+    return [np.concatenate(s) for s in starts], [np.concatenate(i) for i in ids]
+
+
+#: A unit of more bytes is long: its sums are taken in blocks of BLOCK characters, and its draws go by place.
+LONG, BLOCK, AHEAD = 512, 512, 128
+
+
+def _groups(first: np.ndarray, size: np.ndarray, head: np.ndarray, heads: np.ndarray, left: np.ndarray, block: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each position the bytes to its unit's end, or in a long unit to its block's; of the blocks their first and last characters, and whether they end a unit."""
+    group = left.copy()
+    count = np.concatenate([[0], np.cumsum(head)])  # characters before each position
+    begins, ends, last = [], [], []
+    for u in np.flatnonzero(size > LONG):
+        c, d = int(count[first[u]]), int(count[first[u] + size[u]])
+        own = np.arange(c, d, block)[: max(1, (d - c) // block)]  # the last block takes the rest, so that no piece goes beyond two
+        begins.append(own)
+        ends.append(np.append(own[1:], d))
+        last.append(np.arange(len(own)) == len(own) - 1)
+        stop = np.append(heads[own[1:]], first[u] + size[u])
+        at = np.arange(first[u], first[u] + size[u])
+        group[at] = np.repeat(stop, np.diff(np.append(heads[own], first[u] + size[u]))) - at
+    some = lambda x, t: np.concatenate([np.empty(0, t), *x])
+    return group, (some(begins, np.int64), some(ends, np.int64), some(last, bool))
+
+
+def _settled(w: np.ndarray) -> np.ndarray:
+    """Of each matrix, whether its columns are the same but for a factor."""
+    total = w.sum(1, keepdims=True)
+    share = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+    mean = w.sum(2, keepdims=True) / np.maximum(total.sum(2, keepdims=True), 1e-300)
+    return ((np.abs(share - mean) <= 1e-15 + 1e-13 * mean) | (total <= 0)).all((1, 2))
+
+
+def _columns(own: np.ndarray, length: np.ndarray, back: np.ndarray, weight: np.ndarray, blocks: int, width: int) -> np.ndarray:
+    """For each block a matrix: how the sums of its first characters follow from those of the ``width`` characters behind its end.
+
+    Of each edge: its block, its length and its distance from the block's end, in
+    characters, and its weight.  All blocks go back one character at a time; the
+    character t before the end is in row -t modulo ``width``.
+    """
+    order = np.argsort(back * blocks + own, kind="stable")
+    own, length, back, weight = own[order], length[order], back[order], weight[order]
+    cuts = np.searchsorted(back, np.arange(1, int(back.max()) + 2))
+    w = np.broadcast_to(np.eye(width), (blocks, width, width)).copy()
+    for t, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False), 1):
+        rows = own[x:y]
+        new = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        value = w[rows, (length[x:y] - t) % width]
+        value *= weight[x:y, None]
+        some = rows[new]
+        w[some, -t % width] = np.add.reduceat(value, new)
+        if t % 8 == 0:
+            w[some] /= w[some].max((1, 2), keepdims=True)
+    return w
+
+
+def _fill_borders(total: np.ndarray, chars: np.ndarray, start: np.ndarray, step: np.ndarray, score: np.ndarray, begins: np.ndarray, ends: np.ndarray, last: np.ndarray) -> None:
+    """Writes the sums of the first characters of each block of long units to ``total``, up to a factor of the block.
+
+    They are linear in the sums of the characters further on.  As a rule those
+    behind AHEAD characters change them by a common factor only, as far as
+    doubles tell, and then that is all there is to find.  Blocks of which that
+    doesn't hold look twice as far, in the end as far as their unit goes, where
+    the sum is known to be 1.
+    """
+    to_char = np.full(len(total), len(chars), np.int32)
+    to_char[chars] = np.arange(len(chars))
+    inside = np.zeros(len(chars) + 1, bool)
+    for x, y in zip(begins, ends, strict=True):
+        inside[x:y] = True
+    unit_end = ends[last][np.cumsum(last) - last]  # of each block, the character behind its unit
+    every = np.flatnonzero(inside[to_char[start]])
+    char = to_char[start[every]]
+    order = np.argsort(char, kind="stable")
+    every, char = every[order], char[order]
+    reach = to_char[np.minimum(start[every] + step[every], len(total) - 1)]
+    reach = np.minimum(reach, unit_end[np.searchsorted(ends, char, side="right")])
+    weight, width = np.exp(score[every]), int((reach - char).max())
+    todo, ahead, place = np.flatnonzero(~np.append(True, last[:-1])), AHEAD, np.arange(width)
+    while len(todo):
+        stop = np.minimum(begins[todo] + ahead, unit_end[todo])
+        a, b = np.searchsorted(char, begins[todo]), np.searchsorted(char, stop)
+        own = np.repeat(np.arange(len(todo)), b - a)
+        at = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(len(own))
+        w = _columns(own, reach[at] - char[at], stop[own] - char[at], weight[at], len(todo), width)
+        whole = stop == unit_end[todo]
+        w[whole, :, 1:] = 0  # behind the unit's end there is nothing
+        settled = _settled(w) | whole
+        for k in np.flatnonzero(settled):
+            first = begins[todo[k]]
+            sums = w[k, (place - (stop[k] - first)) % width].sum(1)
+            there = chars[first : min(first + width, ends[todo[k]])]
+            total[there] = np.log(sums[: len(there)])
+        todo, ahead = todo[~settled], 2 * ahead
+
+
 class Lattice:
     """The lattices of distinct units, position by position, with each edge's probability among those at its start."""
 
@@ -133,22 +251,9 @@ class Lattice:
         x = data[at]
         n = len(x)
         left = (np.repeat(self.first + size, size) - np.arange(n))  # bytes to the unit's end
-        up, down = powers(_BASE, n + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n])])
         head = (x & 0xC0) != 0x80
-        spread = down[:n] * np.uint64(_SPREAD)
-        starts, ids = [], []  # by length
         heads = np.flatnonzero(head)
-        place = heads
-        for length in range(1, v.longest + 1):
-            place = place[left[place] >= length]
-            if not len(place):
-                break
-            h = (sums[place + length] - sums[place]) * spread[place]
-            some, own = v.look_up(h)
-            starts.append(place[some])
-            ids.append(own.astype(np.int32))
-            place = place[v.begins[h >> np.uint64(44)]]
+        starts, ids = _found(v, x, heads, left)
         # a character that is no piece falls back to its bytes
         w = np.zeros(n, np.int64)
         w[heads] = np.diff(np.append(heads, n))
@@ -162,10 +267,11 @@ class Lattice:
                 ids += [np.empty(0, np.int32)] * (length - len(ids))
                 starts[length - 1] = np.concatenate([starts[length - 1], lone])
                 ids[length - 1] = np.concatenate([ids[length - 1], np.full(len(lone), -1, np.int32)])
-        del sums, spread, w, alone
+        del w, alone
         # from the ends of the units backwards, all positions equally far from their end at once;
         # of one position the longest pieces first: they are the likeliest as a rule, so that few edges are looked at
-        far = left[heads]
+        group, cuts = _groups(self.first, size, head, heads, left, BLOCK)
+        far = group[heads]
         heads = heads[np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")]
         slot = np.zeros(n, np.int64)
         for s in starts:
@@ -184,9 +290,11 @@ class Lattice:
         lone = np.flatnonzero(piece < 0)
         score[lone] = float(v.log_weight[v.byte_ids[0]]) * step[lone]
         total = np.zeros(n + 1)
-        far = left[heads]
-        inner = np.repeat(far, width) != step  # the edge doesn't end its unit
+        far = group[heads]
+        inner = np.repeat(left[heads], width) != step  # the edge doesn't end its unit
         to = np.minimum(start + step, n)
+        if len(cuts[0]):
+            _fill_borders(total, np.flatnonzero(head), start, step, score, *cuts)
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(far) != 0, [True]])) if len(new) else np.zeros(1, np.int64)
         p = score  # becomes each edge's probability
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -199,6 +307,9 @@ class Lattice:
             mass = np.add.reduceat(edge, own - x)
             total[start[own]] = top + np.log(mass)
             p[x:y] = edge / np.repeat(mass, width[a:b])
+        self.head, self.long = np.flatnonzero(head), size > LONG
+        #: The number of characters before each position.
+        self.char = np.concatenate([[0], np.cumsum(head)]).astype(np.int32)
         self.start, self.step, self.piece, self.p, self.left = start.astype(np.int32), step, piece, p, left.astype(np.int32)
         #: First and last edge of each position.
         self.first_edge, self.last_edge = np.zeros(n, np.int32), np.zeros(n, np.int32)
@@ -246,7 +357,9 @@ def _below(chance: float, top: float) -> float:
 
 def _walk(lat: Lattice, unit: np.ndarray, place: np.ndarray, key: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from ``place`` to the end of each unit, as (index of the unit, edge), in order."""
-    who, edges, alive, now, step = [], [], np.arange(len(unit)), place.copy(), 0
+    long = np.flatnonzero(lat.long[unit])
+    who, edges, alive, now, step = [], [], np.flatnonzero(~lat.long[unit]), place.copy(), 0
+    now = now[alive]
     while len(alive):
         e = lat.draw(now, uniform(sample, step, key[alive]))
         who.append(alive)
@@ -255,14 +368,42 @@ def _walk(lat: Lattice, unit: np.ndarray, place: np.ndarray, key: np.ndarray, sa
         now = (now + lat.step[e])[going]
         alive = alive[going]
         step += 1
-    count = np.bincount(np.concatenate(who), minlength=len(unit)) if who else np.zeros(len(unit), np.int64)
+    count = np.zeros(len(unit), np.int64)
+    for w in who:
+        count[w] += 1
+    paths = [_walk_long(lat, int(place[i]), key[i], sample) for i in long]
+    count[long] = [len(p) for p in paths]
     first = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int64)
     for k, (w, e) in enumerate(zip(who, edges, strict=True)):
         out[first[w] + k] = e
+    for i, p in zip(long, paths, strict=True):
+        out[first[i] : first[i] + len(p)] = p
     return np.repeat(np.arange(len(unit)), count), out
 
 
+def _walk_long(lat: Lattice, place: int, key: np.uint64, sample: int) -> np.ndarray:
+    """Edges from ``place`` to the end of a long unit.
+
+    An edge is drawn at every character, by its place, before it is known which
+    of them the path meets; that is then a chain of steps.
+    """
+    end = place + int(lat.left[place])
+    a, stop, out = int(np.searchsorted(lat.head, place)), int(np.searchsorted(lat.head, end)), []
+    while a < stop:
+        heads = lat.head[a : min(stop, a + (1 << 16))]
+        e = lat.draw(heads, uniform(sample, (1 << 40) + end - heads, key))
+        to = lat.char[heads + lat.step[e]] - a
+        steps, met, i, n = to.tolist(), [], 0, len(heads)
+        put = met.append
+        while i < n:
+            put(i)
+            i = steps[i]
+        out.append(e[met])
+        a += i
+    return np.concatenate([np.empty(0, np.int64), *out])
+
+
 def sample_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each row up to k distinct segmentations: (ids, log probability, inclusion probability)."""
     put, begin, end, count = cut_units(data, offsets)
@@ -272,9 +413,14 @@ def sample_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.
         results[r].append((np.empty(0, np.int32), 0.0, 1.0))
     if not len(begin):
         return results
-    up, down = powers(_BASE, len(put) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((put.astype(np.uint64) + np.uint64(1)) * up[: len(put)])])
-    h = mix((sums[end] - sums[begin]) * down[begin])
+    h, i = np.empty(len(begin), np.uint64), 0
+    while i < len(h):  # some units at a time
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + _SLICE, side="right")))
+        own, at = put[begin[i] : end[j - 1]], begin[i:j] - begin[i]
+        up, down = powers(_BASE, len(own) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)])])
+        h[i:j] = mix((sums[end[i:j] - begin[i]] - sums[at]) * down[at])
+        i = j
     order = np.argsort(h)
     new = np.concatenate([[True], np.diff(h[order]) != 0])
     which, unit = order[new], np.empty(len(h), np.int64)

@@ -107,8 +107,14 @@ class Piece:
         self.count = np.diff(self.bounds)
 
     def hashes(self, base: int = _BASE) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        return mix(_spans(self.data.astype(np.uint64) + np.uint64(1), base, self.start, self.end))
+        """A 64-bit hash of each word; some words at a time, so that a long text takes no more memory than a short one."""
+        out, i = np.empty(len(self.start), np.uint64), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + PIECE_BYTES, side="right")))
+            a, b = self.start[i], self.end[j - 1]
+            out[i:j] = mix(_spans(self.data[a:b].astype(np.uint64) + np.uint64(1), base, self.start[i:j] - a, self.end[i:j] - a))
+            i = j
+        return out
 
     def windows(self, words: np.ndarray, size: int, base: int = _SHIFT) -> tuple[np.ndarray, np.ndarray]:
         """Places of the first words of all windows of ``size`` words within a row, and the windows' hashes."""
