@@ -271,8 +271,22 @@ def test_one_automaton_whatever_the_benchmark(spark, frame):
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     got = {r.doc_id: (r.n_hit, r.item_ids) for r in out.collect()}
     assert got == {1: (13, ["7"]), 2: (0, []), 3: (209, ["3"]), 4: (0, [])}
-    with pytest.raises(ValueError, match="bytes of items"):
-        decontamination.find_contamination(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"), most_item_bytes=1000)
+    blocks = decontamination.find_contamination(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"), most_item_bytes=1_000_000)
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, out.collect()))
+
+
+def test_blocks_of_items_are_united(frame):
+    """Hits of items in several blocks count once where they overlap, one-word items among them."""
+    rng = random.Random(12)
+    words = ["ab", "cd", "É", "x1", "日本", "e"]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 1, 2, 3, 13, 20])))) for i in range(40)]
+    docs = [(i, " ".join(rng.choices([*words, "zz", "y"], k=rng.randrange(80)))) for i in range(60)] + [(90, None), (91, "")]
+    docs += [(100 + i, "zz " + t + " y") for i, t in items]
+    own = lambda **more: decontamination.find_contamination(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"), **more).collect()
+    whole, cut = own(), own(most_item_bytes=400)
+    assert sorted(map(str, whole)) == sorted(map(str, cut))
+    for r in cut:
+        assert (r.n_words, r.n_hit, r.item_ids) == brute_hits(dict(docs)[r.doc_id], items, 13)
 
 
 @pytest.mark.parametrize("least_rows", [4096, 20])

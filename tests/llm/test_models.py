@@ -152,3 +152,10 @@ def test_training_bounds(spark, frame):
 def test_threshold_separates():
     cut = toxicity.best_threshold(np.array([3.0, 2.0, -1.0, -2.0]), np.array([1.0, 1, 0, 0]), np.ones(4))
     assert -1 < cut < 2
+
+
+def test_every_language_has_a_threshold_of_its_own(spark):
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    model = toxicity.train(docs, labels, language=language_id.train(docs, 200))
+    assert len(model.thresholds) >= 3 and len(set(model.thresholds.values())) >= 3

@@ -9,10 +9,12 @@ not 13 times as much.  Each document is scanned once; where a block occurs,
 the words beside it show whether a whole window does, and the words found are
 mapped back to character offsets of the document's own text.
 
-There is one automaton for all items, in flat arrays, built once and broadcast;
-the size of the items is checked.  Where no two words in a row begin a pattern,
-which is nearly everywhere, the automaton is at its root or one step from it,
-so those places are passed over at once.
+The automaton is in flat arrays, built once and broadcast.  Where no four words
+in a row begin a pattern, which is nearly everywhere, it is near its root and
+comes back to it, so those places are passed over at once.  Items of one word
+need no automaton: their places are looked up.  The size of the items is
+checked; larger benchmarks go in several blocks, each with its own automaton
+and scan, whose hits are united.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, tidy
+from .shared import small_batches, stored, tidy
 from .words import ALNUM, LOWER, Piece, pieces, slices
 
 
@@ -74,22 +76,31 @@ class Automaton:
         for node in range(1, total):  # failure links go to smaller nodes
             f = self.fail[node]
             self.link[node] = f if self.ends[f] >= 0 else self.link[f]
-        #: Numbers that are a pattern or begin one, and the codes of two that begin one.
+        #: The node that each number leads to from the root; numbers beyond ``width`` lead nowhere.
         first = int((self.codes < width).sum())
         self.depth_two = first + 1
-        self.single = self.codes[:first][self.ends[self.targets[:first]] >= 0]
-        second = self.codes[(self.codes >= width) & (self.codes < (first + 1) * width)]
-        word_of = np.zeros(first + 1, np.int64)
-        word_of[self.targets[:first]] = self.codes[:first]
-        self.pairs = np.sort(word_of[second // width] * width + second % width)
+        self.from_root = np.zeros(width + 1, np.int32)
+        self.from_root[self.codes[:first]] = self.targets[:first]
+
+    def starts(self, numbers: np.ndarray) -> np.ndarray:
+        """Where a pattern begins, as far as its first four numbers tell."""
+        start = np.zeros(len(numbers), bool)
+        at = np.flatnonzero(self.from_root[np.minimum(numbers, self.width)])
+        state = self.from_root[numbers[at]].astype(np.int64)
+        for depth in range(1, 5):
+            done = (self.ends[state] >= 0) | (depth == 4)
+            start[at[done]] = True
+            at, state = at[~done], state[~done]
+            inside = at + depth < len(numbers)
+            at, state = at[inside], state[inside]
+            word = numbers[at + depth]
+            edge = _find(self.codes, np.where(word < self.width, state * self.width + np.minimum(word, self.width - 1), -1))
+            at, state = at[edge >= 0], self.targets[edge[edge >= 0]].astype(np.int64)
+        return start
 
     def iter(self, numbers: np.ndarray):
         """(last place, pattern) for all occurrences; numbers of ``width`` or more are in no pattern."""
-        start = np.zeros(len(numbers), bool)
-        start[:-1] = _find(self.pairs, np.where(numbers[:-1] < self.width, numbers[:-1] * self.width + np.minimum(numbers[1:], self.width - 1), -1)) >= 0
-        start[:-1] &= numbers[1:] < self.width
-        if len(self.single):
-            start |= _find(self.single, numbers) >= 0
+        start = self.starts(numbers)
         at, n = -1, len(numbers)
         for begin in np.flatnonzero(start).tolist():
             if begin < at:
@@ -138,12 +149,24 @@ class Matcher:
     #: owner[c]:owner[c + 1] are the places in owner_items of the items with context c.
     owner: np.ndarray
     owner_items: np.ndarray
+    #: alone[w]:alone[w + 1] are the places in alone_items of the items that are word w and nothing else.
+    alone: np.ndarray
+    alone_items: np.ndarray
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's number; what no item has gets the next one."""
         at = _find(self.hashes, hashes)
         return np.where(at >= 0, at, len(self.hashes))
 
+    def single(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words that are a whole item, and these items."""
+        if not len(self.alone_items):
+            return np.empty(0, np.int64), self.alone_items
+        n = np.minimum(numbers, len(self.hashes) - 1)
+        at = np.flatnonzero((numbers < len(self.hashes)) & (self.alone[n] < self.alone[n + 1]))
+        own = np.unique(numbers[at])
+        return at, np.concatenate([np.empty(0, np.int64), *[self.alone_items[self.alone[w] : self.alone[w + 1]] for w in own]])
+
     def occurrences(self, numbers: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Ranges of words that windows cover, and the items whose windows occur."""
         ranges, items, pad = set(), set(), self.size - (self.size + 1) // 2
@@ -187,7 +210,9 @@ def matcher(items: list[tuple[str, str]], size: int) -> Matcher:
     known, numbers = np.unique(flat, return_inverse=True)
     start = np.cumsum(count) - count
 
-    few = np.flatnonzero((count > 0) & (count < size))
+    lone = np.flatnonzero((count == 1) & (size > 2))
+    lone = lone[np.argsort(numbers[start[lone]], kind="stable")]
+    few = np.flatnonzero((count > (size > 2)) & (count < size))
     short = np.full((len(few), max(size - 1, block)), -1, np.int64)
     for c in range(short.shape[1]):
         some = count[few] > c
@@ -210,27 +235,44 @@ def matcher(items: list[tuple[str, str]], size: int) -> Matcher:
     pairs = np.unique(np.column_stack([which.ravel(), item]), axis=0)
     length = (patterns >= 0).sum(1)
     machine = Automaton(patterns, length, max(1, len(known)))
-    return Matcher(size, known, [words[h] for h in known.tolist()], [i for i, _ in items], machine, length, whole, whole_items, _runs(contexts[:, 0], len(patterns)), contexts[:, 1:].astype(np.int32), _runs(pairs[:, 0], len(contexts)), pairs[:, 1])
+    return Matcher(size, known, [words[h] for h in known.tolist()], [i for i, _ in items], machine, length, whole, whole_items, _runs(contexts[:, 0], len(patterns)), contexts[:, 1:].astype(np.int32), _runs(pairs[:, 0], len(contexts)), pairs[:, 1], _runs(numbers[start[lone]], len(known)), lone)
+
+
+def _differ(piece: Piece, at: np.ndarray, numbers: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Whether each word of a piece is another one than its number says."""
+    order = np.argsort(numbers, kind="stable")
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(numbers[order]) != 0])), len(order))
+    out = np.zeros(len(at), bool)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own, word = order[a:b], np.frombuffer(words[numbers[order[a]]], np.uint8)
+        start = piece.start[at[own]]
+        same = piece.end[at[own]] - start == len(word)
+        same[same] = (piece.data[start[same][:, None] + np.arange(len(word))] == word).all(1)
+        out[own] = ~same
+    return out
 
 
 def scan(piece: Piece, row: int, numbers: np.ndarray, m: Matcher) -> tuple[np.ndarray, list[str]]:
     """Places of the hit words among a row's words, and the items that occur; what was found by hashes is compared as words."""
     nothing = np.empty(0, np.int64), []
-    if not len(m.length) or not len(numbers):
+    if not len(m.hashes) or not len(numbers):
         return nothing
     ranges, items = m.occurrences(numbers)
-    if not ranges:
+    alone, own = m.single(numbers)
+    if not ranges and not len(alone):
         return nothing
     hit = np.zeros(len(numbers) + 1, np.int64)
     for a, b in ranges:
         hit[a] += 1
         hit[b] -= 1
-    hit = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
-    first, data = piece.bounds[row], piece.data
-    other = [k for k in hit if data[piece.start[first + k] : piece.end[first + k]].tobytes() != m.words[numbers[k]]]
-    if other:  # another word of the same hash
+    hit = np.cumsum(hit)[:-1] > 0
+    hit[alone] = True
+    items.update(own.tolist())
+    hit = np.flatnonzero(hit)
+    other = _differ(piece, piece.bounds[row] + hit, numbers[hit], m.words)
+    if other.any():  # another word of the same hash
         numbers = numbers.copy()
-        numbers[other] = len(m.hashes)
+        numbers[hit[other]] = len(m.hashes)
         return scan(piece, row, numbers, m)
     return hit, sorted({m.names[k] for k in items})
 
@@ -243,22 +285,35 @@ def _spans(piece: Piece, row: int, hit: np.ndarray) -> list[dict]:
     return [{"start": int(chars[piece.start[first + r[0]] - base]), "end": int(chars[piece.end[first + r[-1]] - base])} for r in np.split(hit, cuts)]
 
 
-def _scanner(shared: Broadcast, text_at: int, names: list[str]):
+def _results(n_words: list[int], hits: list[np.ndarray], found: list[list[str]], spans: list[list[dict]]) -> list[pa.Array]:
+    n, h = np.array(n_words, np.int64), np.array([len(x) for x in hits], np.int64)
+    return [pa.array(n), pa.array(h), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array((h > 0) & (20 * h >= n))]
+
+
+def _scanner(shared: Broadcast, text_at: int, names: list[str], before: bool = False, last: bool = True):
+    """Scans texts for a block of items; ``before``: two more columns hold the hits and items of earlier blocks; not ``last``: they are returned."""
+
     def run(batches):
         m = shared.value
         for batch in slices(batches, text_at):
-            n_words, n_hit, found, spans = [], [], [], []
+            n_words, hits, found, spans = [], [], [], []
             for piece in pieces(batch.column(text_at), ALNUM, LOWER):
                 numbers = m.numbers(piece.hashes())
                 for row in range(piece.rows):
                     hit, own = scan(piece, row, numbers[piece.bounds[row] : piece.bounds[row + 1]], m)
+                    if before:
+                        k = piece.first + row
+                        hit = np.union1d(hit, np.frombuffer(batch.column(len(names))[k].as_py(), np.int64))
+                        own = sorted({*own, *batch.column(len(names) + 1)[k].as_py()})
                     n_words.append(int(piece.count[row]))
-                    n_hit.append(len(hit))
+                    hits.append(hit)
                     found.append(own)
-                    spans.append(_spans(piece, row, hit) if len(hit) else [])
-            n, h = np.array(n_words, np.int64), np.array(n_hit, np.int64)
-            more = [pa.array(n), pa.array(h), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array((h > 0) & (20 * h >= n))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *more], names=[*names, *_RESULT])
+                    spans.append(_spans(piece, row, hit) if last and len(hit) else [])
+            columns = [batch.column(k) for k in range(len(names))]
+            if last:
+                yield pa.RecordBatch.from_arrays([*columns, *_results(n_words, hits, found, spans)], names=[*names, *_RESULT])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([h.astype(np.int64).tobytes() for h in hits], pa.binary()), pa.array(found, pa.list_(pa.string()))], names=[*names, "_hits", "_found"])
         tidy()
 
     return run
@@ -284,8 +339,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, size: int = 13, mos
     without items nothing is contaminated.  Texts of any length are scanned
     whole; rows are judged one by one, so repeated ones get the same result.
 
-    Every Python worker holds the automaton, some 10 bytes for each byte of
-    item text; items of more than ``most_item_bytes`` raise an error.
+    Every Python worker holds an automaton, some 10 bytes for each byte of item
+    text.  Items of more than ``most_item_bytes`` are dealt into blocks of about
+    that size; the documents are scanned once for each, and what a block has hit
+    is written and given to the next.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in _RESULT]
@@ -293,11 +350,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, size: int = 13, mos
     out = docs.select([F.col(f"`{c}`") for c in columns])
     items = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
-    if total > most_item_bytes:
-        raise ValueError(f"{total} bytes of items; an automaton is built for at most {most_item_bytes}")
-    shared = spark.sparkContext.broadcast(matcher([(r["i"], r["t"]) for r in items.orderBy("i", "t").collect()], size))
+    blocks = max(1, -(-total // most_item_bytes))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    return out.mapInArrow(_scanner(shared, columns.index("text"), columns), f"{own}, {', '.join(f'{n} {t}' for n, t in _RESULT.items())}")
+    for b in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
+        shared = spark.sparkContext.broadcast(matcher([(r["i"], r["t"]) for r in some.orderBy("i", "t").collect()], size))
+        last = b == blocks - 1
+        result = ", ".join(f"{n} {t}" for n, t in _RESULT.items()) if last else "_hits binary, _found array<string>"
+        out = out.mapInArrow(_scanner(shared, columns.index("text"), columns, b > 0, last), f"{own}, {result}")
+        out = out if last else stored(out, "contamination")
+    return out
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

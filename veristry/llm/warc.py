@@ -23,7 +23,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import new_folder, parts, stored
@@ -249,19 +249,31 @@ def archive(pages: DataFrame, compression: str = "gzip") -> DataFrame:
     return capture_index(spark, folder)
 
 
+def with_place(index: DataFrame) -> DataFrame:
+    """Adds place long, from 1: where a capture lies in the merged order of all archives, from its part's place and the sizes of the parts before."""
+    merged = stored(index, "merged")
+    sizes = merged.groupBy("merged_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("merged_part", (F.sum("_n").over(Window.orderBy("merged_part")) - F.col("_n")).alias("_before"))  # one row a part
+    return merged.join(F.broadcast(before), "merged_part").withColumn("place", F.col("_before") + F.col("merged_pos") + 1).drop("_before")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = with_place(archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place")
 
 
-OP10_SQL = """
+OP10_SQL = r"""
 WITH p AS (
-  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+  SELECT page_id, regexp_replace(coalesce(url, ''), '#.*$', '') AS u, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ), f AS (
   SELECT payload_digest, min(page_id) AS o FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+), h AS (
+  SELECT page_id, regexp_replace(regexp_extract(u, '^[a-z]+://([^/?:]*)', 1), '^www\.', '') AS host, regexp_extract(u, '^[a-z]+://[^/?]*([^?]*)', 1) AS path, regexp_extract(u, '\?(.+)$', 1) AS query FROM p
+), k AS (
+  SELECT page_id, lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE path WHEN '' THEN '/' ELSE path END || CASE query WHEN '' THEN '' ELSE '?' || query END) AS url_key FROM h
 )
-SELECT page_id, payload_bytes, p.payload_digest,
-  CASE WHEN o IS NOT NULL AND o <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN o <> page_id THEN o END AS refers_to
-FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+SELECT p.page_id, url_key, row_number() OVER (ORDER BY url_key, p.page_id % 2147483648, p.page_id) AS place, payload_bytes, p.payload_digest,
+  CASE WHEN o IS NOT NULL AND o <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN o <> p.page_id THEN o END AS refers_to
+FROM p JOIN k ON k.page_id = p.page_id LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
