@@ -240,16 +240,16 @@ def matcher(items: list[tuple[str, str]], size: int) -> Matcher:
 
 def _differ(piece: Piece, at: np.ndarray, numbers: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Whether each word of a piece is another one than its number says."""
-    order = np.argsort(numbers, kind="stable")
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(numbers[order]) != 0])), len(order))
-    out = np.zeros(len(at), bool)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        own, word = order[a:b], np.frombuffer(words[numbers[order[a]]], np.uint8)
-        start = piece.start[at[own]]
-        same = piece.end[at[own]] - start == len(word)
-        same[same] = (piece.data[start[same][:, None] + np.arange(len(word))] == word).all(1)
-        out[own] = ~same
-    return out
+    size = np.array([len(words[k]) for k in numbers])
+    start = piece.start[at]
+    other = piece.end[at] - start != size
+    size = np.where(other, 0, size)
+    ends = np.cumsum(size)
+    want = np.frombuffer(b"".join([words[k] for k, o in zip(numbers, other, strict=True) if not o]), np.uint8)
+    bad = piece.data[np.repeat(start - (ends - size), size) + np.arange(len(want))] != want
+    if bad.any():
+        other[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = True
+    return other
 
 
 def scan(piece: Piece, row: int, numbers: np.ndarray, m: Matcher) -> tuple[np.ndarray, list[str]]:
@@ -277,17 +277,21 @@ def scan(piece: Piece, row: int, numbers: np.ndarray, m: Matcher) -> tuple[np.nd
     return hit, sorted({m.names[k] for k in items})
 
 
-def _spans(piece: Piece, row: int, hit: np.ndarray) -> list[dict]:
-    """Character ranges of the original text that runs of hit words cover."""
-    cuts = np.flatnonzero(np.diff(hit) > 1) + 1
+def _spans(piece: Piece, row: int, hit: np.ndarray) -> np.ndarray:
+    """Character ranges (start, end) of the original text that runs of hit words cover."""
+    if not len(hit):
+        return np.empty((0, 2), np.int32)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(hit) > 1]))
     base, first = piece.offsets[row], piece.bounds[row]
     chars = np.concatenate([[0], np.cumsum((piece.data[base : piece.offsets[row + 1]] & 0xC0) != 0x80)])
-    return [{"start": int(chars[piece.start[first + r[0]] - base]), "end": int(chars[piece.end[first + r[-1]] - base])} for r in np.split(hit, cuts)]
+    return chars[np.stack([piece.start[first + hit[new]], piece.end[first + hit[np.append(new[1:], len(hit)) - 1]]], 1) - base].astype(np.int32)
 
 
-def _results(n_words: list[int], hits: list[np.ndarray], found: list[list[str]], spans: list[list[dict]]) -> list[pa.Array]:
+def _results(n_words: list[int], hits: list[np.ndarray], found: list[list[str]], spans: list[np.ndarray]) -> list[pa.Array]:
+    flat, ends = np.concatenate([np.empty((0, 2), np.int32), *spans]), np.cumsum([0, *[len(x) for x in spans]]).astype(np.int32)
+    ranges = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], names=["start", "end"]))
     n, h = np.array(n_words, np.int64), np.array([len(x) for x in hits], np.int64)
-    return [pa.array(n), pa.array(h), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array((h > 0) & (20 * h >= n))]
+    return [pa.array(n), pa.array(h), pa.array(found, pa.list_(pa.string())), ranges, pa.array((h > 0) & (20 * h >= n))]
 
 
 def _scanner(shared: Broadcast, text_at: int, names: list[str], before: bool = False, last: bool = True):
@@ -308,7 +312,7 @@ def _scanner(shared: Broadcast, text_at: int, names: list[str], before: bool = F
                     n_words.append(int(piece.count[row]))
                     hits.append(hit)
                     found.append(own)
-                    spans.append(_spans(piece, row, hit) if last and len(hit) else [])
+                    spans.append(_spans(piece, row, hit) if last else hit)
             columns = [batch.column(k) for k in range(len(names))]
             if last:
                 yield pa.RecordBatch.from_arrays([*columns, *_results(n_words, hits, found, spans)], names=[*names, *_RESULT])
