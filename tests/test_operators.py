@@ -220,3 +220,21 @@ def test_latest_table_goes_on_after_a_restart(spark):
     assert rows(table()) == [("a", 3), ("b", 5), ("c", 1)]  # nothing new
     put([("b", 9)])
     assert rows(table()) == [("a", 3), ("b", 9), ("c", 1)]
+
+
+def test_candidate_sites_in_all_forms(spark):
+    from pyspark.sql import functions as F
+
+    from veristry.functions.urls import candidate_urls
+
+    rows = [("Santa Ana Unified School District", "CA"), ("Waco Independent School District", "TX"), ("Clarke County", "GA"), ("East Orange Public Schools", "NJ"), ("County", "CA"), ("", "CA"), (None, "CA"), ("Lee", None), ("Ab Cd", "CA"), ("St. John's Parish", "LA"), ("Élan", "CA")]
+    got = {r.n: list(r.u) for r in spark.createDataFrame(rows, "n string, s string").select("n", candidate_urls(F.col("n"), F.col("s")).alias("u")).collect()}
+    ana = got["Santa Ana Unified School District"]
+    assert ana[:4] == ["https://www.santaana.k12.ca.us", "https://santaana.k12.ca.us", "https://www.santa-ana.k12.ca.us", "https://www.santaanaschools.org"]
+    assert ana[-3:] == ["https://www.santaschools.org", "https://www.santa.k12.ca.us", "https://santa.k12.ca.us"] and len(ana) == len(set(ana)) == 18
+    assert {f"https://www.wacoisd.{e}" for e in ("org", "net", "com")} <= set(got["Waco Independent School District"]) and len(got["Waco Independent School District"]) == 17
+    assert "https://www.clarke.schoolinsites.com" in got["Clarke County"] and "https://www.clarkecounty.schoolinsites.com" in got["Clarke County"]
+    assert "https://www.eastorangeboe.org" in got["East Orange Public Schools"] and "https://www.eastschools.org" in got["East Orange Public Schools"]
+    assert got["County"] == got[""] == got[None] == got["Lee"] == []
+    assert not any("https://www.ab." in u for u in got["Ab Cd"])  # a first word of two letters isn't tried
+    assert got["St. John's Parish"][0] == "https://www.stjohns.k12.la.us" and got["Élan"][0] == "https://www.lan.k12.ca.us"

@@ -81,6 +81,54 @@ def repairs(url: Column) -> Column:
     return F.when(state_only | url.isNull(), none).otherwise(F.filter(F.array_distinct(F.array_compact(found)), lambda x: x != url))
 
 
+# Words that a district's name loses before it is tried as a host, in this order.
+NAME_WORDS = ["school district", "unified", "independent", "public schools", "county", "city", "regional", "consolidated", "area", "parish", "township", "borough", "community", "central", "joint"]
+
+# Forms of candidate hosts, with {j} the name joined, {h} hyphenated, {f} its first word and {s} the state.
+CANDIDATES = [
+    "https://www.{j}.k12.{s}.us", "https://{j}.k12.{s}.us", "https://www.{h}.k12.{s}.us",
+    "https://www.{j}schools.org", "https://www.{j}schools.com", "https://{j}schools.org", "https://www.{j}schools.net",
+    "https://www.{j}.org", "https://www.{j}.com", "https://www.{j}.net", "https://www.{j}.us",
+    "https://www.{j}sd.org", "https://{j}sd.org", "https://www.{j}ps.org",
+]
+STATE_CANDIDATES = {
+    "TX": ["https://www.{j}isd.org", "https://www.{j}isd.net", "https://www.{j}isd.com"],
+    "GA": ["https://www.{j}county.schoolinsites.com", "https://www.{j}.schoolinsites.com"],
+    **{state: ["https://www.{j}boe.org"] for state in ("NY", "NJ", "CT", "MA", "PA")},
+}
+LAST_CANDIDATES = ["https://www.{j}district.org"]
+FIRST_WORD_CANDIDATES = ["https://www.{f}schools.org", "https://www.{f}.k12.{s}.us", "https://{f}.k12.{s}.us"]
+
+
+def candidate_urls(name: Column, state: Column) -> Column:
+    """Array of web sites that an organisation of this name and state code may have, likelier ones first, each once.
+
+    The name is tried without its common words, joined, and for one form
+    hyphenated; its first word alone where it has four letters at least and is
+    not all of the name.  Empty for a null or empty name or state, and for a
+    name of common words only.
+    """
+    base = F.lower(name)
+    for word in NAME_WORDS:
+        base = F.replace(base, F.lit(word), F.lit(""))
+    base = F.trim(F.regexp_replace(F.regexp_replace(base, "schools$", ""), r"[^a-z0-9\s]", ""))
+    base = F.regexp_replace(base, r"^\s+|\s+$", "")
+    joined, hyphened, first = F.regexp_replace(base, r"\s+", ""), F.regexp_replace(base, r"\s+", "-"), F.split_part(F.regexp_replace(base, r"\s+", " "), F.lit(" "), F.lit(1))
+
+    def filled(form: str) -> Column:
+        out = F.lit(form)
+        for mark, value in (("{j}", joined), ("{h}", hyphened), ("{f}", first), ("{s}", F.lower(state))):
+            out = F.replace(out, F.lit(mark), value) if mark in form else out
+        return out
+
+    found = [filled(c) for c in CANDIDATES]
+    found += [F.when(state == s, filled(c)) for s, forms in STATE_CANDIDATES.items() for c in forms]
+    found += [filled(c) for c in LAST_CANDIDATES]
+    found += [F.when((F.length(first) >= 4) & (first != joined), filled(c)) for c in FIRST_WORD_CANDIDATES]
+    none = F.array().cast("array<string>")
+    return F.when((joined == "") | (state == "") | joined.isNull() | state.isNull(), none).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
+
+
 def link_priority(url: Column) -> Column:
     """One for each priority word in the URL, and one for a path of at most two steps."""
     u = F.lower(url)

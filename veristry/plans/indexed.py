@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.urls import CANDIDATES, FIRST_WORD_CANDIDATES, LAST_CANDIDATES, STATE_CANDIDATES, candidate_urls
 from ..operators import assignment, basics, sketches
 from ..operators import text_index as X
+from ..operators import search as S
 from ..operators import vector_index as V
 from ..sources import buckets, files
 from ..streaming.suppression import suppress_stream
 from . import lists  # noqa: F401  (the SQL of its queries is used again)
-from .content import _folder, hundredth
+from .content import REL, _folder, hundredth
 from .registry import ORACLE, query
 
 _built: dict[tuple[str, str, str], object] = {}
@@ -158,3 +160,32 @@ def rank_03(t):
     stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
     gone = suppress_stream(t.spark, stream, folder, days=5)
     return t.districts.select("nces_id").join(gone, "nces_id", "left_anti")
+
+
+STATE_SQL = "CASE k % 5 WHEN 0 THEN 'TX' WHEN 1 THEN 'GA' WHEN 2 THEN 'NY' WHEN 3 THEN 'PA' ELSE 'CA' END"
+NAME_SQL = "concat(CASE k % 3 WHEN 0 THEN 'St. ' WHEN 1 THEN 'Lake County ' ELSE '' END, district_name, CASE WHEN k % 7 = 0 THEN ' Schools' ELSE '' END)"
+
+
+def _candidates_sql() -> str:
+    forms = [(c, "true") for c in [*CANDIDATES, *LAST_CANDIDATES]] + [(c, f"st = '{s}'") for s, own in STATE_CANDIDATES.items() for c in own] + [(c, "length(f) >= 4 AND f <> j") for c in FIRST_WORD_CANDIDATES]
+    each = " UNION ALL ".join(f"SELECT nces_id, replace(replace(replace(replace('{c}', '{{j}}', j), '{{h}}', h), '{{f}}', f), '{{s}}', lower(st)) AS url FROM n WHERE {where}" for c, where in forms)
+    return rf"""WITH b AS (
+  SELECT nces_id, {STATE_SQL} AS st, trim(regexp_replace(regexp_replace(regexp_replace(lower({NAME_SQL}), 'school district|unified|public schools|county|area', '', 'g'), 'schools$', ''), '[^a-z0-9\s]', '', 'g')) AS b FROM districts
+), n AS (
+  SELECT nces_id, st, regexp_replace(b, '\s+', '', 'g') AS j, regexp_replace(b, '\s+', '-', 'g') AS h, regexp_extract(b, '^\S*', 0) AS f FROM b WHERE b <> ''
+)
+SELECT DISTINCT nces_id, url FROM ({each})"""
+
+
+@query("url_08_all_forms", _candidates_sql(), "districts")
+def url_08(t):
+    return t.districts.select("nces_id", F.explode(candidate_urls(F.expr(NAME_SQL), F.expr(STATE_SQL))).alias("url"))
+
+
+@query("rank_09_semantic", f"WITH {REL} SELECT s.nces_id, 'semantic_max=' || format('{{:.3f}}', coalesce(top, 0)) || '|total_score=' || format('{{:.3f}}', total) AS signals FROM scores s JOIN r ON r.nces_id = s.nces_id".replace("{{", "{").replace("}}", "}"), "vectors scores")
+def rank_09(t):
+    near = S.entity_relevance(t.vectors, S.query_vector(t.vectors, 0), floor=0.1)
+    rows = t.scores.join(near, "nces_id").withColumn("confidence", F.lit(1.0))
+    none = t.spark.createDataFrame([], "nces_id string, category string, adjusted double, doc_id long, keyword string, context string")
+    shown = F.filter("signals", lambda x: x["signal"].isin("semantic_max", "total_score"))
+    return S.explain(rows, none, 0.6).select("nces_id", F.array_join(F.transform(shown, lambda x: F.concat(x["signal"], F.lit("="), F.format_string("%.3f", x["weight"]))), "|").alias("signals"))
