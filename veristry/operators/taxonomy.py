@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import Patterns
 from ..functions.texts import outreach_tier, recency, specificity
 
 CATEGORIES = ("readiness", "alignment", "activation", "branding")
@@ -18,15 +19,17 @@ def match_taxonomy(docs: DataFrame, taxonomy: list[tuple[str, str, str, float, b
 
     ``docs`` has doc_id, nces_id, extracted_text, document_url,
     document_category, discovered_at and crawled_at.  The text is not
-    multiplied: one pattern of all rules out most texts, the others are looked
-    through once for each keyword, and the place of a keyword is looked for
-    only where it occurs.
+    multiplied: one pass finds which of the patterns' literals it holds, only
+    the patterns whose literal occurs are then matched, and the place of a
+    keyword is looked for only where it occurs.
     """
-    text = F.lower("extracted_text")
-    hits = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("keyword"), F.lit(float(w)).alias("weight"), F.lit(bool(e)).alias("exact"), F.regexp_count(text, F.lit(p)).alias("count"), F.lit(p).alias("pattern")) for c, n, p, w, e in taxonomy])
+    text, known = F.col("_text"), Patterns([p for _, _, p, _, _ in taxonomy])
+    count = lambda k, p: F.when(known.may_match(F.col("_found"), k), F.regexp_count(text, F.lit(p))).otherwise(0)
+    hits = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("keyword"), F.lit(float(w)).alias("weight"), F.lit(bool(e)).alias("exact"), count(k, p).alias("count"), F.lit(p).alias("pattern")) for k, (c, n, p, w, e) in enumerate(taxonomy)])
     factor = recency(F.col("crawled_at"), F.lit(as_of).cast("timestamp")) * specificity(F.col("document_url"), F.col("document_category"))
-    some = docs.where(text.rlike("|".join(f"(?:{p})" for _, _, p, _, _ in taxonomy)))
-    rows = some.select("doc_id", "nces_id", "discovered_at", text.alias("_text"), factor.alias("_factor"), F.explode(F.filter(hits, lambda x: x["count"] > 0)).alias("m"))
+    rows = docs.where("extracted_text IS NOT NULL").select("doc_id", "nces_id", "discovered_at", F.lower("extracted_text").alias("_text"), factor.alias("_factor"))
+    some = rows.withColumn("_found", known.found(text)).where(known.any_may_match(F.col("_found")))
+    rows = some.select("*", F.explode(F.filter(hits, lambda x: x["count"] > 0)).alias("m"))
     first = F.expr("regexp_extract(_text, m.pattern, 0)")
     return rows.select("doc_id", "nces_id", "discovered_at", "m.category", "m.keyword", "m.exact", "m.count", "m.weight", (F.col("m.weight") * F.col("_factor")).alias("adjusted"), context(F.col("_text"), first).alias("context"))
 
