@@ -29,7 +29,7 @@ from .words import LOWER, Piece, begins, gathered, mix
 
 LONGEST = 4
 #: Bytes of text whose windows are folded at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -106,7 +106,7 @@ def _packer(n_parts: int, least: int):
             for a, b in zip(cuts, cuts[1:], strict=False):
                 own, inverse = np.unique(codes[1:, a:b], return_inverse=True)
                 own, inverse = (own[1:], inverse) if own[0] == 0 else (own, inverse + 1)
-                packed = np.concatenate([codes[:1, a:b], inverse.reshape(LONGEST, -1)]).astype(np.int32)
+                packed = np.concatenate([codes[:1, a:b], inverse.reshape(LONGEST, -1)]).astype(np.uint16 if max(len(own), len(names)) < 1 << 16 else np.uint32)
                 out.append((int(part[a]), names.tolist(), b" ".join(bare[own]), packed.tobytes(), count[a:b].astype(np.int32).tobytes(), np.packbits(open_[a:b]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
             del codes, count, pair, open_, at, part, bare, words, out
@@ -117,28 +117,39 @@ def _packer(n_parts: int, least: int):
 
 def _shortener(least: int):
     def run(table: pa.Table) -> pa.Table:
-        words, langs, codes, counts, opens = [], [], [], [], []
+        texts, sizes, langs, codes, counts, opens = [np.empty(0, np.uint8)], [np.zeros(1, np.int64)], [], [], [], []
         n_words, n_langs = 0, 0
-        for row in table.select(["langs", "words", "codes", "counts", "open"]).to_pylist():
-            own = row["words"].split(b" ") if row["words"] else []
-            c = np.frombuffer(row["codes"], np.int32).reshape(1 + LONGEST, -1).astype(np.int64)
-            c[0] += n_langs
-            c[1:] += np.where(c[1:] > 0, n_words, 0)
-            codes.append(c)
-            counts.append(np.frombuffer(row["counts"], np.int32))
-            opens.append(np.unpackbits(np.frombuffer(row["open"], np.uint8), count=c.shape[1]).astype(bool))
-            words += own
-            langs += row["langs"]
-            n_words, n_langs = n_words + len(own), n_langs + len(row["langs"])
-        named, spelt = pa.array(langs, pa.string()).dictionary_encode(), pa.array(words, pa.binary()).dictionary_encode()
-        del words, langs
-        again = np.concatenate([np.zeros(1, np.int64), spelt.indices.to_numpy().astype(np.int64) + 1])
+        for batch in table.to_batches():
+            for r in range(batch.num_rows):
+                words, packed, count, whole = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("words", np.uint8), ("codes", np.uint8), ("counts", np.int32), ("open", np.uint8)))
+                n = len(count)
+                c = packed.view(np.uint16 if len(packed) == 2 * (1 + LONGEST) * n else np.uint32).reshape(1 + LONGEST, n).astype(np.int32)
+                c[0] += n_langs
+                c[1:] += np.where(c[1:] > 0, n_words, 0).astype(np.int32)
+                codes.append(c)
+                counts.append(count)
+                opens.append(np.unpackbits(whole, count=n).astype(bool))
+                gaps = np.flatnonzero(words == 0x20)
+                texts.append(np.delete(words, gaps))
+                sizes.append(np.diff(np.concatenate([[-1], gaps, [len(words)]])) - 1)
+                own = batch.column("langs")[r].as_py()
+                langs += own
+                n_words, n_langs = n_words + len(gaps) + 1, n_langs + len(own)
+        named = pa.array(langs, pa.string()).dictionary_encode()
+        ends, flat = np.cumsum(np.concatenate(sizes)).astype(np.int32), np.concatenate(texts)
+        spelt = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+        del texts, sizes
+        again = np.concatenate([np.zeros(1, np.int32), spelt.indices.to_numpy() + 1]).astype(np.int32)
         codes, count, open_ = np.concatenate(codes, 1), np.concatenate(counts).astype(np.int64), np.concatenate(opens)
         codes[0] = named.indices.to_numpy()[codes[0]]
-        codes[1:] = again[codes[1:]]
-        a, b = (np.unique(codes[0] * (len(spelt.dictionary) + 1) + codes[1], return_inverse=True)[1] << 32) | codes[2], (codes[3] << 32) | codes[4]
+        for c in codes[1:]:
+            c[:] = again[c]
+        first = np.unique(codes[0].astype(np.int64) * (len(spelt.dictionary) + 1) + codes[1], return_inverse=True)[1]
+        a, b = (first << 32) | codes[2], (codes[3].astype(np.int64) << 32) | codes[4]
+        del first
         order = np.lexsort((b, a))
         codes, count, open_, a, b = codes[:, order], count[order], open_[order], a[order], b[order]
+        del order
         # the runs of equal beginnings of 1 to 4 words, and how long each window's longest frequent beginning is
         runs = [begins(a >> 32), begins(a), begins(a, b >> 32), begins(a, b)]
         keep = np.ones(len(a), np.int8)
@@ -176,7 +187,7 @@ def count_phrases(docs: DataFrame, least: int = 30) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n_parts = parts(spark, total)
+    n_parts = parts(spark, 8 * total)  # windows take some three times their text, and a part's are unpacked as a whole
     packed = rows.mapInArrow(_packer(n_parts, least), "part int, langs array<string>, words binary, codes binary, counts binary, open binary")
     names = [f"w{k}" for k in range(1, LONGEST + 1)]
     windows = packed.groupBy("part").applyInArrow(_shortener(least), "lang string, " + ", ".join(f"{n} string" for n in names) + ", c long")
