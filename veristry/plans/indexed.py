@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.urls import CANDIDATES, FIRST_WORD_CANDIDATES, LAST_CANDIDATES, STATE_CANDIDATES, candidate_urls
-from ..operators import assignment, basics, sketches
+from ..operators import assignment, basics, markup, sketches
 from ..operators import text_index as X
 from ..operators import search as S
 from ..operators import vector_index as V
@@ -189,3 +189,13 @@ def rank_09(t):
     none = t.spark.createDataFrame([], "nces_id string, category string, adjusted double, doc_id long, keyword string, context string")
     shown = F.filter("signals", lambda x: x["signal"].isin("semantic_max", "total_score"))
     return S.explain(rows, none, 0.6).select("nces_id", F.array_join(F.transform(shown, lambda x: F.concat(x["signal"], F.lit("="), F.format_string("%.3f", x["weight"]))), "|").alias("signals"))
+
+
+@query("src_07_nested_tables", "WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1, 'is')) AS x, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1, 'is'), 1) - 1 AS i FROM pages), c AS (SELECT page_id, i, trim(regexp_replace(x, '<[^>]+>', '', 'g')) AS x FROM r) SELECT page_id, 1 AS depth, i::INTEGER AS row_no, replace(x, '&amp;', '&') || '|' || page_id AS cells FROM c UNION ALL SELECT page_id, 0, 0, 'links||last' FROM c GROUP BY page_id", "pages")
+def src_07(t):
+    """The pages' lists as tables inside a table: no cell or row is closed, and the first row's last cell spans all rows."""
+    rows = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1), "<li>", "<tr><td>"), "</li>", "")
+    spanned = F.regexp_replace(rows, "(?s)^<tr>(.*?)(?=<tr>|$)", "<tr>$1<td rowspan=0>")
+    spanned = F.replace(spanned, F.lit("<td rowspan=0>"), F.concat(F.lit("<td rowspan=0>"), F.col("page_id").cast("string")))
+    pages = t.pages.select("page_id", F.concat(F.lit("<table><tr><td>links<td><table>"), spanned, F.lit("</table><td>last</table>")).alias("html"))
+    return markup.nested_table_rows(pages).select("page_id", "depth", "row_no", F.array_join("cells", "|").alias("cells"))
