@@ -340,7 +340,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, size: int = 13, mos
 
     Null or empty text: no words, not contaminated.  Items with a null id, null
     text or no words match nothing; items with equal text all occur together;
-    without items nothing is contaminated.  Texts of any length are scanned
+    without items nothing is contaminated; without
+    documents there are no rows.  Texts of any length are scanned
     whole; rows are judged one by one, so repeated ones get the same result.
 
     Every Python worker holds an automaton, some 10 bytes for each byte of item

@@ -218,7 +218,8 @@ def identify(docs: DataFrame, model: Model | None, *, doubt: float = 0.5) -> Dat
     named like a result column are replaced.  A null or empty text, or one
     without a letter, is ``und`` with score 0 and isn't ambiguous; without a
     model (no labelled row to learn from) every text is ``und``.  Whole texts
-    are read, of any length.
+    are read, of any length; rows are judged one by one, so repeated ones get the
+    same result, and an empty table gives no rows.
     """
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     small_batches(docs.sparkSession)

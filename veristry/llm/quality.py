@@ -161,7 +161,9 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
 
     ``docs`` has text (string); other columns are carried along, but one named
     score is replaced.  A null or empty text has no features and gets the
-    bias's score; without a model every score is 0.5.  Whole texts count.
+    bias's score; without a model every score is 0.5.  Whole texts count,
+    however long; rows are scored one by one, so repeated ones get the same score,
+    and an empty table gives no rows.
     """
     columns = [c for c in docs.columns if c != "score"]
     small_batches(docs.sparkSession)

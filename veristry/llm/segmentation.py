@@ -583,7 +583,9 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, seed: int = 0, decoded
 
     Null text gives one row without ids, an empty text one empty segmentation.
     Rows of the same doc_id and text get the same samples; a null doc_id
-    counts as -1.
+    counts as -1; an empty table gives no rows.  Texts of any length are sampled
+    as a whole, which takes a task some 130 bytes of memory for each byte of a
+    text with spaces and some 280 for one without.
     """
     if k < 1:
         raise ValueError("k is at least 1")
