@@ -81,7 +81,6 @@ def texts():
 
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory, texts):
-    text_index.PIECE_BYTES = 300
     df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, term int")
     return text_index.build_index(df, str(tmp_path_factory.mktemp("text") / "index"), buckets=5)
 
@@ -98,6 +97,17 @@ def test_postings_hold_every_place(index, texts):
     assert {r.term: r.df for r in index.terms.collect()} == df
 
 
+@pytest.mark.parametrize("size", [1, 60, 1 << 20])
+def test_texts_may_be_cut_into_any_pieces(monkeypatch, texts, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_index, "PIECE_BYTES", size)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], pa.int64()), pa.array([t and t.lower() for _, t in texts])], names=["doc_id", "text"])
+    found = [r for part in text_index._indexer(iter([batch.slice(0, 50), batch.slice(50)])) for r in part.to_pylist()]
+    own = {(r["doc_id"], r["term"]): r["places"] for r in found}
+    assert len(own) == len(found) and own == {(i, w): [k for k, x in enumerate(words(t)) if x == w] for i, t in texts for w in set(words(t))}
+
+
 def test_searches_are_those_of_the_texts(index, texts):
     own = {i: words(t) for i, t in texts if i is not None}
     near = lambda w, a, b, n: any(b in w[k + 1 : k + 1 + n] for k, x in enumerate(w) if x == a)
