@@ -238,3 +238,37 @@ def test_candidate_sites_in_all_forms(spark):
     assert got["County"] == got[""] == got[None] == got["Lee"] == []
     assert not any("https://www.ab." in u for u in got["Ab Cd"])  # a first word of two letters isn't tried
     assert got["St. John's Parish"][0] == "https://www.stjohns.k12.la.us" and got["Élan"][0] == "https://www.lan.k12.ca.us"
+
+
+def plain_jaro_winkler(a, b):
+    """By definition: letters that agree within half the longer length, transposed pairs, and a common beginning of four at most."""
+    if not a or not b:
+        return 0.0
+    reach, met = max(len(a), len(b)) // 2 - 1, [False] * len(b)
+    mine = []
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not met[j] and b[j] == x:
+                met[j] = True
+                mine.append(x)
+                break
+    if not mine:
+        return 1.0 if a == b else 0.0
+    theirs = [x for x, m in zip(b, met, strict=True) if m]
+    turned = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2  # a half counts
+    j = (len(mine) / len(a) + len(mine) / len(b) + (len(mine) - turned) / len(mine)) / 3
+    same = next((k for k in range(4) if a[k : k + 1] != b[k : k + 1] or k >= min(len(a), len(b))), 4)
+    return j + 0.1 * same * (1 - j)
+
+
+def test_similarity_query_is_that_of_brute_force(spark):
+    from veristry.plans import more  # noqa: F401
+    from veristry.plans.registry import QUERIES, Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    districts = [(d.nces_id, d.state, d.city, d.district_name) for d in t.districts.collect()]
+    want = {(r.id, n): plain_jaro_winkler(r.district_name.lower(), name) for r in t.registry.collect() for n, s, c, name in districts if (s, c) == (r.state, r.city)}
+    got = {(r.id, r.nces_id): r.s for r in QUERIES["match_03_similarity"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(want) and len(got) > 50
+    bad = {k: (got[k], want[k]) for k in got if abs(got[k] - want[k]) > 2e-6}
+    assert not bad, list(bad.items())[:3]
