@@ -29,7 +29,7 @@ from .shared import small_batches, tidy
 from .words import _BASE, mix, powers, raw, slices
 
 OFFSET = 10.0
-_SLICE = 3 << 18
+_SLICE = 1 << 19
 _SPACE = 0x20
 #: Brings what differs in a hash into its first bits.
 _SPREAD = 0x9E3779B97F4A7C15
