@@ -272,3 +272,37 @@ def test_similarity_query_is_that_of_brute_force(spark):
     assert set(got) == set(want) and len(got) > 50
     bad = {k: (got[k], want[k]) for k in got if abs(got[k] - want[k]) > 2e-6}
     assert not bad, list(bad.items())[:3]
+
+
+@pytest.mark.parametrize("cut", [0.0, 0.8, 0.9])
+@pytest.mark.parametrize("longest", [12, 80])
+def test_tiles_of_names_equal_single_names(cut, longest):
+    rng = random.Random(longest)
+    word = lambda: "".join(rng.choices("abcdé ", k=rng.randrange(longest)))
+    a, b = ([*(word() for _ in range(70)), "", "abc"] for _ in range(2))
+    want = {(i, j): names.jaro_winkler(x, y) for i, x in enumerate(a) for j, y in enumerate(b)}
+    found = lambda best: {(int(i), int(j)): s for i, j, s in zip(*names.similar_in_tile(np.array(a, object), np.array(b, object), cut, best), strict=True)}
+    assert found(False) == {k: s for k, s in want.items() if s >= cut}
+    top = [max(round(want[i, j], 9) for j in range(len(b))) for i in range(len(a))]
+    assert found(True) == {(i, j): s for (i, j), s in want.items() if s >= cut and round(s, 9) == top[i]}
+
+
+def test_classes_are_all_pairs_once(spark):
+    registry = spark.createDataFrame([(*r, "c") for r in [*REGISTRY, (7, "S1", "NORTH UNION", None)]], "id long, state string, district_name string, email string, city string")
+    baseline = spark.createDataFrame([(*r, "c") for r in [*BASELINE, ("18", "S1", "NORTH A")]], "nces_id string, state string, district_name string, city string")
+    units = spark.createDataFrame([("north union", ["north a", "north b distric"])], "unit string, names array<string>")
+
+    def expanded(df):
+        side = lambda kind, *columns: df.where(f"kind = '{kind}'").select(*columns)
+        pairs = side("pair", "row_class", "district_class") if "name" not in df.columns else side("name", "row_class", "state", "name").join(side("pair", "state", "name", "district_class"), ["state", "name"])
+        out = side("row", "id", "row_class").join(pairs, "row_class").join(side("district", "nces_id", "district_class"), "district_class")
+        return {(r.id, r.nces_id) for r in out.collect()}
+
+    classes = matching.map_units(registry, units, baseline, classes=True)
+    assert expanded(classes) == {(r.id, r.nces_id) for r in matching.map_units(registry, units, baseline).collect()}
+    assert (7, "18") in expanded(classes) and classes.where("kind = 'pair'").count() == 3
+    alike = matching.similar_in_block(registry, baseline, ["state", "city"], 0.7, classes=True)
+    assert expanded(alike) == {(r.id, r.nces_id) for r in matching.similar_in_block(registry, baseline, ["state", "city"], 0.7).collect()}
+    both = matching.match_with_hints(registry, units, baseline, classes=True)
+    others = {(r.id, r.nces_id) for r in both.where("kind = 'match'").collect()}
+    assert expanded(both) | others == {(r.id, r.nces_id) for r in matching.match_with_hints(registry, units, baseline).collect()} and others
