@@ -209,10 +209,7 @@ def src_12(t):
 # No SQL: the other engine rounds the number of transpositions down.
 @query("match_03_similarity")
 def match_03(t):
-    from ..functions.names import similarity
-
-    r = t.registry.select("id", "state", "city", F.lower("district_name").alias("a"))
-    return r.join(t.districts.select("nces_id", "state", "city", F.col("district_name").alias("b")), ["state", "city"]).select("id", "nces_id", F.round(similarity("a", "b"), 6).alias("s"))
+    return M.similarities(t.registry, t.districts, ["state", "city"]).withColumn("s", F.round("s", 6))
 
 
 @query("match_06_exact_id", "SELECT r.id, d.nces_id FROM registry r JOIN districts d ON r.state_district_id = d.nces_id WHERE r.state = d.state", "registry districts")
