@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from veristry.operators import basics, search, sketches
 from veristry.streaming.suppression import suppress_stream
 
@@ -109,3 +111,14 @@ def test_suppression_ends_by_itself_and_is_that_of_the_batch(spark, tmp_path):
     assert state.count() == 1  # and holds no state
     again = suppress_stream(spark, stream(), str(tmp_path / "job"), days=5, buckets=4).collect()
     assert again == got
+
+
+def test_distinct_values_are_counted_exactly_over_batches(spark):
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/exact-{random.random()}"
+    rows = spark.range(90000).selectExpr("if(id % 2 = 0, 'even', null) AS g", "cast(id % 60001 AS string) AS k", "id % 3 AS b")
+    rows = rows.unionByName(spark.sql("SELECT 'none' AS g, cast(null AS string) AS k, 1L AS b"))
+    for batch in (0, 1, 2, 2):
+        sketches.add_batch(rows.where(f"b = {batch}"), path, f"b{batch}", ["g"], exact=["k"])
+    count = lambda which: {r.g: r.distinct_k for r in sketches.merged(spark, path, ["g"], batches=which, exact=["k"]).collect()}
+    want = lambda own: {r.g: r.n for r in rows.where(own).groupBy("g").agg(F.count_distinct("k").alias("n")).collect()}
+    assert count(None) == want("true") and count(["b0", "b2"]) == want("b <> 1")

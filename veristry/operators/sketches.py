@@ -27,17 +27,23 @@ def summarise(rows: DataFrame, by: list[str], *, distinct: list[str] = (), numbe
     return rows.groupBy(*by).agg(*aggs)
 
 
-def add_batch(rows: DataFrame, path: str, batch: str, by: list[str], **what) -> None:
-    """Writes a batch's summary to the table at ``path``; one that is written again replaces itself and no other."""
+def add_batch(rows: DataFrame, path: str, batch: str, by: list[str], *, exact: list[str] = (), **what) -> None:
+    """Writes a batch's summary to the table at ``path``; one that is written again replaces itself and no other.
+
+    Of ``exact`` columns it also keeps the batch's distinct values, in a table beside.
+    """
     summarise(rows, by, **what).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    for c in exact:
+        rows.where(F.col(c).isNotNull()).select(*by, c).distinct().write.mode("overwrite").parquet(f"{path}-{c}/batch={batch}")
 
 
-def merged(spark: SparkSession, path: str, by: list[str], quantiles: tuple[float, ...] = (0.5, 0.9), batches: list[str] | None = None) -> DataFrame:
+def merged(spark: SparkSession, path: str, by: list[str], quantiles: tuple[float, ...] = (0.5, 0.9), batches: list[str] | None = None, exact: list[str] = ()) -> DataFrame:
     """The statistics of all batches at ``path`` (or of some), from their summaries alone.
 
     Gives, for each group, the sums of the counts, distinct_<column> estimates,
     and mean_, min_, max_ and q<percent>_ of the numbers; a group without a
-    number has null there.
+    number has null there.  Of ``exact`` columns distinct_<column> is the exact
+    count, from the batches' distinct values.
     """
     rows = spark.read.parquet(path)
     rows = rows if batches is None else rows.where(F.col("batch").cast("string").isin(batches))
@@ -55,4 +61,11 @@ def merged(spark: SparkSession, path: str, by: list[str], quantiles: tuple[float
             some = F.col(f"_c_{name}") > 0
             out += [F.when(some, F.col(f"_s_{name}") / F.col(f"_c_{name}")).alias(f"mean_{name}"), f"min_{name}", f"max_{name}"]
             out += [F.when(some, F.kll_sketch_get_quantile_double(f"_q_{name}", F.lit(q))).alias(f"q{round(100 * q)}_{name}") for q in quantiles]
-    return rows.groupBy(*by).agg(*aggs).select(*out)
+    found = rows.groupBy(*by).agg(*aggs).select(*out)
+    for c in exact:
+        values = spark.read.parquet(f"{path}-{c}")
+        values = values if batches is None else values.where(F.col("batch").cast("string").isin(batches))
+        n = values.select(*by, c).distinct().groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.count("*").alias(f"distinct_{c}"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+        found = found.join(n, same, "left").drop(*[f"_{k}" for k in by]).fillna(0, [f"distinct_{c}"])
+    return found
