@@ -246,6 +246,16 @@ def test_words_are_a_distribution(network):
     assert np.bincount(text, own, minlength=len(n_words)) + end == pytest.approx(whole, abs=1e-3)
 
 
+def test_score_does_not_depend_on_a_texts_place(network):
+    """Every text by itself, and after others in one batch, to the last bit."""
+    net, _, (codes, n_words, flat, n_pieces), _ = network
+    own, end = net.words(codes, n_words, flat, n_pieces)
+    bounds = np.concatenate([[0], np.cumsum(n_words)])
+    for k in range(len(n_words)):
+        alone, alone_end = net.words(codes[bounds[k] : bounds[k + 1]], n_words[k : k + 1], flat, n_pieces)
+        assert (alone == own[bounds[k] : bounds[k + 1]]).all() and alone_end[0] == end[k]
+
+
 def brute_counts(rows):
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0

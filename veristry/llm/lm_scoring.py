@@ -140,7 +140,9 @@ class Network:
             now = own[:, None] + ahead
             there = now + 1 < end[:, None]
             now = now[there]
-            z = h[there] @ out
+            # a product for each window: a row of one for all depends, in its last bits, on where it lies
+            z = np.matmul(h, out)
+            z = z.reshape(-1, z.shape[2]) if there.all() else z[there]
             z += bias
             picked = z[np.arange(len(z)), kind[now + 1]]
             np.exp(z, out=z)
@@ -154,12 +156,12 @@ class Network:
         """The network's log probability of each word of texts, and of each text's end."""
         ids, start = sequences(codes, n_words, pieces, n_pieces)
         found, stop = self.places(ids, start)
-        run = np.concatenate([[0.0], np.cumsum(found)])
         size = n_pieces[codes]
         text = np.repeat(np.arange(len(n_words)), n_words)
         first = np.cumsum(size) - size + 2 * text + 1  # a start and the ends of texts lie between
         last = first + size - 1
-        own = run[last] - run[first - 1] - stop[first - 1] + stop[last]
+        # sums of a word's own places, not differences of running sums, which depend on what lies before
+        own = np.add.reduceat(found, np.stack([first - 1, last], 1).ravel())[::2] - stop[first - 1] + stop[last] if len(codes) else np.empty(0)
         end = start[1:] - 2
         return own, found[end] - stop[end]
 
