@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..functions.urls import host, link_priority
 
 
@@ -71,6 +73,18 @@ def with_hash(docs: DataFrame, cap: int = 100_000) -> DataFrame:
     return clean.withColumns({"full_length": F.length("text"), "content_hash": F.sha2("text", 256)}).withColumn("text", F.substring("text", 1, cap))
 
 
+def _chunker(cut: Callable[[str], list[str]]):
+    """(doc_id, text) -> a row for each chunk; few texts at a time, as a batch's chunks take several times its bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                rows = [(d, i, c) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, c in enumerate(cut(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "chunk_index", "chunk"])
+
+    return run
+
+
 def pack_sentences(text: str, most: int = 1500, least: int = 50) -> list[str]:
     """Sentences of a text with single spaces, packed greedily into chunks; a longer sentence is packed by words, a longer word stands alone."""
     chunks, open_ = [], ""
@@ -94,13 +108,8 @@ def chunk_sentences(docs: DataFrame, most: int = 1500, least: int = 50) -> DataF
     is kept.  Takes time in proportion to the text, of any length.
     """
 
-    def run(batches):
-        for batch in batches:
-            rows = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, c in enumerate(pack_sentences(t, most, least))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "chunk_index", "chunk"])
-
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), flat.alias("text")).mapInArrow(run, "doc_id long, chunk_index int, chunk string")
+    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), flat.alias("text")).mapInArrow(_chunker(lambda t: pack_sentences(t, most, least)), "doc_id long, chunk_index int, chunk string")
 
 
 def split_recursive(text: str, most: int = 6000, overlap: int = 800, least: int = 100) -> list[str]:
@@ -131,13 +140,8 @@ def split_recursive(text: str, most: int = 6000, overlap: int = 800, least: int
 def chunk_recursive(docs: DataFrame, most: int = 6000, overlap: int = 800, least: int = 100, cap: int | None = None) -> DataFrame:
     """(doc_id, chunk_index, chunk) of whole texts, or of their first ``cap`` characters, in Arrow batches."""
 
-    def run(batches):
-        for batch in batches:
-            rows = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, c in enumerate(split_recursive(t, most, overlap, least))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "chunk_index", "chunk"])
-
     text = F.col("text") if cap is None else F.substring("text", 1, cap).alias("text")
-    return docs.where("text is not null").select("doc_id", text).mapInArrow(run, "doc_id long, chunk_index int, chunk string")
+    return docs.where("text is not null").select("doc_id", text).mapInArrow(_chunker(lambda t: split_recursive(t, most, overlap, least)), "doc_id long, chunk_index int, chunk string")
 
 
 def pending(docs: DataFrame, vectors: DataFrame, kind: str | None = None, least: int = 100) -> DataFrame:
