@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,10 +69,12 @@ def found_literals(text: Column, literals: list[str]) -> Column:
     """
     known = tuple(literals)
 
-    @F.pandas_udf("array<int>")
-    def find(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def find(texts: pa.Array) -> pa.Array:
         machine = _automaton(known)
-        return texts.map(lambda t: [] if t is None else sorted({k for _, k in machine.iter(t)}))
+        # one text at a time: a batch's as Python's strings take several times its bytes
+        own = (t.as_py() for t in texts)
+        return pa.array([[] if t is None else sorted({k for _, k in machine.iter(t)}) for t in own], pa.list_(pa.int32()))
 
     return find(text)
 
