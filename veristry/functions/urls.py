@@ -113,20 +113,27 @@ def candidate_urls(name: Column, state: Column) -> Column:
         base = F.replace(base, F.lit(word), F.lit(""))
     base = F.trim(F.regexp_replace(F.regexp_replace(base, "schools$", ""), r"[^a-z0-9\s]", ""))
     base = F.regexp_replace(base, r"^\s+|\s+$", "")
-    joined, hyphened, first = F.regexp_replace(base, r"\s+", ""), F.regexp_replace(base, r"\s+", "-"), F.split_part(F.regexp_replace(base, r"\s+", " "), F.lit(" "), F.lit(1))
-
-    def filled(form: str) -> Column:
-        out = F.lit(form)
-        for mark, value in (("{j}", joined), ("{h}", hyphened), ("{f}", first), ("{s}", F.lower(state))):
-            out = F.replace(out, F.lit(mark), value) if mark in form else out
-        return out
-
-    found = [filled(c) for c in CANDIDATES]
-    found += [F.when(state == s, filled(c)) for s, forms in STATE_CANDIDATES.items() for c in forms]
-    found += [filled(c) for c in LAST_CANDIDATES]
-    found += [F.when((F.length(first) >= 4) & (first != joined), filled(c)) for c in FIRST_WORD_CANDIDATES]
     none = F.array().cast("array<string>")
-    return F.when((joined == "") | (state == "") | joined.isNull() | state.isNull(), none).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
+
+    def parts(b: Column) -> Column:
+        first = F.split_part(F.regexp_replace(b, r"\s+", " "), F.lit(" "), F.lit(1))
+        return F.struct(F.regexp_replace(b, r"\s+", "").alias("j"), F.regexp_replace(b, r"\s+", "-").alias("h"), first.alias("f"), F.lower(state).alias("s"), state.alias("state"))
+
+    def forms(x: Column) -> Column:
+        def filled(form: str) -> Column:
+            out = F.lit(form)
+            for mark in ("j", "h", "f", "s"):
+                out = F.replace(out, F.lit(f"{{{mark}}}"), x[mark]) if f"{{{mark}}}" in form else out
+            return out
+
+        found = [filled(c) for c in CANDIDATES]
+        found += [F.when(x["state"] == s, filled(c)) for s, own in STATE_CANDIDATES.items() for c in own]
+        found += [filled(c) for c in LAST_CANDIDATES]
+        found += [F.when((F.length(x["f"]) >= 4) & (x["f"] != x["j"]), filled(c)) for c in FIRST_WORD_CANDIDATES]
+        return F.when((x["j"] == "") | (x["state"] == "") | x["j"].isNull() | x["state"].isNull(), none).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
+
+    # arrays of one, so that the name is cut up once for a row and not once for each form
+    return F.transform(F.transform(F.array(base), parts), forms)[0]
 
 
 def link_priority(url: Column) -> Column:
