@@ -57,7 +57,7 @@ class Vocabulary:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` that are pieces, and their ids."""
-        k = self.only[h >> np.uint64(44)]
+        k = self.only[_top(h)]
         at = np.flatnonzero(k != -1)
         k = k[at]
         several = np.flatnonzero(k == -2)
@@ -66,6 +66,11 @@ class Vocabulary:
         return at[found], self.ids[k[found]]
 
 
+def _top(h: np.ndarray) -> np.ndarray:
+    """Hashes' first 20 bits, as indexes that numpy need not convert."""
+    return (h >> np.uint64(44)).view(np.int64)
+
+
 def _hash(data: bytes) -> int:
     total, power = 0, 1
     for b in data:
@@ -144,7 +149,7 @@ def _found(v: Vocabulary, x: np.ndarray, heads: np.ndarray, left: np.ndarray) ->
                 ids.append([])
             starts[length - 1].append(place[some] + a)
             ids[length - 1].append(found.astype(np.int32))
-            place = place[v.begins[h >> np.uint64(44)]]
+            place = place[v.begins[_top(h)]]
     return [np.concatenate(s) for s in starts], [np.concatenate(i) for i in ids]
 
 
@@ -280,19 +285,19 @@ class Lattice:
         new = np.cumsum(width) - width
         slot[heads] = new
         edges = int(width.sum())
-        start, step, piece, score = np.empty(edges, np.int64), np.empty(edges, np.uint8), np.empty(edges, np.int32), np.empty(edges)
+        start, step, piece = np.repeat(heads, width), np.empty(edges, np.uint8), np.empty(edges, np.int32)
         for length in range(len(starts), 0, -1):
             s = starts[length - 1]
             at = slot[s]
-            start[at], step[at], piece[at], score[at] = s, length, ids[length - 1], v.log_weight[ids[length - 1]]
+            step[at], piece[at] = length, ids[length - 1]
             slot[s] = at + 1
         del starts, ids, slot
-        lone = np.flatnonzero(piece < 0)
+        score, lone = v.log_weight[piece], np.flatnonzero(piece < 0)
         score[lone] = float(v.log_weight[v.byte_ids[0]]) * step[lone]
         total = np.zeros(n + 1)
         far = group[heads]
-        inner = np.repeat(left[heads], width) != step  # the edge doesn't end its unit
-        to = np.minimum(start + step, n)
+        to = start + step
+        to[np.repeat(left[heads], width) == step] = n  # the edge ends its unit, and total[n] stays 0
         if len(cuts[0]):
             _fill_borders(total, np.flatnonzero(head), start, step, score, *cuts)
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(far) != 0, [True]])) if len(new) else np.zeros(1, np.int64)
@@ -300,12 +305,12 @@ class Lattice:
         for a, b in zip(cuts, cuts[1:], strict=False):
             own = new[a:b]
             x, y = own[0], own[-1] + width[b - 1]
-            edge = score[x:y] + np.where(inner[x:y], total[to[x:y]], 0.0)
+            edge = score[x:y] + total[to[x:y]]
             top = np.maximum.reduceat(edge, own - x)
             edge -= np.repeat(top, width[a:b])
             np.exp(edge, out=edge)
             mass = np.add.reduceat(edge, own - x)
-            total[start[own]] = top + np.log(mass)
+            total[heads[a:b]] = top + np.log(mass)
             p[x:y] = edge / np.repeat(mass, width[a:b])
         self.head, self.long = np.flatnonzero(head), size > LONG
         #: The number of characters before each position.
@@ -313,7 +318,7 @@ class Lattice:
         self.start, self.step, self.piece, self.p, self.left = start.astype(np.int32), step, piece, p, left.astype(np.int32)
         #: First and last edge of each position.
         self.first_edge, self.last_edge = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.first_edge[start[new]], self.last_edge[start[new]] = new, new + width - 1
+        self.first_edge[heads], self.last_edge[heads] = new, new + width - 1
 
     def log_p(self, edges: np.ndarray | int) -> np.ndarray:
         """Logarithms of edges' probabilities among those at their start."""
@@ -523,14 +528,19 @@ def _ids(lat: Lattice, v: Vocabulary, edge: np.ndarray, first: np.ndarray, start
     ids = lat.piece[edge]
     if (ids >= 0).all():
         return ids.astype(np.int32), np.append(first, len(ids))
-    size = lat.step[edge].astype(np.int64)
-    run = np.cumsum(size) - size
-    at = run + np.repeat(start - run[first], np.diff(np.append(first, len(edge))))
-    times = np.where(ids >= 0, 1, size)
-    offset = np.cumsum(times) - times
-    out = np.repeat(ids, times)
-    byte = np.repeat(at, times) + np.arange(len(out)) - np.repeat(offset, times)
-    out = np.where(out >= 0, out, v.byte_ids[put[np.minimum(byte, len(put) - 1)]])
+    lone = np.flatnonzero(ids < 0)
+    step = lat.step[edge]
+    size = step[lone].astype(np.int64)
+    times = np.ones(len(ids), np.uint8)
+    times[lone] = step[lone]
+    out, offset = np.repeat(ids, times), np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+    # where the bytes of each fallback edge lie: behind those of the edges before it in its path
+    run = np.cumsum(step, dtype=np.int64) - step
+    path = np.searchsorted(first, lone, side="right") - 1
+    at = start[path] + run[lone] - run[np.minimum(first[path], len(run) - 1)]
+    place = np.repeat(np.cumsum(size) - size, size)
+    byte = np.repeat(at, size) + np.arange(len(place)) - place
+    out[np.repeat(offset[lone], size) + np.arange(len(place)) - place] = v.byte_ids[put[byte]]
     return out.astype(np.int32), np.append(offset[first], len(out))
 
 
