@@ -59,6 +59,21 @@ def test_vectors_without_direction_and_ties(spark, tmp_path):
     assert vector_index.search_index(empty, v.selectExpr("vec_id AS query_id", "embedding AS q")).count() == 0
 
 
+def test_all_vectors_kept_leave_no_more_than_the_nearest_of_a_block(spark, tmp_path):
+    """Every pair of a query and a vector went through a window and two joins."""
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    index = vector_index.build_index(v, str(tmp_path / "index"))
+    asked = v.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    found = vector_index.search_index(index, asked, 4, probes=len(index.centres.fine), keep=400)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # with the blocks' numbers, on either side
+    row = lambda r: (r.query_id, r.place, r.vec_id, round(r.distance, 12))
+    assert sorted(map(row, found.collect())) == sorted(map(row, search.search_many(v, asked, 4).collect()))
+    of = {r.vec_id: r.list for r in index.rows().select("vec_id", "list").collect()}
+    assert all(of[r.vec_id] == r.list for r in found.collect())
+
+
 @pytest.mark.parametrize("dim", [1, 7, 64])
 def test_codes_are_near_their_vectors(dim):
     x = np.random.default_rng(1).normal(size=(50, dim)).astype(np.float32)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
-from .search import search_many
+from .search import _nearest, search_many
 
 #: Bytes that the centres, which every task holds, may have.
 CENTRE_BYTES = 64 << 20
@@ -222,14 +222,29 @@ def _approximate(keep: int, dim: int):
     return run
 
 
+def _nearest_of(k: int):
+    """A block of a list's whole vectors and a block of queries -> each query's k nearest of the block."""
+    nearest = _nearest(k)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = nearest(left, right)
+        which = left["list"][0].as_py() if left.num_rows else 0
+        return found.add_column(1, "list", pa.array(np.full(found.num_rows, which, np.int32)))
+
+    return run
+
+
 def search_index(index: VectorIndex, queries: DataFrame, k: int = 20, *, probes: int | None = None, keep: int | None = None) -> DataFrame:
     """The k nearest other vectors of each query (query_id integer, q) that its lists hold: (query_id, place, vec_id, list, distance).
 
     Reads the ``probes`` nearest lists of each query (those that the index has
     measured, unless given).  The ``keep`` best by their codes (5 k) are
     compared as whole vectors; distances are exact, ties go to the smaller
-    vec_id.  With all lists and all vectors kept the search is exact.  A query
-    that is null, zero, not finite or of another dimension finds nothing.
+    vec_id.  With all lists and all vectors kept the search is exact; where
+    ``keep`` leaves out no vector of the lists, codes have nothing to settle, so
+    whole vectors are compared in the blocks and no more than the k nearest of
+    each leave it.  A query that is null, zero, not finite or of another
+    dimension finds nothing.
     """
     probes, keep = min(probes or index.probes, len(index.centres.fine)), keep or 5 * k
     q = queries.where(usable("q")).where(F.size("q") == index.dim).select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q"))
@@ -241,13 +256,16 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = 20, *, probes:
     blocks = index.spark.createDataFrame([(i, -(-index.sizes[i] // BLOCK_ROWS), -(-counts[i] // BLOCK_QUERIES)) for i in lists], "list int, n_v int, n_q int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    rows = index.rows(lists)
-    left = rows.select("vec_id", "code", "scale", "list").join(F.broadcast(blocks), "list").select("*", part("vec_id", "n_v").alias("v_block"), every("n_q").alias("q_block"))
+    rows, whole = index.rows(lists), keep >= sum(index.sizes[i] for i in lists)
+    left = rows.select("vec_id", *([F.col("embedding").alias("e")] if whole else ["code", "scale"]), "list").join(F.broadcast(blocks), "list").select("*", part("vec_id", "n_v").alias("v_block"), every("n_q").alias("q_block"))
     right = probed.join(F.broadcast(blocks), "list").select("query_id", "q", "list", part("query_id", "n_q").alias("q_block"), every("n_v").alias("v_block"))
     keys = ["list", "v_block", "q_block"]
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    if whole:
+        near = left.groupBy(*keys).cogroup(right.select("query_id", F.col("q").alias("e"), *keys).groupBy(*keys)).applyInArrow(_nearest_of(k), "query_id long, list int, vec_id long, distance double")
+        return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "vec_id", "list", "distance")
     near = left.select("vec_id", "code", "scale", *keys).groupBy(*keys).cogroup(right.select("query_id", "q", *keys).groupBy(*keys)).applyInArrow(_approximate(keep, index.dim), "query_id long, list int, vec_id long, near float")
     best = near.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("_n") <= keep)
     exact = best.select("query_id", "list", "vec_id").join(rows.select("list", "vec_id", "embedding"), ["list", "vec_id"]).join(q, "query_id")
     exact = exact.select("query_id", "vec_id", "list", cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return exact.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "vec_id", "list", "distance")
