@@ -306,3 +306,12 @@ def test_classes_are_all_pairs_once(spark):
     both = matching.match_with_hints(registry, units, baseline, classes=True)
     others = {(r.id, r.nces_id) for r in both.where("kind = 'match'").collect()}
     assert expanded(both) | others == {(r.id, r.nces_id) for r in matching.match_with_hints(registry, units, baseline).collect()} and others
+
+
+def test_hint_classes_are_all_pairs(spark):
+    registry = spark.createDataFrame([(*r, "c") for r in REGISTRY], "id long, state string, district_name string, email string, city string")
+    baseline = spark.createDataFrame([(*r, "c") for r in BASELINE], "nces_id string, state string, district_name string, city string")
+    found = matching.mail_hints(registry.union(registry.withColumn("id", F.col("id") + 100)), baseline, classes=True)
+    side = lambda kind, *columns: found.where(f"kind = '{kind}'").select(*columns)
+    out = side("row", "id", "row_class").join(side("pair", "row_class", "district_class"), "row_class").join(side("district", "nces_id", "district_class"), "district_class")
+    assert {(r.id, r.nces_id) for r in out.collect()} == {(2, "13"), (4, "15"), (102, "13"), (104, "15")} and side("pair", "row_class").count() == 2
