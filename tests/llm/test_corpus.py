@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -256,6 +257,19 @@ def test_score_does_not_depend_on_a_texts_place(network):
         assert (alone == own[bounds[k] : bounds[k + 1]]).all() and alone_end[0] == end[k]
 
 
+def test_scoring_holds_little_at_once():
+    """A step's scores of 160 classes are a few MB, which a core's cache holds."""
+    rng = np.random.default_rng(3)
+    weights = {k: rng.normal(size=shape).astype(np.float32) / 4 for k, shape in {"embedding": (64, 16), "query": (16, 16), "key": (16, 16), "value": (16, 16), "own": (16, 16), "distance": 2 * lm_scoring.STEP, "out": (16, 160), "bias": 160}.items()}
+    net = lm_scoring.Network(weights, np.arange(200) % 63, np.arange(200) % 160, np.zeros(200), 90)
+    ids = rng.integers(0, 200, 20_000)
+    tracemalloc.start()
+    net.places(ids, np.arange(0, 20_001, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+
+
 def brute_counts(rows):
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0

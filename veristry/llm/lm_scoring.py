@@ -43,7 +43,7 @@ from .words import LOWER, WHITE, Piece, gathered, mix
 BLOCK_BYTES = 4 << 20
 #: Places that are scored in a window; as many before them are context.
 STEP = 16
-_WINDOWS = 512
+_WINDOWS = 256
 _START, _END = 1, 2
 _PACKED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_words", pa.binary()), ("codes", pa.binary()), ("pieces", pa.binary()), ("n_pieces", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n_learn", pa.int64()), ("piece_ids", pa.binary()), ("piece_counts", pa.binary())])
 _PACKED_DDL = "block long, part int, ids array<long>, held_out array<boolean>, n_words binary, codes binary, pieces binary, n_pieces binary, words binary, counts binary, n_learn long, piece_ids binary, piece_counts binary"
@@ -118,6 +118,8 @@ class Network:
         value[-1] = 0  # a masked place adds nothing to the sum or the weights
         self.value = value
         self.near = np.exp(_bias(w["distance"])) * _CAUSAL
+        first = np.arange(len(w["bias"])) < self.n_begin
+        self.sides = np.exp(w["bias"])[:, None] * np.stack([first, ~first], 1).astype(np.float32)
 
     def places(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """At each place of texts (see ``sequences``) the log probability of the piece after it, and that any piece after it begins a word."""
@@ -126,30 +128,32 @@ class Network:
         place, ahead = np.arange(-STEP, STEP), np.arange(STEP)
         x, share, kind = self.input_of[ids], self.log_share[ids], self.class_of[ids]
         mask, d, out, bias = len(self.query) - 1, self.query.shape[1], self.weights["out"], self.weights["bias"]
+        begin, end, classes = start[text], start[text + 1], out.shape[1]
         for a in range(0, len(at), _WINDOWS):
-            own, begin, end = at[a : a + _WINDOWS], start[text[a : a + _WINDOWS]], start[text[a : a + _WINDOWS] + 1]
-            p = own[:, None] + place
-            k = np.where((p >= begin[:, None]) & (p < end[:, None]), x[np.clip(p, 0, len(x) - 1)], mask)
+            own, first, behind = (v[a : a + _WINDOWS, None] for v in (at, begin, end))
+            p = own + place
+            k = np.where((p >= first) & (p < behind), x.take(p, mode="clip"), mask)
             q = k[:, STEP:]
-            s = np.matmul(self.query[q], self.key[k].transpose(0, 2, 1))
+            s = np.matmul(self.query.take(q, 0), self.key.take(k, 0).transpose(0, 2, 1))
             np.exp(s, out=s)
             s *= self.near
-            o = np.matmul(s, self.value[k])
-            h = np.tanh(o[..., :d] / np.maximum(o[..., d:], 1e-30) + self.own[q])
-            # of a window's places only those before another piece of the text are scored
-            now = own[:, None] + ahead
-            there = now + 1 < end[:, None]
-            now = now[there]
+            o = np.matmul(s, self.value.take(k, 0))
+            h = o[..., :d] / np.maximum(o[..., d:], 1e-30)
+            h += self.own.take(q, 0)
+            np.tanh(h, out=h)
             # a product for each window: a row of one for all depends, in its last bits, on where it lies
             z = np.matmul(h, out)
-            z = z.reshape(-1, z.shape[2]) if there.all() else z[there]
-            z += bias
-            picked = z[np.arange(len(z)), kind[now + 1]]
+            # of a window's places only those before another piece of the text are scored
+            to = own + ahead + 1
+            there = to < behind
+            to, row = to[there], np.flatnonzero(there)
+            picked = z.ravel().take(row * classes + kind[to]) + bias[kind[to]]
             np.exp(z, out=z)
-            begins = z[:, : self.n_begin].sum(1)
-            total = np.log(begins + z[:, self.n_begin :].sum(1))
-            found[now] = picked - total + share[now + 1]
-            stop[now] = np.log(begins) - total
+            # the bias enters as a factor of the exponentials, in the product that sums them by side
+            sides = np.matmul(z, self.sides).reshape(-1, 2)[row]
+            total = np.log(sides[:, 0] + sides[:, 1])
+            found[to - 1] = picked - total + share[to]
+            stop[to - 1] = np.log(sides[:, 0]) - total
         return found, stop
 
     def words(self, codes: np.ndarray, n_words: np.ndarray, pieces: np.ndarray, n_pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
