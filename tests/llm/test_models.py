@@ -1,6 +1,7 @@
 """Classifiers: held-out accuracy on the given labels, and edge cases."""
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -159,3 +160,14 @@ def test_every_language_has_a_threshold_of_its_own(spark):
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     model = toxicity.train(docs, labels, language=language_id.train(docs, 200))
     assert len(model.thresholds) >= 3 and len(set(model.thresholds.values())) >= 3
+
+
+@pytest.mark.parametrize("part_bytes", [16 << 20, 20_000])
+def test_toxicity_learns_from_every_labelled_document(frame, part_bytes):
+    """Each document has a word that no other has; those beyond any sample are known too."""
+    n = 6000
+    docs = frame([(i, f"{'bad' if i % 2 else 'fine'}{i} a b", "en") for i in range(n)], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, frame([(i, i % 2) for i in range(n)], "doc_id long, toxic int"), **({} if part_bytes == 16 << 20 else {"part_bytes": part_bytes}))
+    out = toxicity.score_toxicity(docs, model).collect()
+    known = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in known]) > 0.8
