@@ -156,6 +156,21 @@ def test_a_search_reads_no_text_and_few_buckets(index):
     assert re.search(r"PushedFilters: \[[^\]]*term", plan)
 
 
+def test_postings_travel_packed(spark, texts):
+    """A row for each bucket of a piece, and less than half the bytes of the postings."""
+    import pyarrow as pa
+
+    own = [(i, (t or "").lower()) for i, t in texts if i is not None] * 20
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([t for _, t in own])], names=["doc_id", "text"])])
+    packed, plain = list(text_index._packer(3)(batch())), list(text_index._indexer(batch()))
+    assert len(packed) == 3 and sum(b.get_total_buffer_size() for b in packed) * 2 < sum(b.get_total_buffer_size() for b in plain)
+    rows = [[(r["doc_id"], r["term"], tuple(r["places"])) for b in x for r in b.to_pylist()] for x in (plain, text_index._unpacked(iter(packed)))]
+    assert sorted(rows[0]) == sorted(rows[1])
+    found = {(r["term"], r["bucket"]) for b in text_index._unpacked(iter(packed)) for r in b.to_pylist()}
+    terms = spark.createDataFrame([(t,) for t, _ in found], "term string").withColumn("bucket", text_index._bucket(3))
+    assert {(r.term, r.bucket) for r in terms.collect()} == found
+
+
 def test_an_empty_table(spark, tmp_path):
     none = text_index.build_index(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "index"))
     assert text_index.search(none, all_of=["a"]).count() == 0 and text_index.containing(none, "a").count() == 0 and text_index.search(none).count() == 0

@@ -1,7 +1,8 @@
 """A positional inverted index: words, phrases, NEAR and boolean search without reading a text.
 
 Words are runs of ``[A-Za-z0-9_]`` of the lower-cased text, as ``\\w`` finds
-them, and a posting is a word's places in one text.  The postings table is
+them, and a posting is a word's places in one text.  Postings travel packed, a
+row for each bucket of words of a piece of text.  The postings table is
 dealt into buckets of words and sorted by word, so that a search reads the
 buckets of its words, and of these the row groups that may hold them.  Searches
 are joins and aggregates of postings by document.
@@ -9,6 +10,7 @@ are joins and aggregates of postings by document.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +22,8 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), 0x5F, *range(0x61, 0x7B)]] = True
 #: Bytes of text whose words are sorted at once.
 PIECE_BYTES = 4 << 20
+#: Bytes of text whose postings a task sorts and writes.
+PART_BYTES = 32 << 20
 
 
 def _postings_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.ListArray, np.ndarray]:
@@ -58,6 +62,52 @@ def _indexer(batches):
             first = last
 
 
+#: Rows of a bucket are dealt to so many tasks, as one word may be a large part of all.
+_SALTS = 4
+_INTS = ("counts", "rows", "sizes", "places")
+
+
+def _packer(buckets: int):
+    """(doc_id, text) -> a row for each bucket of a piece: its documents and terms, and compressed each term's postings, their documents, sizes and steps from place to place."""
+
+    def run(batches):
+        number = 0
+        for piece in _indexer(batches):
+            words = piece.column(1).dictionary_encode()
+            code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in names.to_pylist()], np.int64)[code] if len(names) else code
+            order = np.lexsort((code, bucket))  # stable, so documents stay in order
+            code, bucket, lists = code[order], bucket[order], piece.column(2).take(pa.array(order))
+            at, places, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False), piece.column(0).take(pa.array(order))
+            places, at = places[at[0] : at[-1]], at - at[0]
+            step = np.diff(places, prepend=0)
+            step[at[:-1]] = places[at[:-1]]
+            cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                docs = ids[a:b].dictionary_encode()
+                new = np.append(np.flatnonzero(np.diff(code[a:b], prepend=-1)), b - a)
+                ints = [np.diff(new), docs.indices.to_numpy(zero_copy_only=False), np.diff(at[a : b + 1]), step[at[a] : at[b]]]
+                lone = [pa.array([v], t) for v, t in ((int(bucket[a]), pa.int32()), (number % _SALTS, pa.int32()))]
+                whole = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (docs.dictionary, names.take(pa.array(code[a:b][new[:-1]])))]
+                yield pa.RecordBatch.from_arrays([*lone, *whole, *[pa.array([zlib.compress(x.astype(np.int32).tobytes(), 1)], pa.binary()) for x in ints]], names=["bucket", "salt", "docs", "terms", *_INTS])
+            number += 1
+
+    return run
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            docs, terms = batch.column("docs")[k].values, batch.column("terms")[k].values
+            counts, rows, sizes, step = (np.frombuffer(zlib.decompress(batch.column(c)[k].as_py()), np.int32) for c in _INTS)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            run = np.cumsum(step, dtype=np.int64)
+            places = run - np.repeat(run[ends[:-1]] - step[ends[:-1]], sizes)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int32)))
+            term = terms.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(rows)), term, lists, pa.array(np.full(len(rows), batch.column("bucket")[k].as_py(), np.int32))], names=["doc_id", "term", "places", "bucket"])
+
+
 @dataclass
 class TextIndex:
     """A written index: postings by bucket, the terms with their document counts, and the documents' carried columns."""
@@ -76,7 +126,7 @@ class TextIndex:
 
 
 def _bucket(n: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")
+    return (F.crc32(F.col("term").cast("binary")) % n).cast("int")
 
 
 def build_index(docs: DataFrame, path: str, carry: dict[str, Column] | None = None, buckets: int | None = None) -> TextIndex:
@@ -90,14 +140,15 @@ def build_index(docs: DataFrame, path: str, carry: dict[str, Column] | None = No
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] if buckets is None else 0
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = buckets or max(4, min(4096, -(-size // (32 << 20))))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_indexer, f"doc_id {kind}, term string, places array<int>")
-    # a bucket with a very frequent word is cut into several files by Spark
-    dealt = spark.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {found}", found=found.withColumn("bucket", _bucket(buckets)))
+    ddl = f"doc_id {kind}, term string, places array<int>, bucket int"
+    packed = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_packer(buckets), f"bucket int, salt int, docs array<{kind}>, terms array<string>, counts binary, rows binary, sizes binary, places binary")
+    # about PART_BYTES of text a task, which it sorts in memory
+    dealt = packed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), "bucket", "salt").mapInArrow(_unpacked, ddl)
     dealt.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.schema(f"doc_id {kind}, term string, places array<int>, bucket int").parquet(f"{path}/postings")
+    postings = spark.read.schema(ddl).parquet(f"{path}/postings")
     postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
     docs.select("doc_id", *[c.alias(n) for n, c in (carry or {}).items()]).write.parquet(f"{path}/docs")
     return TextIndex(spark, path, buckets, postings, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/docs"))
