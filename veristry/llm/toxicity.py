@@ -313,7 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", part_bytes:
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where((fold() != 0) & F.col("label").isin(0, 1)).distinct()
-    texts = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select("doc_id", "label", "text")
+    # labels grow with the documents: the same join at every size, and no table in the driver
+    texts = docs.select("doc_id", "text").where("text is not null").join(known.hint("merge"), "doc_id").select("doc_id", "label", "text")
     rows = stored(texts.mapInArrow(_in_language(language), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, text string, lang string"), "labelled")
     place = F.xxhash64(F.lit("kept"), "doc_id")
     firsts = rows.groupBy("lang", "label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").collect()
