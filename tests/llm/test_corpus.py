@@ -8,6 +8,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veristry.llm import collocations, lexical_search, lm_scoring
@@ -270,6 +271,49 @@ def test_scoring_holds_little_at_once():
     assert peak < 8 << 20
 
 
+def test_learning_sees_what_scoring_gives(network):
+    """With steps of 0 the probabilities before each place is learnt from are those of ``places``."""
+    net, _, _, (ids, start) = network
+    w = {k: net.weights[k] for k in lm_scoring._NAMES}
+    same, *got = lm_scoring.learn(w, ids, start, (net.input_of, net.class_of, net.log_share, net.n_begin), 1, 7, 0.0, 3)
+    for a, b in zip(got, net.places(ids, start), strict=True):
+        assert a == pytest.approx(b, abs=1e-4)
+    assert all((same[k] == w[k]).all() for k in w)
+
+
+def test_learning_of_one_text_over_and_over_stays_finite(network):
+    net, _, _, _ = network
+    ids = np.tile(np.array([lm_scoring._START, *[7] * 30, lm_scoring._END], np.int32), 200)
+    w, found, stop = lm_scoring.learn(net.weights, ids, np.arange(0, len(ids) + 1, 32), (net.input_of, net.class_of, net.log_share, net.n_begin), 30, 4, 0.02, 3)
+    assert all(np.isfinite(x).all() for x in (*w.values(), found, stop))
+
+
+def test_weights_of_blocks_are_averaged_by_their_places():
+    rows = {"block": [9, 4], "places": [30, 10]}
+    weights = pa.table({"slice": [2, 2], **rows, "data": [np.float32([1, 2]).tobytes(), np.float32([5, -2]).tobytes()]})
+    assert np.frombuffer(lm_scoring._averaged(weights)["data"][0].as_py(), np.float32).tolist() == [2, 1]
+    ratios = pa.table({"slice": [-1, -1], **rows, "data": [np.int64([1, 2]).tobytes(), np.int64([5, 0]).tobytes()]})
+    assert np.frombuffer(lm_scoring._averaged(ratios)["data"][0].as_py(), np.int64).tolist() == [6, 2]
+
+
+def test_every_learning_text_changes_the_model(spark):
+    """Six blocks: words in another order, in one text of any of them, change another text's score, though no count."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learn = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:12]
+    rng = random.Random(4)
+    texts = {i: [rng.choice(["of", "the", "one", "two", "ab"]) for _ in range(60)] for i in (*learn, held)}
+
+    def scored(changed=None):
+        rows = [[(i, " ".join(sorted(texts[i]) if i == changed else texts[i])) for i in (*learn[2 * k : 2 * k + 2], *[held] * (k == 0))] for k in range(6)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6).flatMap(lambda r: r), "doc_id long, text string")
+        return lm_scoring.score_texts(docs, model_path(), inputs=64, classes=48).where(f"doc_id = {held}").collect()[0]
+
+    base = scored()
+    for i in learn[::2]:
+        other = scored(i)
+        assert other["base_score"] == base["base_score"] and other["score"] != base["score"]
+
+
 def brute_counts(rows):
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0

@@ -8,16 +8,18 @@ follows from its count in all learning documents.
 
 The network is one layer: queries, keys and values of the last pieces, a bias
 by distance, and a hidden layer on top of what was attended to and the piece
-itself.  It is trained in numpy by Adam on a bounded sample.  A text is scored
-in windows of 2 x STEP pieces that overlap by half: all positions of the second
-half see the first, and each is scored once; windows of many texts are taken
-together, with masked places where a text begins or ends.
+itself.  It is trained in numpy by Adam on all learning documents: one block
+starts it, all blocks go on from there side by side, and their weights are
+averaged.  A text is scored in windows of 2 x STEP pieces that overlap by half:
+all positions of the second half see the first, and each is scored once; windows
+of many texts are taken together, with masked places where a text begins or ends.
 
 A word's probability is ``mix`` of its share among all learning tokens and the
 rest of what the network gives: its pieces, given that the first begins a word,
 and then that the next piece begins one too.  Both sum to 1 over all words, and
-so does the mixture, whose part is fitted by expectation maximisation with each
-word's own occurrence left out of its count.
+so does the mixture, whose part is fitted by expectation maximisation over all
+learning words, each as it was just before it was learnt from, with its own
+occurrence left out of its count.
 
 Word counts cover all learning documents.  Texts are cut into blocks; a block
 sends the counts of its distinct words to the parts of their hashes, and gets
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .segmentation import model_path
-from .shared import parts, small_batches, stored, tidy
+from .shared import parts, release, small_batches, stored, tidy
 from .words import LOWER, WHITE, Piece, gathered, mix
 
 #: Bytes of text of a block.
@@ -99,6 +101,18 @@ def windows(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[text] + STEP * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)), text
 
 
+def by_word(found: np.ndarray, stop: np.ndarray, start: np.ndarray, codes: np.ndarray, n_words: np.ndarray, n_pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From log probabilities at places (see ``Network.places``) those of each word, and of each text's end."""
+    size = n_pieces[codes]
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    first = np.cumsum(size) - size + 2 * text + 1  # a start and the ends of texts lie between
+    last = first + size - 1
+    # sums of a word's own places, not differences of running sums, which depend on what lies before
+    own = np.add.reduceat(found, np.stack([first - 1, last], 1).ravel())[::2] - stop[first - 1] + stop[last] if len(codes) else np.empty(0)
+    end = start[1:] - 2
+    return own, found[end] - stop[end]
+
+
 @dataclass
 class Network:
     """The trained weights, and how pieces are numbered: inputs (the last one masks), classes, their shares within their class, and how many classes begin a word."""
@@ -159,15 +173,7 @@ class Network:
     def words(self, codes: np.ndarray, n_words: np.ndarray, pieces: np.ndarray, n_pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The network's log probability of each word of texts, and of each text's end."""
         ids, start = sequences(codes, n_words, pieces, n_pieces)
-        found, stop = self.places(ids, start)
-        size = n_pieces[codes]
-        text = np.repeat(np.arange(len(n_words)), n_words)
-        first = np.cumsum(size) - size + 2 * text + 1  # a start and the ends of texts lie between
-        last = first + size - 1
-        # sums of a word's own places, not differences of running sums, which depend on what lies before
-        own = np.add.reduceat(found, np.stack([first - 1, last], 1).ravel())[::2] - stop[first - 1] + stop[last] if len(codes) else np.empty(0)
-        end = start[1:] - 2
-        return own, found[end] - stop[end]
+        return by_word(*self.places(ids, start), start, codes, n_words, n_pieces)
 
     def log10(self, own: np.ndarray, share: np.ndarray) -> np.ndarray:
         """The mixture's log probability of words that the network gives ``own`` and that have a share of the learning tokens."""
@@ -210,74 +216,177 @@ def numbering(counts: np.ndarray, begins: np.ndarray, inputs: int, classes: int,
     return input_of, class_of, np.log(mass / total[class_of]).astype(np.float32), n_begin
 
 
-def train(ids: np.ndarray, start: np.ndarray, numbers: tuple[np.ndarray, np.ndarray, np.ndarray, int], inputs: int, classes: int, width: int, rounds: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
-    """Fits the network to texts by Adam on the cross entropy of the next piece's class."""
-    input_of, class_of, _, _ = numbers
+#: The weights, as they lie one after the other.
+_NAMES = ("embedding", "key", "value", "query", "own", "distance", "out", "bias")
+#: Places whose classes are scored at once while learning, so that a core's cache holds them.
+_AT_ONCE = 1024
+
+
+def begin(seen: np.ndarray, inputs: int, classes: int, width: int, seed: int = 5) -> dict[str, np.ndarray]:
+    """Random weights, with biases from how often each class was seen; a masked place has no embedding."""
     rng = np.random.default_rng(seed)
     new = lambda *shape, by=1.0: (rng.normal(size=shape) * by).astype(np.float32)
     w = {"embedding": new(inputs, width, by=0.3), **{k: new(width, width, by=width**-0.5) for k in ("query", "key", "value", "own")}, "distance": np.zeros(2 * STEP, np.float32), "out": new(width, classes, by=width**-0.5)}
-    seen = np.bincount(class_of[ids], minlength=classes) + 1.0
-    w["bias"] = np.log(seen / seen.sum()).astype(np.float32)
-    first, second = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
+    w["embedding"][-1] = 0
+    w["bias"] = np.log((seen + 1.0) / (seen + 1.0).sum()).astype(np.float32)
+    return {k: w[k] for k in _NAMES}
+
+
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    at = np.cumsum([0, *[x.size for x in like.values()]])
+    return {k: flat[a:b].reshape(x.shape) for (k, x), a, b in zip(like.items(), at, at[1:], strict=False)}
+
+
+def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in _NAMES])
+
+
+def _by_id(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each id."""
+    order = np.argsort(ids, kind="stable")
+    key = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[key[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+    return out
+
+
+def learn(w: dict[str, np.ndarray], ids: np.ndarray, start: np.ndarray, numbers: tuple[np.ndarray, np.ndarray, np.ndarray, int], rounds: int, batch: int, rate: float, seed: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Goes on from ``w`` by Adam on the cross entropy of the next piece's class, over all windows of the texts.
+
+    Also returns what ``Network.places`` does, as the weights were just before
+    they learnt from a place (for the last time).
+    """
+    input_of, class_of, log_share, n_begin = numbers
+    (inputs, d), classes = w["embedding"].shape, len(w["bias"])
+    flat = _flat(w)
+    grad, first, second = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    w, g = _views(flat, w), _views(grad, w)
+    # the biases lie behind the output weights: one product with a 1 behind what is hidden
+    out, g_out = (x[-(d + 1) * classes :].reshape(d + 1, classes) for x in (flat, grad))
+    found, stop = np.zeros(len(ids)), np.zeros(len(ids))
     at, text = windows(start)
-    x, kind, mask, place = input_of[ids], class_of[ids], inputs - 1, np.arange(-STEP, STEP)
-    steps, done, scale = max(1, rounds * -(-len(at) // batch)), 0, np.float32(width**-0.5)
+    begins, ends, mask, place, ahead = start[text], start[text + 1], inputs - 1, np.arange(-STEP, STEP), np.arange(STEP)
+    x, kind = input_of[ids].astype(np.int16 if inputs < 1 << 15 else np.int32), class_of[ids]
+    sides = (np.arange(classes)[:, None] < n_begin) == np.array([True, False])
+    sides, scores = sides.astype(np.float32), np.empty((_AT_ONCE, classes), np.float32)
+    rng, scale, away = np.random.default_rng(seed), np.float32(d**-0.5), np.maximum(_AWAY, 0).ravel()
+    steps, done = max(1, rounds * -(-len(at) // batch)), 0
     for _ in range(rounds):
         order = rng.permutation(len(at))
         for a in range(0, len(order), batch):
-            own, begin, end = at[order[a : a + batch]], start[text[order[a : a + batch]]], start[text[order[a : a + batch]] + 1]
-            p = own[:, None] + place
-            real = (p >= begin[:, None]) & (p < end[:, None])
-            k_in = np.where(real, x[np.clip(p, 0, len(x) - 1)], mask)
-            q_in = k_in[:, STEP:]
-            to = own[:, None] + np.arange(STEP) + 1
-            there = to < end[:, None]
-            goal = kind[np.where(there, to, own[:, None])]
-            ek, eq = w["embedding"][k_in], w["embedding"][q_in]
-            q, k, v = eq @ w["query"] * scale, ek @ w["key"], ek @ w["value"]
-            s = np.exp(np.clip(np.matmul(q, k.transpose(0, 2, 1)) + _bias(w["distance"]), -30, 30)) * _CAUSAL * real[:, None, :]
-            s /= np.maximum(s.sum(2, keepdims=True), 1e-30)
+            some = order[a : a + batch]
+            own, behind, n = at[some][:, None], ends[some][:, None], len(some)
+            p = own + place
+            k_in = np.where((p >= begins[some][:, None]) & (p < behind), x.take(p, mode="clip"), x.dtype.type(mask))
+            to = own + ahead + 1
+            there = to < behind
+            e, keys, queries = w["embedding"], np.concatenate([w["key"], w["value"]], 1), np.concatenate([w["query"] * scale, w["own"]], 1)
+            # a key, its value and a 1; a masked place has none
+            table = np.ones((inputs, 2 * d + 1), np.float32)
+            np.matmul(e, keys, out=table[:, : 2 * d])
+            table[mask] = 0
+            kv, qo = table.take(k_in, 0), (e @ queries).take(k_in[:, STEP:], 0)
+            k, v, q = kv[..., :d], kv[..., d:], qo[..., :d]
+            s = np.matmul(q, k.transpose(0, 2, 1))
+            np.minimum(s, 60, out=s)
+            np.exp(s, out=s)
+            s *= np.exp(_bias(w["distance"])) * _CAUSAL
             o = np.matmul(s, v)
-            h = np.tanh(o + eq @ w["own"])
-            z = h @ w["out"] + w["bias"]
-            z = np.exp(z - z.max(2, keepdims=True))
-            z /= z.sum(2, keepdims=True)
+            part = 1 / np.maximum(o[..., d:], 1e-30)
+            o = o[..., :d] * part
+            h = np.ones((n * STEP, d + 1), np.float32)
+            hidden = np.tanh(o + qo[..., d:])
+            h[:, :d] = hidden.reshape(-1, d)
+            # each place's scores, and the loss's derivatives by them
+            weight = there.ravel() * np.float32(1 / max(1, there.sum()))
+            goal = np.where(there, kind.take(to, mode="clip"), 0).ravel()
+            dh, here, ending = np.empty((n * STEP, d), np.float32), np.empty(n * STEP, np.float32), np.empty(n * STEP, np.float32)
+            g_out[:] = 0
+            for c in range(0, n * STEP, _AT_ONCE):
+                now = slice(c, c + _AT_ONCE)
+                z = scores[: len(h[now])]
+                np.matmul(h[now], out, out=z)
+                np.exp(z, out=z)
+                side = z @ sides
+                by = 1 / (side[:, 0] + side[:, 1])
+                pick = np.arange(0, z.size, classes) + goal[now]
+                here[now], ending[now] = z.ravel().take(pick) * by, side[:, 0] * by
+                z *= (by * weight[now])[:, None]
+                z.ravel()[pick] -= weight[now]
+                g_out += (z.T @ h[now]).T
+                np.matmul(z, w["out"].T, out=dh[now])
+            row = np.flatnonzero(there)
+            found[to[there] - 1], stop[to[there] - 1] = here[row], ending[row]
             # backwards
-            z[np.arange(len(own))[:, None], np.arange(STEP), goal] -= 1
-            z *= there[..., None] / max(1, there.sum())
-            g = {"out": h.reshape(-1, width).T @ z.reshape(-1, classes), "bias": z.sum((0, 1))}
-            dh = (z @ w["out"].T) * (1 - h * h)
-            g["own"] = eq.reshape(-1, width).T @ dh.reshape(-1, width)
-            dv, ds = np.matmul(s.transpose(0, 2, 1), dh), np.matmul(dh, v.transpose(0, 2, 1))
-            ds = s * (ds - (ds * s).sum(2, keepdims=True))
-            g["distance"] = np.bincount(np.maximum(_AWAY, 0).ravel(), ds.sum(0).ravel(), minlength=2 * STEP)
-            dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
-            flat = lambda y: y.reshape(-1, width)
-            g["query"], g["key"], g["value"] = flat(eq).T @ flat(dq), flat(ek).T @ flat(dk), flat(ek).T @ flat(dv)
-            dek, deq = dk @ w["key"].T + dv @ w["value"].T, dq @ w["query"].T + dh @ w["own"].T
-            g["embedding"] = np.zeros_like(w["embedding"])
-            np.add.at(g["embedding"], k_in.ravel(), flat(dek))
-            np.add.at(g["embedding"], q_in.ravel(), flat(deq))
+            dh = dh.reshape(n, STEP, d) * (1 - hidden * hidden)
+            dkv, dqo, inner = np.empty((n, 2 * STEP, 2 * d), np.float32), np.empty_like(qo), np.empty((n, STEP, d + 1), np.float32)
+            np.multiply(dh, part, out=inner[..., :d])
+            inner[..., d] = -np.einsum("bij,bij->bi", inner[..., :d], o)
+            ds = np.matmul(inner, v.transpose(0, 2, 1))
+            ds *= s
+            dkv[..., :d], dkv[..., d:] = np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), inner[..., :d])
+            dqo[..., :d], dqo[..., d:] = np.matmul(ds, k), dh
+            g["distance"][:] = np.bincount(away, ds.sum(0).ravel(), minlength=2 * STEP)
+            ek = e.take(k_in, 0)
+            g_keys, g_queries = ek.reshape(-1, d).T @ dkv.reshape(-1, 2 * d), ek[:, STEP:].reshape(-1, d).T @ dqo.reshape(-1, 2 * d)
+            g["key"][:], g["value"][:], g["query"][:], g["own"][:] = g_keys[:, :d], g_keys[:, d:], g_queries[:, :d] * scale, g_queries[:, d:]
+            de = (dkv.reshape(-1, 2 * d) @ keys.T).reshape(n, 2 * STEP, d)
+            de[:, STEP:] += (dqo.reshape(-1, 2 * d) @ queries.T).reshape(n, STEP, d)
+            g["embedding"][:] = _by_id(k_in.ravel(), de.reshape(-1, d), inputs)
+            g["embedding"][mask] = 0
+            # Adam's step
             done += 1
-            lr = rate * (1 - 0.95 * done / steps)
-            for name, grad in g.items():
-                first[name] += 0.1 * (grad - first[name])
-                second[name] += 0.01 * (grad * grad - second[name])
-                w[name] -= (lr * (first[name] / (1 - 0.9**done)) / (np.sqrt(second[name] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
-    return Network(w, *numbers)
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * grad
+            second *= np.float32(0.99)
+            grad *= grad
+            second += np.float32(0.01) * grad
+            step = np.sqrt(second)
+            step *= np.float32((1 - 0.99**done) ** -0.5)
+            step += np.float32(1e-8)
+            np.divide(first, step, out=step)
+            step *= np.float32(rate * (1 - 0.95 * done / steps) / (1 - 0.9**done))
+            flat -= step
+    some = stop > 0
+    found[some] = np.log(np.maximum(found[some], 1e-30))
+    stop[some] = np.log(stop[some])
+    found[:-1][some[:-1]] += log_share[ids[1:]][some[:-1]]
+    return {k: x.copy() for k, x in w.items()}, found, stop
 
 
-def fit_mix(own: np.ndarray, count: np.ndarray, total: int, rounds: int = 30) -> float:
-    """The part of the counts in the mixture, from learning words with their own occurrence left out."""
-    if not len(own):
+def train(ids: np.ndarray, start: np.ndarray, numbers: tuple[np.ndarray, np.ndarray, np.ndarray, int], inputs: int, classes: int, width: int, rounds: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
+    """A network that has learnt from texts alone."""
+    seen = np.bincount(numbers[1][ids], minlength=classes)
+    return Network(learn(begin(seen, inputs, classes, width, seed), ids, start, numbers, rounds, batch, rate, seed)[0], *numbers)
+
+
+#: Ratios of a word's share to what the network gives it are counted in so many steps of a nat, up to so many nats to either side.
+_FINE, _FAR = 32, 32
+
+
+def ratios(own: np.ndarray, count: np.ndarray, total: int) -> np.ndarray:
+    """How many learning words have each ratio of their share, their own occurrence left out, to what the network gives them."""
+    share = (count - 1) / max(1, total - 1)
+    return np.bincount(np.clip((np.log(share + 1e-300) - own + _FAR) * _FINE, 0, 2 * _FAR * _FINE - 1).astype(np.int64), minlength=2 * _FAR * _FINE)
+
+
+def part_of_counts(seen: np.ndarray, rounds: int = 30) -> float:
+    """The part of the counts in the mixture, by expectation maximisation over words' ratios."""
+    if not seen.sum():
         return 0.0
-    share, p, part = (count - 1) / max(1, total - 1), np.exp(own), 0.5
+    ratio, part = np.exp((np.arange(len(seen)) + 0.5) / _FINE - _FAR), 0.5
     for _ in range(rounds):
-        a = part * share
-        part = float((a / (a + (1 - part) * p + 1e-300)).mean())
+        a = part * ratio
+        part = float((a / (a + 1 - part)) @ seen / seen.sum())
     return min(part, 0.99)
 
 
+def fit_mix(own: np.ndarray, count: np.ndarray, total: int, rounds: int = 30) -> float:
+    """The part of the counts in the mixture, from learning words."""
+    return part_of_counts(ratios(own, count, total), rounds)
+
+
 def _packer(shared, n_parts: int):
     """Rows (struct of doc_id and held_out, text) -> a row for each block, and one for each part with the block's words of that part."""
 
@@ -364,33 +473,77 @@ def _scorer(shared, n: int, distinct: int, n_learn: int):
     return run
 
 
-def _learn(packed: DataFrame, totals: DataFrame, used: np.ndarray, begins: np.ndarray, n: int, most_blocks: int, most_words: int, inputs: int, classes: int, width: int) -> Network:
-    """The network, trained on texts of a few blocks, and the mixture's parts."""
-    blocks = [r["block"] for r in packed.where("part = -1").select("block").orderBy(F.xxhash64("block"), "block").limit(most_blocks).collect()]
-    rows = packed.where((F.col("part") == -1) & F.col("block").isin(blocks)).collect() if blocks else []
-    sent: dict[int, list] = {b: [] for b in blocks}
-    for r in totals.where(F.col("block").isin(blocks)).select("block", "part", "counts").collect() if blocks else []:
-        sent[r["block"]].append((r["part"], bytes(r["counts"])))
-    numbers, parts_ = numbering(used, begins, inputs, classes), []
-    for row in sorted(rows, key=lambda r: r["block"]):
-        n_words, codes, pieces, n_pieces, counts = _arrays(row, sent[row["block"]])
-        ids = np.array([-1 if x is None else x for x in row["ids"]], np.int64)
-        order = np.argsort(mix(ids.astype(np.uint64) ^ np.uint64(0x5DEECE66D)), kind="stable")
-        order = order[~np.array(row["held_out"], bool)[order]]
-        order = order[np.cumsum(n_words[order]) - n_words[order] < most_words // len(rows)]
-        bounds = np.concatenate([[0], np.cumsum(n_words)])
-        parts_.append((np.concatenate([np.empty(0, np.int64), *[codes[bounds[k] : bounds[k + 1]] for k in order]]), n_words[order], pieces, n_pieces, counts))
-    done = [sequences(c, w, p, m) for c, w, p, m, _ in parts_]
-    ids = np.concatenate([np.empty(0, np.int32), *[d[0] for d in done]])
-    base = np.cumsum([0, *[len(d[0]) for d in done]])
-    start = np.concatenate([np.zeros(0, np.int64), *[d[1][:-1] + b for d, b in zip(done, base, strict=False)], base[-1:]])
-    net = train(ids, start, numbers, inputs, classes, width)
-    own = [net.words(c, w, p, m)[0] for c, w, p, m, _ in parts_]
-    net.mix = fit_mix(np.concatenate([np.empty(0), *own]), np.concatenate([np.empty(0), *[t[c] for c, _, _, _, t in parts_]]), n)
-    return net
-
-
-def score_texts(docs: DataFrame, pieces: str, *, most_blocks: int = 4, most_words: int = 320_000, inputs: int = 1024, classes: int = 160, width: int = 16) -> DataFrame:
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """The slices in which ``n`` weights travel."""
+    at = np.linspace(0, n, 33).astype(int).tolist()
+    return list(zip(at, at[1:], strict=False))
+
+
+_LEARNT_DDL = "slice int, block long, places long, data binary"
+
+
+def _fitter(shared, numbers, n: int, batch: int, rate: float):
+    """A block's learning texts -> the weights that go on from the shared ones over all of them, in slices, and as slice -1 its words' ratios."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            n_words, codes, pieces, n_pieces, counts = _arrays(row, list(zip(right["part"].to_pylist(), right["counts"].to_pylist(), strict=True)))
+            known = ~np.array(row["held_out"], bool)
+            if not known.any():
+                continue
+            codes, n_words = codes[np.repeat(known, n_words)], n_words[known]
+            ids, start = sequences(codes, n_words, pieces, n_pieces)
+            w, found, stop = learn(shared.value, ids, start, numbers.value, 1, batch, rate, 5)
+            own, _ = by_word(found, stop, start, codes, n_words, n_pieces)
+            flat = _flat(w)
+            rows.append((-1, row["block"], len(ids), ratios(own, counts[codes], n).tobytes()))
+            rows += [(k, row["block"], len(ids), flat[a:b].tobytes()) for k, (a, b) in enumerate(_cuts(len(flat)))]
+        tidy()
+        return pa.table({"slice": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "places": pa.array([r[2] for r in rows], pa.int64()), "data": pa.array([r[3] for r in rows], pa.binary())})
+
+    return run
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    """A slice of all blocks' weights -> their mean, by blocks' places; the sum of the ratios."""
+    kind = table["slice"][0].as_py()
+    order = np.argsort(table["block"].to_numpy())
+    data, places = table["data"].combine_chunks(), table["places"].to_numpy()
+    total = 0
+    for k in order:
+        total = total + (np.frombuffer(data[k].as_buffer(), np.int64) if kind < 0 else np.frombuffer(data[k].as_buffer(), np.float32) * float(places[k]))
+    total = total if kind < 0 else (total / places.sum()).astype(np.float32)
+    return pa.table({"slice": pa.array([kind], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+
+def _learn(left: DataFrame, right: DataFrame, used: np.ndarray, begins: np.ndarray, n: int, first: int | None, inputs: int, classes: int, width: int) -> Network:
+    """The network and the mixture's part, from all learning texts.
+
+    Block ``first`` starts the network; then all blocks go on from there side
+    by side, over all of their learning texts, and their weights are averaged.
+    The words' ratios are taken just before each is learnt from.
+    """
+    spark = left.sparkSession
+    numbers = numbering(used, begins, inputs, classes)
+    w, seen = begin(np.bincount(numbers[1], used, minlength=classes), inputs, classes, width), np.zeros(0, np.int64)
+    if first is None:
+        return Network(w, *numbers)
+    sent = spark.sparkContext.broadcast(numbers)
+    for own, batch, rate in ((F.col("block") == first, 64, 0.02), (F.lit(True), 256, 0.02)):
+        fitted = left.where(own).groupBy("block").cogroup(right.where(own).groupBy("block")).applyInArrow(_fitter(spark.sparkContext.broadcast(w), sent, n, batch, rate), _LEARNT_DDL)
+        flat = _flat(w)
+        cuts = _cuts(len(flat))
+        for r in fitted.groupBy("slice").applyInArrow(_averaged, "slice int, data binary").collect():
+            if r["slice"] < 0:
+                seen = np.frombuffer(r["data"], np.int64)
+            else:
+                flat[slice(*cuts[r["slice"]])] = np.frombuffer(r["data"], np.float32)
+        w = {k: x.copy() for k, x in _views(flat, w).items()}
+    return Network(w, *numbers, part_of_counts(seen))
+
+
+def score_texts(docs: DataFrame, pieces: str, *, inputs: int = 1024, classes: int = 160, width: int = 16) -> DataFrame:
     """Log probabilities of whole texts, learnt from the documents that aren't held out.
 
     ``docs`` has doc_id (integer) and text; other columns are not used.  A
@@ -404,10 +557,9 @@ def score_texts(docs: DataFrame, pieces: str, *, most_blocks: int = 4, most_word
     Null text is empty: its end is its only token.  Repeated rows count and are
     scored each; texts of any length are scored whole (a block holds at least
     one); an empty table gives no rows.  ``pieces`` is the file of a
-    SentencePiece model.  The network's weights are fitted on at most
-    ``most_words`` words (a text more for each block) of ``most_blocks`` blocks;
-    counts of words and of pieces, and all scores, cover every document.
-    Exact, but for words of equal 64-bit hashes.
+    SentencePiece model.  The network's weights, the mixture's part and the
+    counts of words and of pieces come from all learning documents.
+    Counts are exact, but for words of equal 64-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -425,9 +577,11 @@ def score_texts(docs: DataFrame, pieces: str, *, most_blocks: int = 4, most_word
     distinct = totals.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + (n_learn > 0)
     n = packed.where("part >= 0").select("counts").mapInArrow(_sum_counts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + n_learn
     used[_END] = n_learn
-    net = _learn(packed, totals, used, begins, n, most_blocks, most_words, inputs, classes, width)
     left = packed.where("part = -1").select("block", "ids", "held_out", "n_words", "codes", "pieces", "n_pieces")
     right = totals.where("block >= 0").select("block", "part", "counts")
+    most = packed.where("part = -1 AND n_learn > 0").orderBy(F.desc("n_learn"), "block").select("block").first()
+    net = _learn(left.drop("ids"), right, used, begins, n, most and most["block"], inputs, classes, width)
+    release(spark)
     out = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_scorer(spark.sparkContext.broadcast(net), n, distinct, n_learn), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
