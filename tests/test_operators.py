@@ -274,6 +274,36 @@ def test_similarity_query_is_that_of_brute_force(spark):
     assert not bad, list(bad.items())[:3]
 
 
+def test_similarities_shuffle_tiles_and_not_pairs(spark):
+    name = lambda i: None if i % 40 == 7 else "Hot" if i % 3 == 0 else f"Name {i} Ab"
+    left = [(i, None if i == 5 else f"S{i % 2}", name(i)) for i in range(500)]
+    right = [(f"d{i}", f"S{i % 2}", name(i)) for i in range(500)]
+    want = {(i, d): None if a is None or b is None else plain_jaro_winkler(a.lower(), b) for i, s, a in left for d, z, b in right if s == z}
+    sides = spark.createDataFrame(left, "id long, state string, district_name string"), spark.createDataFrame(right, "nces_id string, state string, district_name string")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def sent():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = sent()
+        rows = matching.similarities(*sides, ["state"], tile=64).collect()
+        assert sent() - before < 3_000  # of 124,500 pairs
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == len(want) and {(r.id, r.nces_id) for r in rows} == set(want)
+    assert all(r.s is want[r.id, r.nces_id] if None in (r.s, want[r.id, r.nces_id]) else abs(r.s - want[r.id, r.nces_id]) < 2e-6 for r in rows)
+
+
+def test_rounding_is_that_of_sql(spark):
+    rng = np.random.default_rng(3)
+    x = np.r_[(np.arange(0, 1_000_000, 7) + 0.5) / 1e6, rng.integers(0, 900, 20_000) / rng.integers(900, 2_000, 20_000), np.arange(257) / 256, np.arange(1025) / 1024, rng.random(5_000)]
+    want = [r.x for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6).alias("x")).collect()]
+    assert names.rounded(x, 6).tolist() == want and np.isnan(names.rounded(np.array([np.nan]), 6)).all()
+
+
 @pytest.mark.parametrize("cut", [0.0, 0.8, 0.9])
 @pytest.mark.parametrize("longest", [12, 80])
 def test_tiles_of_names_equal_single_names(cut, longest):

@@ -209,7 +209,7 @@ def src_12(t):
 # No SQL: the other engine rounds the number of transpositions down.
 @query("match_03_similarity")
 def match_03(t):
-    return M.similarities(t.registry, t.districts, ["state", "city"]).withColumn("s", F.round("s", 6))
+    return M.similarities(t.registry, t.districts, ["state", "city"])
 
 
 @query("match_06_exact_id", "SELECT r.id, d.nces_id FROM registry r JOIN districts d ON r.state_district_id = d.nces_id WHERE r.state = d.state", "registry districts")
